@@ -42,8 +42,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("ord_"), k.cast("string")).alias("id"),
         F.concat(F.lit("Order "), k.cast("string"), F.lit(" of customer "), F.col("o_custkey").cast("string"),
                  F.lit(" has status "), F.col("o_orderstatus"), F.lit(" and priority "),
-                 F.col("o_orderpriority"), F.lit("; total price "), F.col("o_totalprice").cast("string"),
-                 F.lit(".")).alias("text"),
+                 F.col("o_orderpriority"), F.lit(".")).alias("text"),
         F.col("o_orderpriority").alias("category"),
         F.col("o_orderstatus").alias("domain"),
         (k % 5 + 3).cast("int").alias("true_depth"),
