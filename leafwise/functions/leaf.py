@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafwise.functions.values import is_null, pyfloat, pystr, pystrip, truthy
+from leafwise.functions.values import pyfloat, pystr, pystrip, truthy, vtype
 
 TOLERANCE = 0.05
 
@@ -36,22 +36,28 @@ def number_score_d(a: Column, p: Column, tol: float = TOLERANCE) -> Column:
             .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - (rel - tol) / (1.0 - tol))))
 
 
-def number_score(a: Column, p: Column) -> Column:
-    return number_score_d(pyfloat(a), pyfloat(p))
+def number_score(a: Column, p: Column, at: Column | None = None, pt: Column | None = None) -> Column:
+    return number_score_d(pyfloat(a, at), pyfloat(p, pt))
 
 
-def boolean_score(a: Column, p: Column) -> Column:
-    return F.when(truthy(a) == truthy(p), F.lit(1.0)).otherwise(F.lit(0.0))
+def boolean_score(a: Column, p: Column, at: Column | None = None, pt: Column | None = None) -> Column:
+    return F.when(truthy(a, at) == truthy(p, pt), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def string_score(a: Column, p: Column) -> Column:
-    return ned(pystrip(pystr(a)), pystrip(pystr(p)))
+def string_score(a: Column, p: Column, at: Column | None = None, pt: Column | None = None) -> Column:
+    return ned(pystrip(pystr(a, at)), pystrip(pystr(p, pt)))
 
 
-def leaf_score(a: Column, p: Column, field_type: Column) -> Column:
-    """Typed leaf comparison on VARIANT values: both null 1, one null 0, then by type."""
-    return (F.when(is_null(a) & is_null(p), F.lit(1.0))
-            .when(is_null(a) | is_null(p), F.lit(0.0))
-            .when(field_type.isin("number", "integer"), number_score(a, p))
-            .when(field_type == "boolean", boolean_score(a, p))
-            .otherwise(string_score(a, p)))
+def leaf_score(a: Column, p: Column, field_type: Column, at: Column | None = None,
+               pt: Column | None = None) -> Column:
+    """Typed leaf comparison on VARIANT values: both null 1, one null 0, then by type.
+
+    ``at`` / ``pt`` are the values' precomputed type tags (``values.vtype``)."""
+    at = vtype(a) if at is None else at
+    pt = vtype(p) if pt is None else pt
+    a_null, p_null = at == "VOID", pt == "VOID"
+    return (F.when(a_null & p_null, F.lit(1.0))
+            .when(a_null | p_null, F.lit(0.0))
+            .when(field_type.isin("number", "integer"), number_score(a, p, at, pt))
+            .when(field_type == "boolean", boolean_score(a, p, at, pt))
+            .otherwise(string_score(a, p, at, pt)))

@@ -11,10 +11,14 @@ these expressions reproduce them JVM-side:
 * ``stable``   — canonical element string: '' for null, sorted ``{k:v,…}``,
   ``[a,b]``, scalars by ``pystr``
 
+Every function takes the value and, optionally, its already computed
+``schema_of_variant`` string ``t``: callers materialise ``t`` once per value
+(as a column or a struct field) so expression trees stay linear in size.
+
 Canonical-form note: a VARIANT keeps the JSON number's decimal scale, so
-``1.0`` is recognised as a float (DECIMAL(p,0)) and printed ``1.0``;
-objects nested three or more levels inside an array element are rendered
-with their compact JSON text.
+``1.0`` is recognised as a float (DECIMAL(p,0)) and printed ``1.0``; values
+nested more than two levels inside an array element are rendered with their
+compact JSON text.
 """
 
 from __future__ import annotations
@@ -28,16 +32,17 @@ _WS_STRIP = r"(?U)^\s+|\s+$"
 
 
 def vtype(v: Column) -> Column:
-    return F.schema_of_variant(v)
+    """Type tag of a VARIANT; SQL NULL and JSON null both give 'VOID'."""
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
 def is_null(v: Column) -> Column:
     return v.isNull() | F.is_variant_null(v)
 
 
-def kind(v: Column) -> Column:
-    t = vtype(v)
-    return (F.when(is_null(v), F.lit("null"))
+def kind_of(t: Column) -> Column:
+    """Kind from a type tag."""
+    return (F.when(t == "VOID", F.lit("null"))
             .when(t.startswith("OBJECT"), F.lit("object"))
             .when(t.startswith("ARRAY"), F.lit("array"))
             .when(t == "BOOLEAN", F.lit("boolean"))
@@ -46,6 +51,10 @@ def kind(v: Column) -> Column:
             .otherwise(F.lit("string")))
 
 
+def kind(v: Column, t: Column | None = None) -> Column:
+    return kind_of(vtype(v) if t is None else t)
+
+
 def as_map(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
@@ -54,20 +63,22 @@ def as_array(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
+def typed(arr: Column) -> Column:
+    """array<variant> -> array<struct<v variant, t string>> (type tag computed once)."""
+    return F.transform(arr, lambda x: F.struct(x.alias("v"), vtype(x).alias("t")))
+
+
 def _py_sci(s: Column) -> Column:
     """Java '1.0E16' -> Python '1e+16' (mantissa without a trailing '.0')."""
-    mant = F.regexp_extract(s, r"^(-?[0-9.]+)E", 1)
-    mant = F.regexp_replace(mant, r"\.0$", "")
+    mant = F.regexp_replace(F.regexp_extract(s, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
     ex = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).cast("int")
     sign = F.when(ex < 0, F.lit("-")).otherwise(F.lit("+"))
     return F.concat(mant, F.lit("e"), sign, F.lpad(F.abs(ex).cast("string"), 2, "0"))
 
 
-def pystr(v: Column) -> Column:
-    """``str(value)`` of a scalar; containers use their JSON text; null -> 'None'."""
-    t = vtype(v)
+def _scalar_str(v: Column, t: Column, null_as: str) -> Column:
     s = F.try_variant_get(v, "$", "string")
-    return (F.when(is_null(v), F.lit("None"))
+    return (F.when(t == "VOID", F.lit(null_as))
             .when(t == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True"))
                   .otherwise(F.lit("False")))
             .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.to_json(v))
@@ -76,25 +87,30 @@ def pystr(v: Column) -> Column:
             .otherwise(s))
 
 
+def pystr(v: Column, t: Column | None = None) -> Column:
+    """``str(value)`` of a scalar; containers use their JSON text; null -> 'None'."""
+    return _scalar_str(v, vtype(v) if t is None else t, "None")
+
+
 def pystrip(s: Column) -> Column:
     return F.regexp_replace(s, _WS_STRIP, "")
 
 
-def pyfloat(v: Column) -> Column:
+def pyfloat(v: Column, t: Column | None = None) -> Column:
     """``float(value)``; NULL where Python raises (containers, bad strings, null)."""
-    t = vtype(v)
+    t = vtype(v) if t is None else t
     s = pystrip(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
     from_str = F.when(s.rlike(_PY_FLOAT), F.regexp_replace(s, "_", "").try_cast("double"))
-    return (F.when(is_null(v), F.lit(None).cast("double"))
+    return (F.when(t == "VOID", F.lit(None).cast("double"))
             .when(t == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit(1.0)).otherwise(F.lit(0.0)))
             .when(t == "STRING", from_str)
             .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.lit(None).cast("double"))
             .otherwise(F.try_variant_get(v, "$", "double")))
 
 
-def truthy(v: Column) -> Column:
-    t = vtype(v)
-    return (F.when(is_null(v), F.lit(False))
+def truthy(v: Column, t: Column | None = None) -> Column:
+    t = vtype(v) if t is None else t
+    return (F.when(t == "VOID", F.lit(False))
             .when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
             .when(t == "STRING", F.length(F.try_variant_get(v, "$", "string")) > 0)
             .when(t.startswith("OBJECT"), F.size(as_map(v)) > 0)
@@ -102,35 +118,38 @@ def truthy(v: Column) -> Column:
             .otherwise(F.try_variant_get(v, "$", "double") != 0))
 
 
-def _scalar_stable(v: Column) -> Column:
-    return F.when(is_null(v), F.lit("")).otherwise(pystr(v))
-
-
-def _stable_lvl(v: Column, inner) -> Column:
-    t = vtype(v)
-    m = as_map(v)
-    obj = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(m)),
-                                                        lambda k: F.concat(k, F.lit(":"), inner(m[k]))), ","),
-                   F.lit("}"))
-    arr = F.concat(F.lit("["), F.array_join(F.transform(as_array(v), lambda x: inner(x)), ","), F.lit("]"))
-    return (F.when(t.startswith("OBJECT"), obj)
-            .when(t.startswith("ARRAY"), arr)
-            .otherwise(_scalar_stable(v)))
-
-
-def stable(v: Column) -> Column:
-    """Canonical string of an array element (three structural levels, then JSON text)."""
-    def lvl3(x):
-        t = vtype(x)
-        return F.when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.to_json(x)).otherwise(_scalar_stable(x))
-
-    return _stable_lvl(v, lambda x: _stable_lvl(x, lvl3))
-
-
-def nonempty_fields(v: Column) -> Column:
-    """Top-level key -> stable string of an object element, '' values dropped; {} otherwise."""
+def _entries(v: Column) -> Column:
+    """Sorted object entries as array<struct<k, v, t>>."""
     m = as_map(v)
-    fields = F.transform_values(m, lambda k, x: stable(x))
-    fields = F.map_filter(fields, lambda k, s: s != "")
-    return F.when(kind(v) == "object", fields).otherwise(
-        F.create_map().cast("map<string,string>"))
+    return F.transform(F.array_sort(F.map_keys(m)),
+                       lambda k: F.struct(k.alias("k"), m[k].alias("v"), vtype(m[k]).alias("t")))
+
+
+def render(v: Column, t: Column, depth: int) -> Column:
+    """Stable string with ``depth`` structural levels, then JSON text."""
+    scalar = _scalar_str(v, t, "")
+    if depth <= 0:
+        return scalar
+    obj = F.concat(F.lit("{"), F.array_join(F.transform(
+        _entries(v), lambda e: F.concat(e["k"], F.lit(":"), render(e["v"], e["t"], depth - 1))), ","), F.lit("}"))
+    arr = F.concat(F.lit("["), F.array_join(F.transform(
+        typed(as_array(v)), lambda e: render(e["v"], e["t"], depth - 1)), ","), F.lit("]"))
+    return F.when(t.startswith("OBJECT"), obj).when(t.startswith("ARRAY"), arr).otherwise(scalar)
+
+
+def stable(v: Column, t: Column | None = None) -> Column:
+    return render(v, vtype(v) if t is None else t, 3)
+
+
+def element_info(v: Column, t: Column) -> Column:
+    """struct<s: stable string, f: map key -> stable string of non-empty fields>.
+
+    One pass over the sorted entries feeds both the whole-element string and the
+    field map, so each field is rendered once."""
+    ent = F.transform(_entries(v), lambda e: F.struct(e["k"].alias("k"), render(e["v"], e["t"], 2).alias("r")))
+    obj_s = F.concat(F.lit("{"), F.array_join(F.transform(ent, lambda e: F.concat(e["k"], F.lit(":"), e["r"])), ","),
+                     F.lit("}"))
+    fields = F.map_from_entries(F.filter(ent, lambda e: e["r"] != ""))
+    is_obj = t.startswith("OBJECT")
+    return F.struct(F.when(is_obj, obj_s).otherwise(render(v, t, 3)).alias("s"),
+                    F.when(is_obj, fields).otherwise(F.create_map().cast("map<string,string>")).alias("f"))

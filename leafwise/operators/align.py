@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.leaf import element_similarity, leaf_score
-from leafwise.functions.values import as_array, as_map, kind, nonempty_fields, pystr, stable, truthy
+from leafwise.functions.values import as_array, as_map, element_info, kind_of, pystr, truthy, typed, vtype
 from leafwise.operators.assignment import with_match
 from leafwise.session import cut_lineage
 
@@ -58,33 +58,40 @@ def _object_children() -> Column:
 
 
 def _with_array_match(fr: DataFrame, is_arr: Column) -> DataFrame:
-    """Add the element arrays, the n×m weight matrix and the assignment of array rows."""
+    """Add the element arrays, the n×m weight matrix and the assignment of array rows.
+
+    Per-element work (type tag, stable string, field map, Python string) is
+    materialised once per element; the matrix only combines those."""
     empty = F.array().cast("array<variant>")
     ga = F.coalesce(F.when(is_arr & (F.col("_gk") == "array"), as_array(F.col("gt"))), empty)
     pa = F.coalesce(F.when(is_arr & (F.col("_pk") == "array"), as_array(F.col("pred"))), empty)
-    fr = fr.withColumn("_ga", ga).withColumn("_pa", pa)
+    fr = fr.withColumn("_ga", typed(ga)).withColumn("_pa", typed(pa))
     ga, pa = F.col("_ga"), F.col("_pa")
     n, m = F.size(ga), F.size(pa)
-    obj = (F.col("_items_type") == "object") | ((n > 0) & (kind(F.try_element_at(ga, F.lit(1))) == "object"))
+    first_t = F.try_element_at(ga, F.lit(1))["t"]
+    obj = (F.col("_items_type") == "object") | ((n > 0) & F.coalesce(first_t.startswith("OBJECT"), F.lit(False)))
+    fr = fr.withColumn("_obj", obj)
+    fr = fr.withColumn("_gi", F.when(F.col("_obj"), F.transform(ga, lambda e: element_info(e["v"], e["t"])))
+                       .otherwise(F.transform(ga, lambda e: F.struct(pystr(e["v"], e["t"]).alias("s"),
+                                                                      F.lit(None).cast("map<string,string>").alias("f")))))
+    fr = fr.withColumn("_pi", F.when(F.col("_obj"), F.transform(pa, lambda e: element_info(e["v"], e["t"])))
+                       .otherwise(F.transform(pa, lambda e: F.struct(pystr(e["v"], e["t"]).alias("s"),
+                                                                      F.lit(None).cast("map<string,string>").alias("f")))))
 
     # weights: object elements by field agreement and whole-element edit distance,
     # primitive elements by normalised edit distance of their Python strings
-    gi = F.transform(ga, lambda x: F.struct(stable(x).alias("s"), nonempty_fields(x).alias("f")))
-    pi = F.transform(pa, lambda x: F.struct(stable(x).alias("s"), nonempty_fields(x).alias("f")))
-
     def obj_w(g, p):
         eq = F.filter(F.map_keys(g["f"]), lambda k: F.try_element_at(p["f"], k) == g["f"][k])
         eq_len = F.aggregate(eq, F.lit(0), lambda acc, k: acc + F.length(g["f"][k]))
         return (F.size(eq).cast("double") * 1000.0 + eq_len.cast("double")
                 - F.levenshtein(g["s"], p["s"]).cast("double") * 0.1)
 
-    gs = F.transform(ga, lambda x: pystr(x))
-    ps = F.transform(pa, lambda x: pystr(x))
+    gi, pi = F.col("_gi"), F.col("_pi")
     w_obj = F.transform(gi, lambda g: F.transform(pi, lambda p: obj_w(g, p)))
-    w_prim = F.transform(gs, lambda a: F.transform(ps, lambda b: element_similarity(a, b)))
+    w_prim = F.transform(gi, lambda g: F.transform(pi, lambda p: element_similarity(g["s"], p["s"])))
     both = (n > 0) & (m > 0)
-    fr = fr.withColumn("_obj", obj).withColumn("_w", F.when(both, F.when(obj, w_obj).otherwise(w_prim)))
-    return with_match(fr, F.col("_w"), n, m)
+    fr = fr.withColumn("_w", F.when(both, F.when(F.col("_obj"), w_obj).otherwise(w_prim)))
+    return with_match(fr, F.col("_w"), n, m).drop("_gi", "_pi", "_w")
 
 
 def _array_children() -> Column:
@@ -95,9 +102,9 @@ def _array_children() -> Column:
     is_leaf = ~obj
     leaf_type = F.when(obj, F.lit(None).cast("string")).otherwise(F.col("_items_type"))
     from_gt = F.transform(ga, lambda x, i: _child(
-        F.concat(F.col("path"), F.lit("["), i.cast("string"), F.lit("]")), item_spath, x,
-        F.when(match[i] >= 0, F.try_element_at(pa, match[i] + 1)), is_leaf, leaf_type))
-    pred_idx = F.transform(pa, lambda y, j: F.struct(j.alias("j"), y.alias("y")))
+        F.concat(F.col("path"), F.lit("["), i.cast("string"), F.lit("]")), item_spath, x["v"],
+        F.when(match[i] >= 0, F.try_element_at(pa, match[i] + 1)["v"]), is_leaf, leaf_type))
+    pred_idx = F.transform(pa, lambda y, j: F.struct(j.alias("j"), y["v"].alias("y")))
     unmatched = F.filter(pred_idx, lambda s: ~F.array_contains(match, s["j"]))
     from_pred = F.transform(unmatched, lambda s: _child(
         F.concat(F.col("path"), F.lit("["), (n + s["j"]).cast("string"), F.lit("]")), item_spath,
@@ -113,7 +120,8 @@ def _level(frontier: DataFrame, nodes: DataFrame | None) -> DataFrame:
         fr = fr.withColumn("ftype", F.lit(None).cast("string")).withColumn("items_type", F.lit(None).cast("string"))
     fr = (fr.withColumn("_ft", F.coalesce(F.col("ftype"), F.lit("string")))
           .withColumn("_items_type", F.coalesce(F.col("items_type"), F.lit("string")))
-          .withColumn("_gk", kind(F.col("gt"))).withColumn("_pk", kind(F.col("pred")))
+          .withColumn("_gt_t", vtype(F.col("gt"))).withColumn("_pr_t", vtype(F.col("pred")))
+          .withColumn("_gk", kind_of(F.col("_gt_t"))).withColumn("_pk", kind_of(F.col("_pr_t")))
           .filter(~((F.col("_gk") == "null") & (F.col("_pk") == "null"))))
     ft, gk, pk = F.col("_ft"), F.col("_gk"), F.col("_pk")
     is_obj = (ft == "object") | (gk == "object") | (pk == "object")
@@ -164,8 +172,10 @@ def leaf_pairs(pairs: DataFrame, schema_nodes: DataFrame | None = None, max_dept
 
 
 def scored_leaves(leaves: DataFrame) -> DataFrame:
-    return leaves.select("doc_key", "path", "ftype",
-                         leaf_score(F.col("gt"), F.col("pred"), F.col("ftype")).alias("score"))
+    typed_leaves = leaves.select("*", vtype(F.col("gt")).alias("_at"), vtype(F.col("pred")).alias("_pt"))
+    return typed_leaves.select("doc_key", "path", "ftype",
+                               leaf_score(F.col("gt"), F.col("pred"), F.col("ftype"),
+                                          F.col("_at"), F.col("_pt")).alias("score"))
 
 
 _KEY_TOKEN = r'"(?:[^"\\]|\\.)*"\s*:'
@@ -178,7 +188,7 @@ def leaf_count(v: Column) -> Column:
     (token count over the compact JSON text, JVM-side, no recursion)."""
     txt = F.regexp_replace(F.regexp_replace(F.to_json(v), _KEY_TOKEN, ":"), _STR_TOKEN, "S")
     c = F.regexp_count(txt, F.lit(_SCALAR))
-    return F.when(kind(v).isin("object", "array"), F.greatest(c, F.lit(1))).otherwise(F.lit(1))
+    return F.when(kind_of(vtype(v)).isin("object", "array"), F.greatest(c, F.lit(1))).otherwise(F.lit(1))
 
 
 def document_scores(pairs: DataFrame, schema_nodes: DataFrame | None = None,

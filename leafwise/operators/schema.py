@@ -97,8 +97,10 @@ def schema_nodes(schemas: DataFrame, max_depth: int = MAX_SCHEMA_DEPTH) -> DataF
         F.lit(False).alias("is_array_item"), F.lit(True).alias("required"))
     levels = []
     for d in range(max_depth + 1):
-        node = resolve(F.col("raw"), F.col("root"))
-        lvl = cut_lineage(frontier.select("*", node.alias("node")))
+        lvl = frontier.withColumn("node", F.col("raw"))
+        for _ in range(3):      # each step materialised, so the expression stays linear
+            lvl = lvl.withColumn("node", _resolve_once(F.col("node"), F.col("root")))
+        lvl = cut_lineage(lvl)
         levels.append(lvl)
         if d == max_depth:
             break
