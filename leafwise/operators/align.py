@@ -57,26 +57,28 @@ def _object_children() -> Column:
         F.try_element_at(gm, k), F.try_element_at(pm, k), False, None))
 
 
-def _with_array_match(fr: DataFrame, is_arr: Column) -> DataFrame:
-    """Add the element arrays, the n×m weight matrix and the assignment of array rows.
-
-    Per-element work (type tag, stable string, field map, Python string) is
-    materialised once per element; the matrix only combines those."""
-    empty = F.array().cast("array<variant>")
-    ga = F.coalesce(F.when(is_arr & (F.col("_gk") == "array"), as_array(F.col("gt"))), empty)
-    pa = F.coalesce(F.when(is_arr & (F.col("_pk") == "array"), as_array(F.col("pred"))), empty)
-    fr = fr.withColumn("_ga", typed(ga)).withColumn("_pa", typed(pa))
+def array_matching(fr: DataFrame, ga: Column, pa: Column, items_type: Column, keep_weights: bool = False,
+                   greedy: bool = False) -> DataFrame:
+    """Match two VARIANT arrays held in the same row.
+
+    Adds ``_ga`` / ``_pa`` (array<struct<v, t>>), ``_obj`` (object-element
+    matching), optionally ``_w`` (the n×m weight matrix) and ``_match``
+    (matched column per ground-truth element, -1 if none).  Per-element work
+    (type tag, stable string, field map, Python string) is materialised once
+    per element; the matrix only combines those.  Nothing leaves the row.
+    """
+    fr = fr.withColumn("_ga", typed(ga)).withColumn("_pa", typed(pa)).withColumn("_it", items_type)
     ga, pa = F.col("_ga"), F.col("_pa")
     n, m = F.size(ga), F.size(pa)
     first_t = F.try_element_at(ga, F.lit(1))["t"]
-    obj = (F.col("_items_type") == "object") | ((n > 0) & F.coalesce(first_t.startswith("OBJECT"), F.lit(False)))
+    obj = (F.col("_it") == "object") | ((n > 0) & F.coalesce(first_t.startswith("OBJECT"), F.lit(False)))
     fr = fr.withColumn("_obj", obj)
+    prim = lambda e: F.struct(pystr(e["v"], e["t"]).alias("s"),
+                              F.lit(None).cast("map<string,string>").alias("f"))
     fr = fr.withColumn("_gi", F.when(F.col("_obj"), F.transform(ga, lambda e: element_info(e["v"], e["t"])))
-                       .otherwise(F.transform(ga, lambda e: F.struct(pystr(e["v"], e["t"]).alias("s"),
-                                                                      F.lit(None).cast("map<string,string>").alias("f")))))
+                       .otherwise(F.transform(ga, prim)))
     fr = fr.withColumn("_pi", F.when(F.col("_obj"), F.transform(pa, lambda e: element_info(e["v"], e["t"])))
-                       .otherwise(F.transform(pa, lambda e: F.struct(pystr(e["v"], e["t"]).alias("s"),
-                                                                      F.lit(None).cast("map<string,string>").alias("f")))))
+                       .otherwise(F.transform(pa, prim)))
 
     # weights: object elements by field agreement and whole-element edit distance,
     # primitive elements by normalised edit distance of their Python strings
@@ -91,7 +93,15 @@ def _with_array_match(fr: DataFrame, is_arr: Column) -> DataFrame:
     w_prim = F.transform(gi, lambda g: F.transform(pi, lambda p: element_similarity(g["s"], p["s"])))
     both = (n > 0) & (m > 0)
     fr = fr.withColumn("_w", F.when(both, F.when(F.col("_obj"), w_obj).otherwise(w_prim)))
-    return with_match(fr, F.col("_w"), n, m).drop("_gi", "_pi", "_w")
+    fr = with_match(fr, F.col("_w"), n, m, greedy=greedy).drop("_gi", "_pi", "_it")
+    return fr if keep_weights else fr.drop("_w")
+
+
+def _with_array_match(fr: DataFrame, is_arr: Column) -> DataFrame:
+    empty = F.array().cast("array<variant>")
+    ga = F.coalesce(F.when(is_arr & (F.col("_gk") == "array"), as_array(F.col("gt"))), empty)
+    pa = F.coalesce(F.when(is_arr & (F.col("_pk") == "array"), as_array(F.col("pred"))), empty)
+    return array_matching(fr, ga, pa, F.col("_items_type"))
 
 
 def _array_children() -> Column:
@@ -222,3 +232,16 @@ def document_scores(pairs: DataFrame, schema_nodes: DataFrame | None = None,
     if with_field_scores:
         cols.append(F.coalesce(F.col("field_scores"), F.create_map().cast("map<string,double>")).alias("field_scores"))
     return j.select(*cols)
+
+
+def key_alignment(pairs: DataFrame) -> DataFrame:
+    """Root-level object key union: (doc_key, key, side in both/gt_only/pred_only),
+    reserved keys excluded.  In-row set algebra on the two key arrays."""
+    empty = F.array().cast("array<string>")
+    gk = F.coalesce(F.map_keys(as_map(F.col("gt"))), empty)
+    pk = F.coalesce(F.map_keys(as_map(F.col("pred"))), empty)
+    both = F.transform(F.array_intersect(gk, pk), lambda k: F.struct(k.alias("key"), F.lit("both").alias("side")))
+    g_only = F.transform(F.array_except(gk, pk), lambda k: F.struct(k.alias("key"), F.lit("gt_only").alias("side")))
+    p_only = F.transform(F.array_except(pk, gk), lambda k: F.struct(k.alias("key"), F.lit("pred_only").alias("side")))
+    out = pairs.select("doc_key", F.explode(F.concat(both, g_only, p_only)).alias("e")).select("doc_key", "e.*")
+    return out.filter(F.col("key") != RESERVED)

@@ -117,3 +117,39 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("ord_"), k.cast("string")).alias("doc_key"), F.lit(SCHEMA_ID).alias("schema_id"),
         F.parse_json(F.to_json(gt)).alias("gt"),
         F.parse_json(F.to_json(pred, {"ignoreNullFields": "true"})).alias("pred"))
+
+
+def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primitive-array carrier: per order the part names of its items (ground truth,
+    sorted like the items) and a perturbed, shuffled prediction: linenumber % 5 = 0
+    dropped, an 's' appended when partkey % 4 = 0, and an extra 'spare part' for
+    orderkey % 9 = 0.  (doc_key, gt VARIANT array, pred VARIANT array)."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+        "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    x = li.join(part, li.l_partkey == part.p_partkey, "inner")
+    sort_cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+                 "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    pk = F.col("l_partkey")
+    pred_name = F.when(pk % 4 == 0, F.concat("p_name", F.lit("s"))).otherwise(F.col("p_name"))
+    agg = x.groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in sort_cols], F.col("p_name").alias("v")))).alias("g"),
+        F.sort_array(F.collect_list(F.when(F.col("l_linenumber") % 5 != 0, F.struct(
+            ((pk * 31) % 97).alias("shuffle"), *[F.col(c) for c in sort_cols], pred_name.alias("v"))))).alias("p"))
+    k = F.col("l_orderkey")
+    extra = F.when(k % 9 == 0, F.array(F.lit("spare part"))).otherwise(F.array().cast("array<string>"))
+    return agg.select(
+        F.concat(F.lit("ord_"), k.cast("string")).alias("doc_key"),
+        F.parse_json(F.to_json(F.transform("g", lambda e: e["v"]))).alias("gt"),
+        F.parse_json(F.to_json(F.concat(F.transform("p", lambda e: e["v"]), extra))).alias("pred"))
+
+
+def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document per event: its props object plus scalar, null and array fields."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    doc = F.struct(F.col("event_type").alias("event"), F.col("value").alias("value"),
+                   F.col("user_id").alias("user"), (F.col("value") > 10).alias("flag"),
+                   F.lit(None).cast("string").alias("note"), F.parse_json("props").alias("props"),
+                   F.array(F.col("event_type"), (F.col("user_id") % 7).cast("string")).alias("tags"))
+    return e.select("event_id", F.to_variant_object(doc).alias("doc"))

@@ -129,3 +129,269 @@ WITH {DOCS_CTE}
 SELECT 'ord_' || CAST(ok AS VARCHAR) AS doc_key, round(sum(sc), 2) AS total, CAST(count(*) AS DOUBLE) AS max,
        round(sum(sc) / count(*) * 100.0, 1) AS pct
 FROM all_leaves GROUP BY ok"""
+
+
+# --- more alignment queries ---------------------------------------------------------
+from leafwise.functions import leaf as LF  # noqa: E402
+from leafwise.functions.values import as_array, as_map  # noqa: E402
+from leafwise.operators.flatten import flatten_json  # noqa: E402
+from leafwise.sources.tables import table  # noqa: E402
+
+
+@q("leaf_ned")
+def leaf_ned(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
+    return p.join(nxt, "p_partkey").select("p_partkey", LF.ned(F.col("p_name"), F.col("next_name")).alias("sim"))
+
+
+SQL["leaf_ned"] = f"""
+SELECT a.p_partkey, {ned_sql('a.p_name', 'b.p_name')} AS sim FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"""
+
+
+@q("leaf_number")
+def leaf_number(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    q_pred = F.col("l_quantity") * (F.lit(100) + F.col("l_orderkey") % 41 - 20) / 100.0
+    return li.select("l_orderkey", "l_linenumber",
+                     LF.number_score_d(F.col("l_discount"), F.col("l_tax")).alias("s_rate"),
+                     LF.number_score_d(F.col("l_quantity"), q_pred).alias("s_qty"))
+
+
+SQL["leaf_number"] = f"""
+SELECT l_orderkey, l_linenumber, {num_sql('l_discount', 'l_tax')} AS s_rate,
+       {num_sql('l_quantity', 'l_quantity * (100 + l_orderkey % 41 - 20) / 100.0')} AS s_qty FROM lineitem"""
+
+
+def _vpair(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                          "o_orderpriority")
+    k = F.col("o_orderkey")
+    doc = F.to_variant_object(F.struct(
+        F.col("o_orderpriority").alias("s1"),
+        F.when(k % 6 == 0, F.lower("o_orderpriority")).otherwise(F.concat(F.lit(" "), F.col("o_orderpriority")))
+        .alias("s2"),
+        F.col("o_totalprice").alias("n1"), (F.col("o_totalprice") * (F.lit(100) + k % 13) / 100.0).alias("n2"),
+        F.col("o_custkey").alias("i1"), (F.col("o_custkey") + k % 3).alias("i2"),
+        (F.col("o_orderstatus") == "F").alias("b1"),
+        F.when(k % 5 == 0, F.lit("")).otherwise(F.col("o_orderstatus")).alias("b2")))
+    return o.select("o_orderkey", doc.alias("d"))
+
+
+@q("leaf_boolean")
+def leaf_boolean(spark, sf):
+    d = _vpair(spark, sf)
+    m = as_map(F.col("d"))
+    return d.select("o_orderkey", LF.boolean_score(m["b1"], m["b2"]).alias("s_bool"),
+                    LF.boolean_score(m["i1"], m["b1"]).alias("s_num_bool"))
+
+
+SQL["leaf_boolean"] = """
+SELECT o_orderkey,
+       CASE WHEN (o_orderstatus = 'F') = (CASE WHEN o_orderkey % 5 = 0 THEN false ELSE length(o_orderstatus) > 0 END)
+            THEN 1.0 ELSE 0.0 END AS s_bool,
+       CASE WHEN (o_custkey <> 0) = (o_orderstatus = 'F') THEN 1.0 ELSE 0.0 END AS s_num_bool
+FROM orders"""
+
+
+@q("leaf_dispatch")
+def leaf_dispatch(spark, sf):
+    d = _vpair(spark, sf)
+    m = as_map(F.col("d"))
+    k = F.col("o_orderkey") % 4
+    ftype = (F.when(k == 0, F.lit("string")).when(k == 1, F.lit("number")).when(k == 2, F.lit("integer"))
+             .otherwise(F.lit("boolean")))
+    a = F.when(k == 0, m["s1"]).when(k == 1, m["n1"]).when(k == 2, m["i1"]).otherwise(m["b1"])
+    p = F.when(k == 0, m["s2"]).when(k == 1, m["n2"]).when(k == 2, m["i2"]).otherwise(m["b2"])
+    return d.select("o_orderkey", ftype.alias("ftype"), LF.leaf_score(a, p, ftype).alias("score"))
+
+
+_s2 = "CASE WHEN o_orderkey % 6 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END"
+SQL["leaf_dispatch"] = f"""
+SELECT o_orderkey,
+       CASE o_orderkey % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'number' WHEN 2 THEN 'integer' ELSE 'boolean' END AS ftype,
+       CASE o_orderkey % 4
+         WHEN 0 THEN {ned_sql('o_orderpriority', _s2)}
+         WHEN 1 THEN {num_sql('o_totalprice', 'o_totalprice * (100 + o_orderkey % 13) / 100.0')}
+         WHEN 2 THEN {num_sql('CAST(o_custkey AS DOUBLE)', 'CAST(o_custkey + o_orderkey % 3 AS DOUBLE)')}
+         ELSE CASE WHEN (o_orderstatus = 'F') = (CASE WHEN o_orderkey % 5 = 0 THEN false
+                                                     ELSE length(o_orderstatus) > 0 END) THEN 1.0 ELSE 0.0 END
+       END AS score
+FROM orders"""
+
+
+@q("doc_score_degenerate")
+def doc_score_degenerate(spark, sf):
+    pairs = docs.document_pairs(spark, sf)
+    k = F.regexp_extract("doc_key", r"(\d+)$", 1).cast("long")
+    pred = (F.when(k % 8 == 0, F.lit(None).cast("variant"))
+            .when(k % 8 == 1, F.parse_json(F.lit("{}"))).otherwise(F.col("pred")))
+    return align.document_scores(pairs.withColumn("pred", pred), _nodes(spark))
+
+
+SQL["doc_score_degenerate"] = f"""
+WITH {DOCS_CTE},
+nitems AS (SELECT o.o_orderkey AS ok, COALESCE(nm.n, 0) AS n FROM orders o LEFT JOIN nm ON nm.ok = o.o_orderkey),
+normal AS (SELECT ok, round(sum(sc), 2) AS total, CAST(count(*) AS DOUBLE) AS max,
+                  round(sum(sc) / count(*) * 100.0, 1) AS pct FROM all_leaves GROUP BY ok)
+SELECT 'ord_' || CAST(ok AS VARCHAR) AS doc_key,
+       CASE WHEN ok % 8 IN (0, 1) THEN 0.0 ELSE total END AS total,
+       CASE WHEN ok % 8 IN (0, 1) THEN CAST(7 + 5 * n AS DOUBLE) ELSE max END AS max,
+       CASE WHEN ok % 8 IN (0, 1) THEN 0.0 ELSE pct END AS pct
+FROM normal JOIN nitems USING (ok)"""
+
+
+@q("leaf_count")
+def leaf_count(spark, sf):
+    pairs = docs.document_pairs(spark, sf)
+    return pairs.select("doc_key", align.leaf_count(F.col("gt")).alias("n_leaves"))
+
+
+SQL["leaf_count"] = """
+SELECT 'ord_' || CAST(o.o_orderkey AS VARCHAR) AS doc_key, CAST(7 + 5 * COALESCE(c.n, 0) AS INTEGER) AS n_leaves
+FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) c
+  ON c.l_orderkey = o.o_orderkey"""
+
+
+def _items(col):
+    return F.coalesce(as_array(as_map(F.col(col))["items"]), F.array().cast("array<variant>"))
+
+
+def _item_matching(spark, sf, swap=False, keep_weights=False):
+    pairs = docs.document_pairs(spark, sf)
+    g, p = ("pred", "gt") if swap else ("gt", "pred")
+    return align.array_matching(pairs.select("doc_key", "gt", "pred"), _items(g), _items(p),
+                                F.lit("object"), keep_weights=keep_weights)
+
+
+def _edges(df):
+    rows = df.select("doc_key", F.posexplode("_w").alias("i", "row"))
+    return rows.select("doc_key", "i", F.posexplode("row").alias("j", "weight"))
+
+
+@q("object_similarity")
+def object_similarity(spark, sf):
+    return _edges(_item_matching(spark, sf, keep_weights=True).filter(F.col("_w").isNotNull()))
+
+
+SQL["object_similarity"] = f"""
+WITH {DOCS_CTE}
+SELECT 'ord_' || CAST(ok AS VARCHAR) AS doc_key, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, wgt AS weight FROM wt"""
+
+
+@q("unmatched_gt")
+def unmatched_gt(spark, sf):
+    m = _item_matching(spark, sf)
+    return (m.select("doc_key", F.posexplode("_match").alias("i", "j")).filter(F.col("j") < 0)
+            .select("doc_key", F.concat(F.lit("$.items["), F.col("i").cast("string"), F.lit("]")).alias("path")))
+
+
+SQL["unmatched_gt"] = f"""
+WITH {DOCS_CTE}
+SELECT 'ord_' || CAST(g.ok AS VARCHAR) AS doc_key, '$.items[' || CAST(g.i AS VARCHAR) || ']' AS path
+FROM gi g WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.ok = g.ok AND mt.i = g.i)"""
+
+
+@q("unmatched_pred")
+def unmatched_pred(spark, sf):
+    m = _item_matching(spark, sf, swap=True)
+    idx = F.transform(F.col("_pa"), lambda y, j: j)
+    un = F.filter(idx, lambda j: ~F.array_contains(F.col("_match"), j))
+    return (m.select("doc_key", F.size("_ga").alias("n"), F.explode(un).alias("j"))
+            .select("doc_key", F.concat(F.lit("$.items["), (F.col("n") + F.col("j")).cast("string"),
+                                        F.lit("]")).alias("path")))
+
+
+SQL["unmatched_pred"] = f"""
+WITH {DOCS_CTE}
+SELECT 'ord_' || CAST(g.ok AS VARCHAR) AS doc_key, '$.items[' || CAST(COALESCE(mm.m, 0) + g.i AS VARCHAR) || ']' AS path
+FROM gi g LEFT JOIN mm ON mm.ok = g.ok WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.ok = g.ok AND mt.i = g.i)"""
+
+
+def _name_matching(spark, sf, greedy=False, keep_weights=False):
+    pairs = docs.name_pairs(spark, sf)
+    return align.array_matching(pairs, as_array(F.col("gt")), as_array(F.col("pred")), F.lit("string"),
+                                keep_weights=keep_weights, greedy=greedy)
+
+
+@q("primitive_similarity")
+def primitive_similarity(spark, sf):
+    return _edges(_name_matching(spark, sf, keep_weights=True).filter(F.col("_w").isNotNull()))
+
+
+_NAME_CTE = f"""
+li AS (SELECT l.*, p.p_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+g AS (SELECT l_orderkey AS ok, p_name AS s,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER_COLS}) - 1 AS i FROM li),
+p0 AS (SELECT l_orderkey AS ok, CASE WHEN l_partkey % 4 = 0 THEN p_name || 's' ELSE p_name END AS s,
+              row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_partkey * 31) % 97, {_ORDER_COLS}) - 1 AS j
+       FROM li WHERE l_linenumber % 5 <> 0),
+p AS (SELECT * FROM p0
+      UNION ALL SELECT ok, 'spare part', (SELECT count(*) FROM p0 WHERE p0.ok = k.ok)
+      FROM (SELECT DISTINCT l_orderkey AS ok FROM li WHERE l_orderkey % 9 = 0) k)
+"""
+
+SQL["primitive_similarity"] = f"""
+WITH {_NAME_CTE}
+SELECT 'ord_' || CAST(g.ok AS VARCHAR) AS doc_key, CAST(g.i AS INTEGER) AS i, CAST(p.j AS INTEGER) AS j,
+       1.0 - CAST(levenshtein(g.s, p.s) AS DOUBLE) / CAST(greatest(length(g.s), length(p.s), 1) AS DOUBLE) AS weight
+FROM g JOIN p ON g.ok = p.ok"""
+
+
+def _assignment_totals(m):
+    w = F.col("_w")
+    pairs = F.filter(F.transform(F.col("_match"), lambda j, i: F.struct(i.alias("i"), j.alias("j"))),
+                     lambda s: s["j"] >= 0)
+    total = F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + F.element_at(F.element_at(w, s["i"] + 1), s["j"] + 1))
+    return m.select("doc_key", F.size("_ga").alias("n"), F.size("_pa").alias("m"),
+                    F.size(pairs).alias("matched"), F.round(F.coalesce(total, F.lit(0.0)), 9).alias("total_weight"))
+
+
+@q("assignment_optimal")
+def assignment_optimal(spark, sf):
+    return _assignment_totals(_name_matching(spark, sf, keep_weights=True))
+
+
+@q("assignment_greedy")
+def assignment_greedy(spark, sf):
+    return _assignment_totals(_name_matching(spark, sf, greedy=True, keep_weights=True))
+
+
+@q("json_flatten")
+def json_flatten(spark, sf):
+    ev = docs.event_documents(spark, sf)
+    return flatten_json(ev, "event_id", "doc").select(F.col("key").alias("event_id"), "path", "kind", "text")
+
+
+_EV_CTE = """
+ev AS (SELECT event_id, '$.event' AS path, 'string' AS kind, event_type AS text FROM events
+ UNION ALL SELECT event_id, '$.value', 'number', CAST(value AS VARCHAR) FROM events
+ UNION ALL SELECT event_id, '$.user', 'integer', CAST(user_id AS VARCHAR) FROM events
+ UNION ALL SELECT event_id, '$.flag', 'boolean', CASE WHEN value > 10 THEN 'True' ELSE 'False' END FROM events
+ UNION ALL SELECT event_id, '$.note', 'null', 'None' FROM events
+ UNION ALL SELECT event_id, '$.props.k', 'integer', CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) FROM events
+ UNION ALL SELECT event_id, '$.tags[0]', 'string', event_type FROM events
+ UNION ALL SELECT event_id, '$.tags[1]', 'string', CAST(user_id % 7 AS VARCHAR) FROM events)
+"""
+SQL["json_flatten"] = f"WITH {_EV_CTE} SELECT * FROM ev"
+
+
+@q("value_types")
+def value_types(spark, sf):
+    ev = docs.event_documents(spark, sf)
+    return flatten_json(ev, "event_id", "doc").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL["value_types"] = f"WITH {_EV_CTE} SELECT kind, count(*) AS n FROM ev GROUP BY kind"
+
+
+@q("object_key_align")
+def object_key_align(spark, sf):
+    pairs = docs.document_pairs(spark, sf)
+    return align.key_alignment(pairs).groupBy("key", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL["object_key_align"] = """
+WITH k AS (SELECT unnest(['customer', 'items', 'orderkey', 'priority', 'status', 'totalprice']) AS key)
+SELECT key, 'both' AS side, (SELECT count(*) FROM orders) AS n FROM k
+UNION ALL SELECT 'comment', 'pred_only', count(*) FROM orders WHERE o_orderkey % 10 = 0"""
