@@ -94,7 +94,8 @@ def schema_nodes(schemas: DataFrame, max_depth: int = MAX_SCHEMA_DEPTH) -> DataF
     frontier = distinct.select(
         "schema_id", F.lit("$").alias("spath"), F.lit(None).cast("string").alias("parent_spath"),
         F.lit("$").alias("name"), F.col("root").alias("raw"), "root", F.lit(0).alias("depth"),
-        F.lit(False).alias("is_array_item"), F.lit(True).alias("required"))
+        F.lit(False).alias("is_array_item"), F.lit(True).alias("required"),
+        F.array().cast("array<string>").alias("parts"))
     levels = []
     for d in range(max_depth + 1):
         lvl = frontier.withColumn("node", F.col("raw"))
@@ -118,10 +119,11 @@ def schema_nodes(schemas: DataFrame, max_depth: int = MAX_SCHEMA_DEPTH) -> DataF
             F.lit(True).alias("is_array_item"), F.lit(True).alias("required")))).otherwise(
             F.array().cast("array<struct<spath:string,name:string,raw:map<string,variant>,"
                            "is_array_item:boolean,required:boolean>>"))
-        nxt = lvl.select("schema_id", "root", F.col("spath").alias("parent_spath"), F.col("depth"),
+        nxt = lvl.select("schema_id", "root", F.col("spath").alias("parent_spath"), F.col("depth"), "parts",
                          F.explode(F.concat(kids, item_kid)).alias("k"))
         frontier = nxt.select("schema_id", "k.spath", "parent_spath", "k.name", "k.raw", "root",
-                              (F.col("depth") + 1).alias("depth"), "k.is_array_item", "k.required")
+                              (F.col("depth") + 1).alias("depth"), "k.is_array_item", "k.required",
+                              F.concat(F.col("parts"), F.array(F.col("k.name"))).alias("parts"))
         if frontier.isEmpty():
             break
     allv = levels[0]
@@ -139,6 +141,7 @@ def schema_nodes(schemas: DataFrame, max_depth: int = MAX_SCHEMA_DEPTH) -> DataF
          & F.coalesce(F.try_variant_get(_get(n, "additionalProperties"), "$", "boolean"), F.lit(False)).eqNullSafe(False)
          ).alias("closed"),
         _get(n, "$ref").isNotNull().alias("unresolved_ref"),
+        _str(_get(n, "type")).alias("declared_type"), "parts",
         "depth")
     items = nodes.filter("is_array_item").select(
         "schema_id", F.col("parent_spath").alias("spath"), F.col("ftype").alias("items_type"))
