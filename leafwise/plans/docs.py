@@ -153,3 +153,24 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.lit(None).cast("string").alias("note"), F.parse_json("props").alias("props"),
                    F.array(F.col("event_type"), (F.col("user_id") % 7).cast("string")).alias("tags"))
     return e.select("event_id", F.to_variant_object(doc).alias("doc"))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw responses per order, one class per orderkey % 7: 0 plain JSON, 1 fenced,
+    2 truncated, 3 empty, 4 refused (NULL + error), 5 wrapped in a list ('[]' when
+    orderkey % 14 = 5), 6 orderkey of the wrong type."""
+    pairs = document_pairs(spark, sf_dir)
+    k = F.regexp_extract("doc_key", r"(\d+)$", 1).cast("long")
+    js = F.to_json(F.col("pred"))
+    c = k % 7
+    raw = (F.when(c == 0, js)
+           .when(c == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
+           .when(c == 2, F.substring(js, 1, 20))
+           .when(c == 3, F.lit(""))
+           .when(c == 4, F.lit(None).cast("string"))
+           .when(k % 14 == 5, F.lit("[]"))
+           .when(c == 5, F.concat(F.lit("["), js, F.lit("]")))
+           .otherwise(F.regexp_replace(js, r'"orderkey":[0-9]+', '"orderkey":"abc"')))
+    err = F.when(c == 4, F.lit("Model refused: I cannot help with that"))
+    return pairs.select(F.col("doc_key").alias("sample_id"), "schema_id", raw.alias("raw_response"),
+                        err.alias("error"), (F.lit(100) + k % 900).cast("double").alias("latency_ms"), k.alias("k"))
