@@ -3,9 +3,9 @@ matching DuckDB oracle SQL where the query is SQL-expressible."""
 
 from __future__ import annotations
 
-from leafwise.plans import q_align, q_boards, q_requests, q_rubric, q_schema, q_select, q_stream
+from leafwise.plans import q_align, q_boards, q_requests, q_rubric, q_schema, q_select, q_sources, q_stream
 
-_MODULES = [q_boards, q_select, q_align, q_schema, q_requests, q_rubric, q_stream]
+_MODULES = [q_boards, q_select, q_align, q_schema, q_requests, q_rubric, q_stream, q_sources]
 
 
 def queries() -> dict:
