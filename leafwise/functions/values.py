@@ -141,15 +141,20 @@ def stable(v: Column, t: Column | None = None) -> Column:
     return render(v, vtype(v) if t is None else t, 3)
 
 
+FIELD_SEP = "\u0000"
+
+
 def element_info(v: Column, t: Column) -> Column:
-    """struct<s: stable string, f: map key -> stable string of non-empty fields>.
+    """struct<s: stable string, f: array of 'key<NUL>stable value' for non-empty fields>.
 
     One pass over the sorted entries feeds both the whole-element string and the
-    field map, so each field is rendered once."""
+    field entries, so each field is rendered once.  Two elements agree on a field
+    exactly when they share its entry, so equal fields are one ``array_intersect``."""
     ent = F.transform(_entries(v), lambda e: F.struct(e["k"].alias("k"), render(e["v"], e["t"], 2).alias("r")))
     obj_s = F.concat(F.lit("{"), F.array_join(F.transform(ent, lambda e: F.concat(e["k"], F.lit(":"), e["r"])), ","),
                      F.lit("}"))
-    fields = F.map_from_entries(F.filter(ent, lambda e: e["r"] != ""))
+    fields = F.transform(F.filter(ent, lambda e: e["r"] != ""),
+                         lambda e: F.concat(e["k"], F.lit(FIELD_SEP), e["r"]))
     is_obj = t.startswith("OBJECT")
     return F.struct(F.when(is_obj, obj_s).otherwise(render(v, t, 3)).alias("s"),
-                    F.when(is_obj, fields).otherwise(F.create_map().cast("map<string,string>")).alias("f"))
+                    F.when(is_obj, fields).otherwise(F.array().cast("array<string>")).alias("f"))

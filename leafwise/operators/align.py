@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.leaf import element_similarity, leaf_score
-from leafwise.functions.values import as_array, as_map, element_info, kind_of, pystr, truthy, typed, vtype
+from leafwise.functions.values import FIELD_SEP, as_array, as_map, element_info, kind_of, pystr, truthy, typed, vtype
 from leafwise.operators.assignment import with_match
 from leafwise.session import cut_lineage
 
@@ -74,7 +74,7 @@ def array_matching(fr: DataFrame, ga: Column, pa: Column, items_type: Column, ke
     obj = (F.col("_it") == "object") | ((n > 0) & F.coalesce(first_t.startswith("OBJECT"), F.lit(False)))
     fr = fr.withColumn("_obj", obj)
     prim = lambda e: F.struct(pystr(e["v"], e["t"]).alias("s"),
-                              F.lit(None).cast("map<string,string>").alias("f"))
+                              F.lit(None).cast("array<string>").alias("f"))
     fr = fr.withColumn("_gi", F.when(F.col("_obj"), F.transform(ga, lambda e: element_info(e["v"], e["t"])))
                        .otherwise(F.transform(ga, prim)))
     fr = fr.withColumn("_pi", F.when(F.col("_obj"), F.transform(pa, lambda e: element_info(e["v"], e["t"])))
@@ -83,8 +83,8 @@ def array_matching(fr: DataFrame, ga: Column, pa: Column, items_type: Column, ke
     # weights: object elements by field agreement and whole-element edit distance,
     # primitive elements by normalised edit distance of their Python strings
     def obj_w(g, p):
-        eq = F.filter(F.map_keys(g["f"]), lambda k: F.try_element_at(p["f"], k) == g["f"][k])
-        eq_len = F.aggregate(eq, F.lit(0), lambda acc, k: acc + F.length(g["f"][k]))
+        eq = F.array_intersect(g["f"], p["f"])
+        eq_len = F.aggregate(eq, F.lit(0), lambda acc, e: acc + F.length(e) - F.instr(e, FIELD_SEP))
         return (F.size(eq).cast("double") * 1000.0 + eq_len.cast("double")
                 - F.levenshtein(g["s"], p["s"]).cast("double") * 0.1)
 
@@ -135,16 +135,22 @@ def _level(frontier: DataFrame, nodes: DataFrame | None) -> DataFrame:
           .filter(~((F.col("_gk") == "null") & (F.col("_pk") == "null"))))
     ft, gk, pk = F.col("_ft"), F.col("_gk"), F.col("_pk")
     is_obj = (ft == "object") | (gk == "object") | (pk == "object")
-    is_arr = (ft == "array") | (gk == "array") | (pk == "array")
+    is_arr = ~is_obj & ((ft == "array") | (gk == "array") | (pk == "array"))
+    fr = fr.withColumn("_cls", F.when(is_obj, F.lit("object")).when(is_arr, F.lit("array"))
+                       .otherwise(F.lit("leaf")))
     inferred = F.when(gk != "null", gk).otherwise(pk)
     leaf_type = F.when(ft.isin(*LEAF_TYPES), ft).otherwise(inferred)
     leaf = F.array(_child(F.col("path"), F.col("spath"), F.col("gt"), F.col("pred"), True, leaf_type))
-    fr = _with_array_match(fr, is_arr & ~is_obj)
-    children = (F.when(is_obj, _object_children())
-                .when(is_arr, _array_children())
-                .otherwise(leaf))
-    return (fr.select("doc_key", "schema_id", F.explode(children).alias("c"))
-            .select("doc_key", "schema_id", "c.*"))
+    # objects and leaves: cheap in-row work
+    simple = fr.filter(F.col("_cls") != "array")
+    kids = F.when(F.col("_cls") == "object", _object_children()).otherwise(leaf)
+    out_simple = (simple.select("doc_key", "schema_id", F.explode(kids).alias("c"))
+                  .select("doc_key", "schema_id", "c.*"))
+    # arrays: element info, weight matrix, assignment — only rows that need it
+    arrays = _with_array_match(fr.filter(F.col("_cls") == "array"), F.lit(True))
+    out_arr = (arrays.select("doc_key", "schema_id", F.explode(_array_children()).alias("c"))
+               .select("doc_key", "schema_id", "c.*"))
+    return out_simple.unionByName(out_arr)
 
 
 def _node_lookup(schema_nodes: DataFrame | None) -> DataFrame | None:
