@@ -48,3 +48,14 @@ def ci95(n: Column, s10: Column, ss100: Column) -> tuple[Column, Column]:
     lo = F.when(n == 0, F.lit(0.0)).when(n < 2, mean).otherwise(round_half_up(mean - margin, 1))
     hi = F.when(n == 0, F.lit(0.0)).when(n < 2, mean).otherwise(round_half_up(mean + margin, 1))
     return lo, hi
+
+
+def ci95_values(x: Column) -> tuple[Column, Column]:
+    """Aggregate form for arbitrary doubles (any precision): (low, high) of the 95 %
+    normal interval; n < 2 gives (mean, mean) unrounded, n = 0 gives (0, 0)."""
+    n = F.count(x)
+    mean = F.avg(x)
+    margin = F.lit(Z) * F.sqrt(F.var_samp(x) / n)
+    lo = F.when(n == 0, F.lit(0.0)).when(n < 2, mean).otherwise(F.round(mean - margin, 1))
+    hi = F.when(n == 0, F.lit(0.0)).when(n < 2, mean).otherwise(F.round(mean + margin, 1))
+    return lo, hi

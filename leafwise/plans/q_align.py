@@ -91,36 +91,36 @@ by_col AS (SELECT ok, i, j FROM (SELECT ok, i, j, n, m,
 by_row AS (SELECT ok, i, j FROM (SELECT ok, i, j, n, m,
               row_number() OVER (PARTITION BY ok, i ORDER BY wgt DESC, j) AS r FROM wt) WHERE r = 1 AND n <= m),
 mt AS (SELECT * FROM by_col UNION ALL SELECT * FROM by_row),
+pairs_m AS (SELECT g.ok, g.i, g.part AS gpart, p.part AS ppart, g.qty AS gqty, p.qty AS pqty, g.price AS gprice,
+                   p.price AS pprice, g.flag AS gflag, p.flag AS pflag, g.shipped AS gsh, p.shipped AS psh
+            FROM mt JOIN gi g ON g.ok = mt.ok AND g.i = mt.i JOIN pi p ON p.ok = mt.ok AND p.j = mt.j),
 item_leaves AS (
-  SELECT g.ok, {num_sql('g.part', 'p.part')} AS sc FROM mt JOIN gi g ON g.ok = mt.ok AND g.i = mt.i
-         JOIN pi p ON p.ok = mt.ok AND p.j = mt.j
-  UNION ALL SELECT g.ok, {num_sql('CAST(g.qty AS DOUBLE)', 'CAST(p.qty AS DOUBLE)')} FROM mt JOIN gi g ON g.ok = mt.ok AND g.i = mt.i
-         JOIN pi p ON p.ok = mt.ok AND p.j = mt.j
-  UNION ALL SELECT g.ok, {num_sql('g.price', 'p.price')} FROM mt JOIN gi g ON g.ok = mt.ok AND g.i = mt.i
-         JOIN pi p ON p.ok = mt.ok AND p.j = mt.j
-  UNION ALL SELECT g.ok, {ned_sql('g.flag', 'p.flag')} FROM mt JOIN gi g ON g.ok = mt.ok AND g.i = mt.i
-         JOIN pi p ON p.ok = mt.ok AND p.j = mt.j
-  UNION ALL SELECT g.ok, CASE WHEN g.shipped = p.shipped THEN 1.0 ELSE 0.0 END FROM mt JOIN gi g
-         ON g.ok = mt.ok AND g.i = mt.i JOIN pi p ON p.ok = mt.ok AND p.j = mt.j
-  UNION ALL SELECT g.ok, 0.0 FROM gi g, (SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4
-         UNION ALL SELECT 5) f(x)
+  SELECT ok, '$.items[' || CAST(i AS VARCHAR) || '].part' AS path, {num_sql('gpart', 'ppart')} AS sc FROM pairs_m
+  UNION ALL SELECT ok, '$.items[' || CAST(i AS VARCHAR) || '].quantity',
+         {num_sql('CAST(gqty AS DOUBLE)', 'CAST(pqty AS DOUBLE)')} FROM pairs_m
+  UNION ALL SELECT ok, '$.items[' || CAST(i AS VARCHAR) || '].price', {num_sql('gprice', 'pprice')} FROM pairs_m
+  UNION ALL SELECT ok, '$.items[' || CAST(i AS VARCHAR) || '].flag', {ned_sql('gflag', 'pflag')} FROM pairs_m
+  UNION ALL SELECT ok, '$.items[' || CAST(i AS VARCHAR) || '].shipped',
+         CASE WHEN gsh = psh THEN 1.0 ELSE 0.0 END FROM pairs_m
+  UNION ALL SELECT g.ok, '$.items[' || CAST(g.i AS VARCHAR) || '].' || f.x, 0.0 FROM gi g,
+         (SELECT unnest(['flag', 'part', 'price', 'quantity', 'shipped']) AS x) f
          WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.ok = g.ok AND mt.i = g.i)
-  UNION ALL SELECT p.ok, 0.0 FROM pi p, (SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4
-         UNION ALL SELECT 5) f(x)
+  UNION ALL SELECT p.ok, '$.items[' || CAST(nm.n + p.j AS VARCHAR) || '].' || f.x, 0.0 FROM pi p JOIN nm ON nm.ok = p.ok,
+         (SELECT unnest(['flag', 'part', 'price', 'quantity', 'shipped']) AS x) f
          WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.ok = p.ok AND mt.j = p.j)),
 od AS (SELECT o.o_orderkey AS ok, o.o_orderstatus AS st, o.o_orderpriority AS pr, o.o_totalprice AS tp,
               c.c_name AS cn, c.c_mktsegment AS cs, n.n_name AS nn, o.o_custkey AS ck
        FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
        LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey),
 top_leaves AS (
-  SELECT ok, 1.0 AS sc FROM od
-  UNION ALL SELECT ok, {ned_sql('st', "CASE WHEN ok % 4 = 0 THEN lower(st) ELSE st END")} FROM od
-  UNION ALL SELECT ok, {ned_sql('pr', "CASE WHEN ok % 6 = 0 THEN '3-MEDIUM' ELSE pr END")} FROM od
-  UNION ALL SELECT ok, {num_sql('tp', 'CAST(floor(CAST(CAST(round(tp * 100.0) AS BIGINT) * (100 + ok % 9) AS DOUBLE) / 100) AS DOUBLE) / 100.0')} FROM od
-  UNION ALL SELECT ok, {ned_sql('cn', "CASE WHEN ck % 5 = 0 THEN replace(cn, 'Customer#', 'Cust#') ELSE cn END")} FROM od
-  UNION ALL SELECT ok, CASE WHEN ok % 7 = 0 THEN 0.0 ELSE 1.0 END FROM od
-  UNION ALL SELECT ok, 1.0 FROM od
-  UNION ALL SELECT ok, 0.0 FROM od WHERE ok % 10 = 0),
+  SELECT ok, '$.orderkey' AS path, 1.0 AS sc FROM od
+  UNION ALL SELECT ok, '$.status', {ned_sql('st', "CASE WHEN ok % 4 = 0 THEN lower(st) ELSE st END")} FROM od
+  UNION ALL SELECT ok, '$.priority', {ned_sql('pr', "CASE WHEN ok % 6 = 0 THEN '3-MEDIUM' ELSE pr END")} FROM od
+  UNION ALL SELECT ok, '$.totalprice', {num_sql('tp', 'CAST(floor(CAST(CAST(round(tp * 100.0) AS BIGINT) * (100 + ok % 9) AS DOUBLE) / 100) AS DOUBLE) / 100.0')} FROM od
+  UNION ALL SELECT ok, '$.customer.name', {ned_sql('cn', "CASE WHEN ck % 5 = 0 THEN replace(cn, 'Customer#', 'Cust#') ELSE cn END")} FROM od
+  UNION ALL SELECT ok, '$.customer.segment', CASE WHEN ok % 7 = 0 THEN 0.0 ELSE 1.0 END FROM od
+  UNION ALL SELECT ok, '$.customer.nation', 1.0 FROM od
+  UNION ALL SELECT ok, '$.comment', 0.0 FROM od WHERE ok % 10 = 0),
 all_leaves AS (SELECT * FROM top_leaves UNION ALL SELECT * FROM item_leaves)
 """
 
@@ -395,3 +395,35 @@ SQL["object_key_align"] = """
 WITH k AS (SELECT unnest(['customer', 'items', 'orderkey', 'priority', 'status', 'totalprice']) AS key)
 SELECT key, 'both' AS side, (SELECT count(*) FROM orders) AS n FROM k
 UNION ALL SELECT 'comment', 'pred_only', count(*) FROM orders WHERE o_orderkey % 10 = 0"""
+
+
+@q("hardest_fields")
+def hardest_fields(spark, sf):
+    pairs = docs.document_pairs(spark, sf)
+    leaves = align.scored_leaves(align.leaf_pairs(pairs, _nodes(spark)))
+    board = boards.field_score_board(leaves)
+    return board.select("path", "n", F.round("avg_score", 6).alias("avg_score"))
+
+
+SQL["hardest_fields"] = f"""
+WITH {DOCS_CTE}
+SELECT path, count(*) AS n, round(avg(sc), 6) AS avg_score FROM all_leaves GROUP BY path"""
+
+
+@q("sample_detail")
+def sample_detail(spark, sf):
+    """Ground truth vs prediction of one selected sample (the detail view's selection)."""
+    pairs = docs.document_pairs(spark, sf).filter(F.col("doc_key") == "ord_7")
+    return pairs.select("doc_key", F.try_variant_get("gt", "$.status", "string").alias("gt_status"),
+                        F.try_variant_get("pred", "$.status", "string").alias("pred_status"),
+                        F.try_variant_get("gt", "$.totalprice", "double").alias("gt_total"),
+                        F.try_variant_get("pred", "$.totalprice", "double").alias("pred_total"))
+
+
+SQL["sample_detail"] = """
+SELECT 'ord_' || CAST(o_orderkey AS VARCHAR) AS doc_key, o_orderstatus AS gt_status,
+       CASE WHEN o_orderkey % 4 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS pred_status,
+       o_totalprice AS gt_total,
+       CAST(floor(CAST(CAST(round(o_totalprice * 100.0) AS BIGINT) * (100 + o_orderkey % 9) AS DOUBLE) / 100)
+            AS DOUBLE) / 100.0 AS pred_total
+FROM orders WHERE o_orderkey = 7"""

@@ -207,3 +207,20 @@ merged AS (SELECT dataset, model, combination, framework, mode, sample_id, score
            UNION ALL SELECT * FROM new)
 SELECT framework, mode, count(*) AS n, CAST(sum(CAST(round(score_pct * 10) AS BIGINT)) AS BIGINT) AS s10
 FROM merged GROUP BY framework, mode""")
+
+
+@q("resume_skipped")
+def resume_skipped(spark, sf):
+    res = carriers.results(spark, sf)
+    done = res.filter(F.col("mode_idx") < DONE_MODES)
+    g = grid.expand_grid(carriers.samples(spark, sf), carriers.grid_catalogue())
+    return (grid.skipped_work(g, done).groupBy("framework", "mode")
+            .agg(F.count(F.lit(1)).alias("n_skipped")))
+
+
+SQL["resume_skipped"] = with_results(f"""
+, g AS (SELECT s.id, c.* FROM samples s CROSS JOIN ({catalogue_values()}) c),
+done AS (SELECT DISTINCT framework, mode FROM results WHERE mode_idx < {DONE_MODES})
+SELECT framework, mode, count(*) AS n_skipped FROM g
+WHERE EXISTS (SELECT 1 FROM done d WHERE d.framework = g.framework AND d.mode = g.mode)
+GROUP BY framework, mode""")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafwise.functions import leaf as LF
-from leafwise.functions.stats import ci95
+from leafwise.functions.stats import ci95, ci95_values
 
 NUMBER_CASES = [
     (100, 104, 1.0), (100, 105, 1.0), (100, 110, 0.947368), (100, 150, 0.526316), (100, 200, 0.0),
@@ -47,9 +47,21 @@ def test_nan_strings_follow_python(spark):
     assert df.select(LF.number_score(F.parse_json("a"), F.parse_json("p"))).first()[0] == 0.0
 
 
-@pytest.mark.parametrize("scores,lo,hi", [
-    ([], 0.0, 0.0), ([80.04], 80.04, 80.04), ([90, 100], 85.2, 104.8), ([93.1, 88.4, 0.0, 97.7], 24.0, 115.6)])
-def test_ci95(spark, scores, lo, hi):
+CI_CASES = [([], 0.0, 0.0), ([80.04], 80.04, 80.04), ([90, 100], 85.2, 104.8), ([93.1, 88.4, 0.0, 97.7], 24.0, 115.6)]
+
+
+@pytest.mark.parametrize("scores,lo,hi", CI_CASES)
+def test_ci95_values(spark, scores, lo, hi):
+    df = spark.createDataFrame([(float(s),) for s in scores], "x double") if scores else \
+        spark.createDataFrame([], "x double")
+    lo_c, hi_c = ci95_values(F.col("x"))
+    r = df.agg(lo_c.alias("lo"), hi_c.alias("hi")).first()
+    assert r["lo"] == pytest.approx(lo, abs=1e-9) and r["hi"] == pytest.approx(hi, abs=1e-9)
+
+
+@pytest.mark.parametrize("scores,lo,hi", [c for c in CI_CASES if all(round(s, 1) == s for s in c[0])])
+def test_ci95_tenths(spark, scores, lo, hi):
+    """Board form over exact integer tenths (scores carry one decimal)."""
     t = [round(s * 10) for s in scores]
     df = spark.createDataFrame([(len(t), sum(t), sum(x * x for x in t))], "n long, s long, ss long")
     lo_c, hi_c = ci95(F.col("n"), F.col("s"), F.col("ss"))
