@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from leafwise.functions.leaf import element_similarity, leaf_score
 from leafwise.functions.values import FIELD_SEP, as_array, as_map, element_info, kind_of, pystr, truthy, typed, vtype
 from leafwise.operators.assignment import with_match
-from leafwise.session import cut_lineage
+from leafwise.session import cut_lineage, spread
 
 LEAF_TYPES = ("string", "number", "integer", "boolean")
 RESERVED = "evaluation_config"
@@ -169,7 +169,7 @@ def leaf_pairs(pairs: DataFrame, schema_nodes: DataFrame | None = None, max_dept
     table (``operators.schema.schema_nodes``); None means every node is ``{}``.
     """
     nodes = _node_lookup(schema_nodes)
-    frontier = cut_lineage(pairs.select(
+    frontier = cut_lineage(spread(pairs, "doc_key").select(
         F.col("doc_key").cast("string"), F.col("schema_id").cast("string"),
         F.lit("$").alias("path"), F.lit("$").alias("spath"), "gt", "pred"))
     leaves = []

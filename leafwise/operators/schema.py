@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.values import as_array, as_map, kind
-from leafwise.session import cut_lineage
+from leafwise.session import cut_lineage, spread
 
 MAX_SCHEMA_DEPTH = 32
 _NODE = "map<string,variant>"
@@ -89,7 +89,7 @@ def unwrap_root(schema: Column) -> Column:
 
 def schema_nodes(schemas: DataFrame, max_depth: int = MAX_SCHEMA_DEPTH) -> DataFrame:
     """schemas(schema_id, schema VARIANT) -> one resolved row per schema node."""
-    distinct = schemas.dropDuplicates(["schema_id"]).select(
+    distinct = spread(schemas.dropDuplicates(["schema_id"])).select(
         F.col("schema_id").cast("string"), unwrap_root(F.col("schema")).alias("root"))
     frontier = distinct.select(
         "schema_id", F.lit("$").alias("spath"), F.lit(None).cast("string").alias("parent_spath"),

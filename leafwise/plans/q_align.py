@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafwise.operators import align, boards
 from leafwise.operators.schema import schema_nodes
 from leafwise.plans import docs
+from leafwise.session import spread
 
 Q: dict = {}
 SQL: dict = {}
@@ -258,7 +259,7 @@ def _items(col):
 
 
 def _item_matching(spark, sf, swap=False, keep_weights=False):
-    pairs = align.cut_lineage(docs.document_pairs(spark, sf))
+    pairs = align.cut_lineage(spread(docs.document_pairs(spark, sf), "doc_key"))
     g, p = ("pred", "gt") if swap else ("gt", "pred")
     return align.array_matching(pairs.select("doc_key", "gt", "pred"), _items(g), _items(p),
                                 F.lit("object"), keep_weights=keep_weights)
@@ -309,7 +310,7 @@ FROM gi g LEFT JOIN mm ON mm.ok = g.ok WHERE NOT EXISTS (SELECT 1 FROM mt WHERE
 
 
 def _name_matching(spark, sf, greedy=False, keep_weights=False):
-    pairs = align.cut_lineage(docs.name_pairs(spark, sf))
+    pairs = align.cut_lineage(spread(docs.name_pairs(spark, sf), "doc_key"))
     return align.array_matching(pairs, as_array(F.col("gt")), as_array(F.col("pred")), F.lit("string"),
                                 keep_weights=keep_weights, greedy=greedy)
 

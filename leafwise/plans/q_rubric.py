@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafwise.operators import rubric
+from leafwise.session import spread
 from leafwise.sources.tables import table
 
 Q: dict = {}
@@ -68,7 +69,7 @@ def resume_docs(spark, sf):
 
 
 def _scored(spark, sf):
-    d = resume_docs(spark, sf)
+    d = spread(resume_docs(spark, sf))
     return rubric.score(d, rubric.resume_rubric(), F.col("has_data"), ["doc_key"])
 
 

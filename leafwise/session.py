@@ -63,3 +63,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for derived files a job writes."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
+    """Give CPU-heavy per-row stages at least ``factor`` × cores partitions.
+
+    Small inputs (single-row-group files, AQE-coalesced shuffles) otherwise run a
+    whole stage in one or two tasks.  Inputs that already have enough partitions
+    are returned unchanged, so at cluster scale this adds no shuffle.  With
+    ``keys`` the rows are hash-partitioned by them (an explicit partition count is
+    not coalesced by AQE)."""
+    spark = df.sparkSession
+    factor = int(os.environ.get("LEAFWISE_SPREAD_FACTOR", factor))
+    target = spark.sparkContext.defaultParallelism * factor
+    if factor <= 0 or df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
