@@ -90,12 +90,13 @@ def unwrap_root(schema: Column) -> Column:
 def schema_nodes(schemas: DataFrame, max_depth: int = MAX_SCHEMA_DEPTH) -> DataFrame:
     """schemas(schema_id, schema VARIANT) -> one resolved row per schema node."""
     distinct = spread(schemas.dropDuplicates(["schema_id"])).select(
-        F.col("schema_id").cast("string"), unwrap_root(F.col("schema")).alias("root"))
+        F.col("schema_id").cast("string"), unwrap_root(F.col("schema")).alias("root"),
+        F.map_contains_key(as_map(F.col("schema")), F.lit("schema_definition")).alias("wrapped"))
     frontier = distinct.select(
         "schema_id", F.lit("$").alias("spath"), F.lit(None).cast("string").alias("parent_spath"),
         F.lit("$").alias("name"), F.col("root").alias("raw"), "root", F.lit(0).alias("depth"),
         F.lit(False).alias("is_array_item"), F.lit(True).alias("required"),
-        F.array().cast("array<string>").alias("parts"))
+        F.array().cast("array<string>").alias("parts"), (~F.col("wrapped")).alias("q1"))
     levels = []
     for d in range(max_depth + 1):
         lvl = frontier.withColumn("node", F.col("raw"))
@@ -108,22 +109,30 @@ def schema_nodes(schemas: DataFrame, max_depth: int = MAX_SCHEMA_DEPTH) -> DataF
         props = F.coalesce(as_map(_get(F.col("node"), "properties")), F.create_map().cast(_NODE))
         req = F.coalesce(as_array(_get(F.col("node"), "required")), F.array().cast("array<variant>"))
         req_names = F.transform(req, lambda x: F.try_variant_get(x, "$", "string"))
+        raw = F.col("raw")
+        plain = _get(raw, "$ref").isNull() & _get(raw, "anyOf").isNull()
+        raw_type = F.coalesce(_str(_get(raw, "type")), F.lit("string"))
+        # flat-style prompt visibility: only raw (unresolved) properties of visible objects
+        q1_prop = F.col("q1") & plain & ((F.col("depth") == 0) | F.col("is_array_item") | (raw_type == "object"))
+        raw_items_t = _str(F.try_element_at(as_map(_get(raw, "items")), F.lit("type")))
+        q1_item = F.col("q1") & plain & (raw_type == "array") & F.coalesce(raw_items_t == "object", F.lit(False))
         kids = F.transform(F.map_entries(props), lambda e: F.struct(
             F.concat(F.col("spath"), F.lit("."), e["key"]).alias("spath"), e["key"].alias("name"),
             F.coalesce(as_map(e["value"]), F.create_map().cast(_NODE)).alias("raw"),
-            F.lit(False).alias("is_array_item"), F.array_contains(req_names, e["key"]).alias("required")))
+            F.lit(False).alias("is_array_item"), F.array_contains(req_names, e["key"]).alias("required"),
+            q1_prop.alias("q1")))
         items = _get(F.col("node"), "items")
         item_kid = F.when(items.isNotNull(), F.array(F.struct(
             F.concat(F.col("spath"), F.lit("[]")).alias("spath"), F.lit("[]").alias("name"),
             F.coalesce(as_map(items), F.create_map().cast(_NODE)).alias("raw"),
-            F.lit(True).alias("is_array_item"), F.lit(True).alias("required")))).otherwise(
+            F.lit(True).alias("is_array_item"), F.lit(True).alias("required"), q1_item.alias("q1")))).otherwise(
             F.array().cast("array<struct<spath:string,name:string,raw:map<string,variant>,"
-                           "is_array_item:boolean,required:boolean>>"))
+                           "is_array_item:boolean,required:boolean,q1:boolean>>"))
         nxt = lvl.select("schema_id", "root", F.col("spath").alias("parent_spath"), F.col("depth"), "parts",
                          F.explode(F.concat(kids, item_kid)).alias("k"))
         frontier = nxt.select("schema_id", "k.spath", "parent_spath", "k.name", "k.raw", "root",
                               (F.col("depth") + 1).alias("depth"), "k.is_array_item", "k.required",
-                              F.concat(F.col("parts"), F.array(F.col("k.name"))).alias("parts"))
+                              F.concat(F.col("parts"), F.array(F.col("k.name"))).alias("parts"), "k.q1")
         if frontier.isEmpty():
             break
     allv = levels[0]
@@ -141,7 +150,13 @@ def schema_nodes(schemas: DataFrame, max_depth: int = MAX_SCHEMA_DEPTH) -> DataF
          & F.coalesce(F.try_variant_get(_get(n, "additionalProperties"), "$", "boolean"), F.lit(False)).eqNullSafe(False)
          ).alias("closed"),
         _get(n, "$ref").isNotNull().alias("unresolved_ref"),
-        _str(_get(n, "type")).alias("declared_type"), "parts",
+        _str(_get(n, "type")).alias("declared_type"), "parts", "q1",
+        F.coalesce(_str(_get(F.col("raw"), "type")), F.lit("string")).alias("raw_type"),
+        F.coalesce(_str(_get(F.col("raw"), "description")), F.lit("")).alias("raw_description"),
+        F.transform(as_array(_get(F.col("raw"), "enum")),
+                    lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))).alias("raw_enum"),
+        F.coalesce(_str(F.try_element_at(as_map(_get(F.col("raw"), "items")), F.lit("type"))), F.lit("string"))
+        .alias("raw_items_type"),
         "depth")
     items = nodes.filter("is_array_item").select(
         "schema_id", F.col("parent_spath").alias("spath"), F.col("ftype").alias("items_type"))
