@@ -161,3 +161,36 @@ def schema_nodes(schemas: DataFrame, max_depth: int = MAX_SCHEMA_DEPTH) -> DataF
     items = nodes.filter("is_array_item").select(
         "schema_id", F.col("parent_spath").alias("spath"), F.col("ftype").alias("items_type"))
     return nodes.join(items, ["schema_id", "spath"], "left")
+
+
+_SCALAR_DDL = {"string": "STRING", "integer": "BIGINT", "number": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def struct_ddl(nodes: DataFrame) -> DataFrame:
+    """Schema table -> Spark DDL type per schema (``STRUCT<`a`: BIGINT, ...>``), the
+    typed model a ``from_json`` of one schema group needs.
+
+    Assembled bottom-up one depth at a time: the DDL of depth d+1 nodes is
+    aggregated into their parents (a shuffle on (schema_id, parent) per level,
+    bounded by one schema's width).  Unknown / union types map to STRING."""
+    base = nodes.select("schema_id", "spath", "parent_spath", "name", "ftype", "is_array_item", "depth")
+    max_depth = base.agg(F.max("depth")).first()[0] or 0
+    scalar = F.coalesce(F.create_map(*[x for k, v in _SCALAR_DDL.items() for x in (F.lit(k), F.lit(v))])[F.col("ftype")],
+                        F.lit("STRING"))
+    below = None
+    for d in range(max_depth, -1, -1):
+        lvl = base.filter(F.col("depth") == d)
+        if below is not None:
+            kids = below.groupBy("schema_id", F.col("parent_spath").alias("spath")).agg(
+                F.array_sort(F.collect_list(F.struct("name", "ddl", "is_array_item"))).alias("kids"))
+            lvl = lvl.join(kids, ["schema_id", "spath"], "left")
+        else:
+            lvl = lvl.withColumn("kids", F.lit(None).cast("array<struct<name:string,ddl:string,is_array_item:boolean>>"))
+        fields = F.array_join(F.transform(F.filter("kids", lambda k: ~k["is_array_item"]),
+                                          lambda k: F.concat(F.lit("`"), k["name"], F.lit("`: "), k["ddl"])), ", ")
+        item = F.try_element_at(F.filter("kids", lambda k: k["is_array_item"]), F.lit(1))["ddl"]
+        ddl = (F.when(F.col("ftype") == "object", F.concat(F.lit("STRUCT<"), F.coalesce(fields, F.lit("")), F.lit(">")))
+               .when(F.col("ftype") == "array", F.concat(F.lit("ARRAY<"), F.coalesce(item, F.lit("STRING")), F.lit(">")))
+               .otherwise(scalar))
+        below = cut_lineage(lvl.select("schema_id", "spath", "parent_spath", "name", "is_array_item", ddl.alias("ddl")))
+    return below.filter(F.col("spath") == "$").select("schema_id", "ddl")
