@@ -49,6 +49,7 @@ SCHEMA = {
             "nation": {"type": "string", "description": "Nation name"}}},
         "Item": {"type": "object", "required": ["part", "quantity"], "properties": {
             "part": {"type": "integer", "description": "Part key"},
+            "pos": {"type": "integer", "description": "Position of the line item in the order"},
             "quantity": {"type": "integer", "description": "Quantity"},
             "price": {"type": "number", "description": "Extended price"},
             "flag": {"type": "string", "description": "Return flag", "enum": ["A", "N", "R"]},
@@ -78,19 +79,24 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sort_cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
                  "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     pk = F.col("l_partkey")
-    gt_item = F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").cast("long").alias("quantity"),
-                       F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"),
-                       (F.col("l_linestatus") == "F").alias("shipped"))
     pred_price = F.floor(_cents(F.col("l_extendedprice")) * (F.lit(50) + pk % 7) / 50)
-    pred_item = F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").cast("long").alias("quantity"),
-                         (pred_price.cast("double") / 100.0).alias("price"),
-                         F.when(pk % 3 == 0, F.lower("l_returnflag")).otherwise(F.col("l_returnflag")).alias("flag"),
-                         (F.col("l_linestatus") == "F").alias("shipped"))
-    items = li.groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(F.struct(*[F.col(x) for x in sort_cols], gt_item.alias("it")))).alias("g"),
-        F.sort_array(F.collect_list(F.when(F.col("l_linenumber") % 5 != 0, F.struct(
-            ((pk * 31) % 97).alias("shuffle"), *[F.col(x) for x in sort_cols], pred_item.alias("it")))))
-        .alias("p"))
+    row = F.struct(*[F.col(x) for x in sort_cols], ((pk * 31) % 97).alias("shuffle"),
+                   (pred_price.cast("double") / 100.0).alias("pred_price"))
+    # one sorted list per order; an item's position in it is its unperturbed ``pos``
+    items = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    gt_items = F.transform("rows", lambda r, i: F.struct(
+        r["l_partkey"].alias("part"), i.cast("long").alias("pos"), r["l_quantity"].cast("long").alias("quantity"),
+        r["l_extendedprice"].alias("price"), r["l_returnflag"].alias("flag"),
+        (r["l_linestatus"] == "F").alias("shipped")))
+    kept = F.filter(F.transform("rows", lambda r, i: F.struct(r["shuffle"].alias("shuffle"), r.alias("r"),
+                                                              i.alias("i"))),
+                    lambda x: x["r"]["l_linenumber"] % 5 != 0)
+    pred_items = F.transform(F.array_sort(kept), lambda x: F.struct(
+        x["r"]["l_partkey"].alias("part"), x["i"].cast("long").alias("pos"),
+        x["r"]["l_quantity"].cast("long").alias("quantity"), x["r"]["pred_price"].alias("price"),
+        F.when(x["r"]["l_partkey"] % 3 == 0, F.lower(x["r"]["l_returnflag"])).otherwise(x["r"]["l_returnflag"])
+        .alias("flag"), (x["r"]["l_linestatus"] == "F").alias("shipped")))
+    items = items.select("l_orderkey", gt_items.alias("g"), pred_items.alias("p"))
     k = F.col("o_orderkey")
     docs = (o.join(items, o.o_orderkey == items.l_orderkey, "left")
             .join(c, o.o_custkey == c.c_custkey, "left")
@@ -100,7 +106,7 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("totalprice"),
         F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"),
                  F.col("n_name").alias("nation")).alias("customer"),
-        F.coalesce(F.transform("g", lambda e: e["it"]), F.array()).alias("items"))
+        F.coalesce(F.col("g"), F.array()).alias("items"))
     pred_total = F.floor(_cents(F.col("o_totalprice")) * (F.lit(100) + k % 9) / 100).cast("double") / 100.0
     pred = F.struct(
         k.alias("orderkey"),
@@ -112,7 +118,7 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment")).alias("segment"),
                  F.col("n_name").alias("nation")).alias("customer"),
         F.when(k % 10 == 0, F.lit("rush")).alias("comment"),
-        F.coalesce(F.transform("p", lambda e: e["it"]), F.array()).alias("items"))
+        F.coalesce(F.col("p"), F.array()).alias("items"))
     return docs.select(
         F.concat(F.lit("ord_"), k.cast("string")).alias("doc_key"), F.lit(SCHEMA_ID).alias("schema_id"),
         F.parse_json(F.to_json(gt)).alias("gt"),

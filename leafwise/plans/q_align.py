@@ -49,7 +49,8 @@ def _price_str(x: str) -> str:
 
 
 def _stable_item(p: str) -> str:
-    return (f"'{{flag:' || {p}flag || ',part:' || CAST({p}part AS VARCHAR) || ',price:' || {_price_str(p + 'price')} "
+    return (f"'{{flag:' || {p}flag || ',part:' || CAST({p}part AS VARCHAR) || ',pos:' || CAST({p}pos AS VARCHAR) "
+            f"|| ',price:' || {_price_str(p + 'price')} "
             f"|| ',quantity:' || CAST({p}qty AS VARCHAR) || ',shipped:' || "
             f"(CASE WHEN {p}shipped THEN 'True' ELSE 'False' END) || '}}'")
 
@@ -59,11 +60,11 @@ _ORDER_COLS = ("l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
 
 DOCS_CTE = f"""
 li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER_COLS}) - 1 AS i FROM lineitem),
-gi AS (SELECT l_orderkey AS ok, i, l_partkey AS part, CAST(l_quantity AS BIGINT) AS qty, l_extendedprice AS price,
+gi AS (SELECT l_orderkey AS ok, i, i AS pos, l_partkey AS part, CAST(l_quantity AS BIGINT) AS qty, l_extendedprice AS price,
               l_returnflag AS flag, l_linestatus = 'F' AS shipped FROM li),
 pi AS (SELECT l_orderkey AS ok,
-              row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_partkey * 31) % 97, {_ORDER_COLS}) - 1 AS j,
-              l_partkey AS part, CAST(l_quantity AS BIGINT) AS qty,
+              row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_partkey * 31) % 97, {_ORDER_COLS}, i) - 1 AS j,
+              i AS pos, l_partkey AS part, CAST(l_quantity AS BIGINT) AS qty,
               CAST(floor(CAST(CAST(round(l_extendedprice * 100.0) AS BIGINT) * (50 + l_partkey % 7) AS DOUBLE) / 50)
                    AS DOUBLE) / 100.0 AS price,
               CASE WHEN l_partkey % 3 = 0 THEN lower(l_returnflag) ELSE l_returnflag END AS flag,
@@ -76,12 +77,14 @@ mm AS (SELECT ok, count(*) AS m FROM pi GROUP BY ok),
 w AS (SELECT g.ok, g.i, p.j,
              (CASE WHEN g.flag = p.flag THEN 1 ELSE 0 END) + (CASE WHEN g.part = p.part THEN 1 ELSE 0 END)
              + (CASE WHEN {_price_str('g.price')} = {_price_str('p.price')} THEN 1 ELSE 0 END)
-             + (CASE WHEN g.qty = p.qty THEN 1 ELSE 0 END) + (CASE WHEN g.shipped = p.shipped THEN 1 ELSE 0 END) AS cnt,
+             + (CASE WHEN g.qty = p.qty THEN 1 ELSE 0 END) + (CASE WHEN g.shipped = p.shipped THEN 1 ELSE 0 END)
+             + (CASE WHEN g.pos = p.pos THEN 1 ELSE 0 END) AS cnt,
              (CASE WHEN g.flag = p.flag THEN length(g.flag) ELSE 0 END)
              + (CASE WHEN g.part = p.part THEN length(CAST(g.part AS VARCHAR)) ELSE 0 END)
              + (CASE WHEN {_price_str('g.price')} = {_price_str('p.price')} THEN length({_price_str('g.price')}) ELSE 0 END)
              + (CASE WHEN g.qty = p.qty THEN length(CAST(g.qty AS VARCHAR)) ELSE 0 END)
              + (CASE WHEN g.shipped = p.shipped THEN length(CASE WHEN g.shipped THEN 'True' ELSE 'False' END) ELSE 0 END)
+             + (CASE WHEN g.pos = p.pos THEN length(CAST(g.pos AS VARCHAR)) ELSE 0 END)
                AS len,
              levenshtein(g.s, p.s) AS lev
       FROM gs g JOIN ps p ON g.ok = p.ok),
@@ -92,11 +95,13 @@ by_col AS (SELECT ok, i, j FROM (SELECT ok, i, j, n, m,
 by_row AS (SELECT ok, i, j FROM (SELECT ok, i, j, n, m,
               row_number() OVER (PARTITION BY ok, i ORDER BY wgt DESC, j) AS r FROM wt) WHERE r = 1 AND n <= m),
 mt AS (SELECT * FROM by_col UNION ALL SELECT * FROM by_row),
-pairs_m AS (SELECT g.ok, g.i, g.part AS gpart, p.part AS ppart, g.qty AS gqty, p.qty AS pqty, g.price AS gprice,
+pairs_m AS (SELECT g.ok, g.i, g.pos AS gpos, p.pos AS ppos, g.part AS gpart, p.part AS ppart, g.qty AS gqty, p.qty AS pqty, g.price AS gprice,
                    p.price AS pprice, g.flag AS gflag, p.flag AS pflag, g.shipped AS gsh, p.shipped AS psh
             FROM mt JOIN gi g ON g.ok = mt.ok AND g.i = mt.i JOIN pi p ON p.ok = mt.ok AND p.j = mt.j),
 item_leaves AS (
   SELECT ok, '$.items[' || CAST(i AS VARCHAR) || '].part' AS path, {num_sql('gpart', 'ppart')} AS sc FROM pairs_m
+  UNION ALL SELECT ok, '$.items[' || CAST(i AS VARCHAR) || '].pos',
+         {num_sql('CAST(gpos AS DOUBLE)', 'CAST(ppos AS DOUBLE)')} FROM pairs_m
   UNION ALL SELECT ok, '$.items[' || CAST(i AS VARCHAR) || '].quantity',
          {num_sql('CAST(gqty AS DOUBLE)', 'CAST(pqty AS DOUBLE)')} FROM pairs_m
   UNION ALL SELECT ok, '$.items[' || CAST(i AS VARCHAR) || '].price', {num_sql('gprice', 'pprice')} FROM pairs_m
@@ -104,10 +109,10 @@ item_leaves AS (
   UNION ALL SELECT ok, '$.items[' || CAST(i AS VARCHAR) || '].shipped',
          CASE WHEN gsh = psh THEN 1.0 ELSE 0.0 END FROM pairs_m
   UNION ALL SELECT g.ok, '$.items[' || CAST(g.i AS VARCHAR) || '].' || f.x, 0.0 FROM gi g,
-         (SELECT unnest(['flag', 'part', 'price', 'quantity', 'shipped']) AS x) f
+         (SELECT unnest(['flag', 'part', 'pos', 'price', 'quantity', 'shipped']) AS x) f
          WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.ok = g.ok AND mt.i = g.i)
   UNION ALL SELECT p.ok, '$.items[' || CAST(nm.n + p.j AS VARCHAR) || '].' || f.x, 0.0 FROM pi p JOIN nm ON nm.ok = p.ok,
-         (SELECT unnest(['flag', 'part', 'price', 'quantity', 'shipped']) AS x) f
+         (SELECT unnest(['flag', 'part', 'pos', 'price', 'quantity', 'shipped']) AS x) f
          WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.ok = p.ok AND mt.j = p.j)),
 od AS (SELECT o.o_orderkey AS ok, o.o_orderstatus AS st, o.o_orderpriority AS pr, o.o_totalprice AS tp,
               c.c_name AS cn, c.c_mktsegment AS cs, n.n_name AS nn, o.o_custkey AS ck
@@ -237,7 +242,7 @@ normal AS (SELECT ok, round(sum(sc), 2) AS total, CAST(count(*) AS DOUBLE) AS ma
                   round(sum(sc) / count(*) * 100.0, 1) AS pct FROM all_leaves GROUP BY ok)
 SELECT 'ord_' || CAST(ok AS VARCHAR) AS doc_key,
        CASE WHEN ok % 8 IN (0, 1) THEN 0.0 ELSE total END AS total,
-       CASE WHEN ok % 8 IN (0, 1) THEN CAST(7 + 5 * n AS DOUBLE) ELSE max END AS max,
+       CASE WHEN ok % 8 IN (0, 1) THEN CAST(7 + 6 * n AS DOUBLE) ELSE max END AS max,
        CASE WHEN ok % 8 IN (0, 1) THEN 0.0 ELSE pct END AS pct
 FROM normal JOIN nitems USING (ok)"""
 
@@ -249,7 +254,7 @@ def leaf_count(spark, sf):
 
 
 SQL["leaf_count"] = """
-SELECT 'ord_' || CAST(o.o_orderkey AS VARCHAR) AS doc_key, CAST(7 + 5 * COALESCE(c.n, 0) AS INTEGER) AS n_leaves
+SELECT 'ord_' || CAST(o.o_orderkey AS VARCHAR) AS doc_key, CAST(7 + 6 * COALESCE(c.n, 0) AS INTEGER) AS n_leaves
 FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) c
   ON c.l_orderkey = o.o_orderkey"""
 
