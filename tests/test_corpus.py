@@ -37,3 +37,11 @@ def test_scan_corpus(spark, tmp_path):
     assert json.loads(first)["type"] == "object"                 # first schema file (a-) wins
     st = scan_keyed_texts(spark, os.path.join(str(texts), "*.txt"))
     assert st.count() == len(rows)
+
+
+def test_numbered_lines_keep_trailing_blank_line(spark, tmp_path):
+    from leafwise.sources.jsonl import numbered_lines
+    (tmp_path / "part-00000.txt").write_text("a\nb\n\n")     # ends with a blank line
+    (tmp_path / "part-00001.txt").write_text("\nc\n")
+    got = [(r["line_idx"], r["line"]) for r in numbered_lines(spark, str(tmp_path)).orderBy("line_idx").collect()]
+    assert got == [(0, "a"), (1, "b"), (2, ""), (3, ""), (4, "c")]
