@@ -16,13 +16,13 @@ def expand_grid(samples: DataFrame, catalogue: Column) -> DataFrame:
 
 def remaining_work(grid: DataFrame, completed: DataFrame) -> DataFrame:
     """Cells whose (framework, mode) is not completed yet (left anti join)."""
-    done = completed.select("framework", "mode").distinct()
-    return grid.join(F.broadcast(done), ["framework", "mode"], "left_anti")
+    done = completed.select("framework", "mode").distinct()     # AQE broadcasts it when runtime size is small
+    return grid.join(done, ["framework", "mode"], "left_anti")
 
 
 def skipped_work(grid: DataFrame, completed: DataFrame) -> DataFrame:
     done = completed.select("framework", "mode").distinct()
-    return grid.join(F.broadcast(done), ["framework", "mode"], "left_semi")
+    return grid.join(done, ["framework", "mode"], "left_semi")
 
 
 def restrict_to_saved(samples: DataFrame, saved_ids: DataFrame, id_col: str = "id") -> DataFrame:
