@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafwise.llm import quality_rules
+from leafwise.llm import packing, quality_rules, secret_scan
 
-MODULES = [quality_rules]
+MODULES = [packing, secret_scan, quality_rules]
 
 
 def queries() -> dict:
