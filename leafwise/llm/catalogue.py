@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafwise.llm import packing, quality_rules, secret_scan
+from leafwise.llm import jaccard_join, packing, quality_classifier, quality_rules, secret_scan, toxicity
 
-MODULES = [packing, secret_scan, quality_rules]
+MODULES = [packing, secret_scan, toxicity, jaccard_join, quality_classifier, quality_rules]
 
 
 def queries() -> dict:

@@ -145,7 +145,7 @@ def _marginals(e: np.ndarray, sizes: np.ndarray, trans: np.ndarray, first: float
     return p[col, row]
 
 
-def toxic_words(sample: list[tuple[str, int]], min_docs: int = 3) -> set[str]:
+def toxic_words(sample: list[tuple[str, int]], min_docs: int = 4) -> set[str]:
     """Words of at least ``min_docs`` texts that stand in toxic texts clearly more often than the base share:
     even 1.5 standard errors below, the share lies above the base by 30 % of the way to 1."""
     share = sum(y for _, y in sample) / max(1, len(sample))
