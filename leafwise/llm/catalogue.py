@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafwise.llm import jaccard_join, packing, quality_classifier, quality_rules, secret_scan, toxicity
+from leafwise.llm import (ann_search, chat_format, jaccard_join, packing, quality_classifier, quality_rules,
+                          secret_scan, toxicity)
 
-MODULES = [packing, secret_scan, toxicity, jaccard_join, quality_classifier, quality_rules]
+MODULES = [ann_search, packing, secret_scan, toxicity, chat_format, jaccard_join, quality_classifier, quality_rules]
 
 
 def queries() -> dict:
