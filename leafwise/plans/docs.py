@@ -67,6 +67,34 @@ def _cents(c):
     return F.round(c * 100.0).cast("long")
 
 
+def loose_item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item arrays without a position to tell them apart: (doc_key, gt VARIANT array, pred VARIANT array).
+
+    Elements are {quantity, flag, shipped}, so that several predicted items fit several items equally well; the
+    prediction drops linenumber % 5 = 0, lowers the quantity by partkey % 3, lower-cases the flag at partkey % 3
+    = 0 and has one or two surplus items at orderkey % 4 = 0 (so either side may be the longer one)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag",
+                                                 "l_linestatus")
+    pk = F.col("l_partkey")
+    keys = [F.col("l_linenumber"), pk, F.col("l_quantity").cast("long").alias("q"), F.col("l_returnflag").alias("f"),
+            (F.col("l_linestatus") == "F").alias("s")]
+    agg = li.groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct(*keys))).alias("g"),
+        F.sort_array(F.collect_list(F.when(F.col("l_linenumber") % 5 != 0, F.struct(
+            ((pk * 31) % 97).alias("shuffle"), *keys)))).alias("p"))
+    k = F.col("l_orderkey")
+
+    def item(q, f, s):
+        return F.struct(q.alias("quantity"), f.alias("flag"), s.alias("shipped"))
+    gt = F.transform("g", lambda r: item(r["q"], r["f"], r["s"]))
+    pred = F.transform("p", lambda r: item(
+        r["q"] - r["l_partkey"] % 3, F.when(r["l_partkey"] % 3 == 0, F.lower(r["f"])).otherwise(r["f"]), r["s"]))
+    surplus = F.array(item(F.lit(1).cast("long"), F.lit("N"), F.lit(False)), item(F.lit(50).cast("long"), F.lit("A"), F.lit(True)))
+    extra = F.when(k % 4 == 0, F.slice(surplus, F.lit(1), (1 + k % 8 / 4).cast("int"))).otherwise(F.slice(surplus, 1, 0))
+    return agg.select(F.concat(F.lit("ord_"), k.cast("string")).alias("doc_key"),
+                      F.parse_json(F.to_json(gt)).alias("gt"), F.parse_json(F.to_json(F.concat(pred, extra))).alias("pred"))
+
+
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_key, schema_id, gt VARIANT, pred VARIANT) for every order with its line items."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",

@@ -363,6 +363,89 @@ def assignment_greedy(spark, sf):
     return _assignment_totals(_name_matching(spark, sf, greedy=True, keep_weights=True))
 
 
+# Oracles of the assignment: the optimum by dynamic programming over subsets of the longer side, row by row of
+# the shorter side; the greedy rule row by row.  ``wts``: ok, i, j, weight, n, m.
+def _optimal_sql(wts_cte: str, counts: str) -> str:
+    return f"""
+WITH RECURSIVE {wts_cte},
+side AS (SELECT ok, CASE WHEN n <= m THEN i ELSE j END AS a, CASE WHEN n <= m THEN j ELSE i END AS b, weight FROM wts),
+dp AS (SELECT DISTINCT ok, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS mask, CAST(0.0 AS DOUBLE) AS total FROM side
+  UNION ALL
+  SELECT d.ok, d.step + 1, d.mask | (CAST(1 AS BIGINT) << CAST(s.b AS BIGINT)), max(d.total + s.weight)
+  FROM dp d JOIN side s ON s.ok = d.ok AND s.a = d.step AND (d.mask & (CAST(1 AS BIGINT) << CAST(s.b AS BIGINT))) = 0
+  GROUP BY d.ok, d.step + 1, d.mask | (CAST(1 AS BIGINT) << CAST(s.b AS BIGINT))),
+best AS (SELECT d.ok, max(d.total) AS total FROM dp d JOIN ({counts}) c ON c.ok = d.ok AND d.step = least(c.n, c.m) GROUP BY d.ok)
+SELECT 'ord_' || CAST(c.ok AS VARCHAR) AS doc_key, CAST(c.n AS INTEGER) AS n, CAST(c.m AS INTEGER) AS m,
+       CAST(least(c.n, c.m) AS INTEGER) AS matched, round(coalesce(best.total, 0.0), 9) AS total_weight
+FROM ({counts}) c LEFT JOIN best USING (ok)"""
+
+
+def _greedy_sql(wts_cte: str, counts: str) -> str:
+    return f"""
+WITH RECURSIVE {wts_cte},
+dp AS (SELECT DISTINCT ok, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS mask, CAST(0.0 AS DOUBLE) AS total,
+              CAST(0 AS BIGINT) AS matched FROM wts
+  UNION ALL
+  SELECT ok, step + 1, CASE WHEN j IS NULL THEN mask ELSE mask | (CAST(1 AS BIGINT) << CAST(j AS BIGINT)) END,
+         total + coalesce(weight, 0.0), matched + (CASE WHEN j IS NULL THEN 0 ELSE 1 END)
+  FROM (SELECT d.ok, d.step, d.mask, d.total, d.matched, w.j, w.weight,
+               row_number() OVER (PARTITION BY d.ok ORDER BY w.weight DESC NULLS LAST, w.j) AS r
+        FROM dp d LEFT JOIN wts w ON w.ok = d.ok AND w.i = d.step AND w.weight > 0
+             AND (d.mask & (CAST(1 AS BIGINT) << CAST(w.j AS BIGINT))) = 0
+        WHERE d.step < (SELECT max(n) FROM wts)) WHERE r = 1),
+last AS (SELECT ok, total, matched FROM dp WHERE step = (SELECT max(n) FROM wts))
+SELECT 'ord_' || CAST(c.ok AS VARCHAR) AS doc_key, CAST(c.n AS INTEGER) AS n, CAST(c.m AS INTEGER) AS m,
+       CAST(coalesce(last.matched, 0) AS INTEGER) AS matched, round(coalesce(last.total, 0.0), 9) AS total_weight
+FROM ({counts}) c LEFT JOIN last USING (ok)"""
+
+
+_NAME_WTS = f"""{_NAME_CTE},
+gn AS (SELECT ok, count(*) AS n FROM g GROUP BY ok), pn AS (SELECT ok, count(*) AS m FROM p GROUP BY ok),
+wts AS (SELECT g.ok, g.i, p.j, gn.n, pn.m,
+               1.0 - CAST(levenshtein(g.s, p.s) AS DOUBLE) / CAST(greatest(length(g.s), length(p.s), 1) AS DOUBLE) AS weight
+        FROM g JOIN p ON g.ok = p.ok JOIN gn ON gn.ok = g.ok JOIN pn ON pn.ok = g.ok)"""
+_NAME_COUNTS = "SELECT gn.ok, gn.n, coalesce(pn.m, 0) AS m FROM gn LEFT JOIN pn USING (ok)"
+SQL["assignment_optimal"] = _optimal_sql(_NAME_WTS, _NAME_COUNTS)
+SQL["assignment_greedy"] = _greedy_sql(_NAME_WTS, _NAME_COUNTS)
+
+
+@q("object_assignment")
+def object_assignment(spark, sf):
+    """Items that resemble each other: best pairing of object arrays, either side the longer one."""
+    pairs = align.cut_lineage(docs.loose_item_pairs(spark, sf))
+    return _assignment_totals(align.array_matching(pairs, as_array(F.col("gt")), as_array(F.col("pred")),
+                                                   F.lit("object"), keep_weights=True))
+
+
+_LOOSE_WTS = """
+g AS (SELECT l_orderkey AS ok, CAST(l_quantity AS BIGINT) AS qty, l_returnflag AS flag, l_linestatus = 'F' AS shipped,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS BIGINT),
+                                l_returnflag, l_linestatus = 'F') - 1 AS i FROM lineitem),
+p0 AS (SELECT l_orderkey AS ok, CAST(l_quantity AS BIGINT) - l_partkey % 3 AS qty,
+              CASE WHEN l_partkey % 3 = 0 THEN lower(l_returnflag) ELSE l_returnflag END AS flag, l_linestatus = 'F' AS shipped,
+              row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_partkey * 31) % 97, l_linenumber, l_partkey,
+                                 CAST(l_quantity AS BIGINT), l_returnflag, l_linestatus = 'F') - 1 AS j
+       FROM lineitem WHERE l_linenumber % 5 <> 0),
+k AS (SELECT DISTINCT l_orderkey AS ok FROM lineitem),
+p AS (SELECT * FROM p0
+      UNION ALL SELECT ok, 1, 'N', false, (SELECT count(*) FROM p0 WHERE p0.ok = k.ok) FROM k WHERE ok % 4 = 0
+      UNION ALL SELECT ok, 50, 'A', true, (SELECT count(*) FROM p0 WHERE p0.ok = k.ok) + 1 FROM k WHERE ok % 8 = 4),
+gs AS (SELECT *, '{flag:' || flag || ',quantity:' || CAST(qty AS VARCHAR) || ',shipped:'
+                 || (CASE WHEN shipped THEN 'True' ELSE 'False' END) || '}' AS s FROM g),
+ps AS (SELECT *, '{flag:' || flag || ',quantity:' || CAST(qty AS VARCHAR) || ',shipped:'
+                 || (CASE WHEN shipped THEN 'True' ELSE 'False' END) || '}' AS s FROM p),
+gn AS (SELECT ok, count(*) AS n FROM g GROUP BY ok), pn AS (SELECT ok, count(*) AS m FROM p GROUP BY ok),
+wts AS (SELECT a.ok, a.i, b.j, gn.n, pn.m,
+          (CAST((CASE WHEN a.flag = b.flag THEN 1 ELSE 0 END) + (CASE WHEN a.qty = b.qty THEN 1 ELSE 0 END)
+                + (CASE WHEN a.shipped = b.shipped THEN 1 ELSE 0 END) AS DOUBLE) * 1000.0
+           + CAST((CASE WHEN a.flag = b.flag THEN length(a.flag) ELSE 0 END)
+                + (CASE WHEN a.qty = b.qty THEN length(CAST(a.qty AS VARCHAR)) ELSE 0 END)
+                + (CASE WHEN a.shipped = b.shipped THEN length(CASE WHEN a.shipped THEN 'True' ELSE 'False' END) ELSE 0 END)
+               AS DOUBLE)) - CAST(levenshtein(a.s, b.s) AS DOUBLE) * 0.1 AS weight
+        FROM gs a JOIN ps b ON a.ok = b.ok JOIN gn ON gn.ok = a.ok JOIN pn ON pn.ok = a.ok)"""
+SQL["object_assignment"] = _optimal_sql(_LOOSE_WTS, _NAME_COUNTS)
+
+
 @q("json_flatten")
 def json_flatten(spark, sf):
     ev = docs.event_documents(spark, sf)
