@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from leafwise.llm import (ann_search, chat_format, jaccard_join, packing, quality_classifier, quality_rules,
-                          secret_scan, toxicity)
+from leafwise.llm import (ann_search, chat_format, jaccard_join, packing, pii_bootstrap, quality_classifier, quality_rules,
+                          secret_scan, sentencepiece_codec, toxicity)
 
-MODULES = [ann_search, packing, secret_scan, toxicity, chat_format, jaccard_join, quality_classifier, quality_rules]
+MODULES = [ann_search, packing, secret_scan, toxicity, chat_format, jaccard_join, quality_classifier,
+           quality_rules, pii_bootstrap, sentencepiece_codec]
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ start from medians and quartile ranges, and each step keeps the share ``support`
 Defined results: null text counts as empty (no words, so the plain rule rejects it); null language or
 source forms a group of its own; a group under ``min_group`` rows uses the model of its language, and that
 of all rows if the language is small as well; repeated rows are judged one by one; an empty table gives an
-empty result; extra columns never reach the operator (``quality_rules`` returns only its own columns).
+empty result; columns other than doc_id, text, lang and source are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ FEATURES = ["symbol_share", "dup_line_share", "repeat_share", "variety", "word_l
 #: Smallest standard deviation that counts as natural spread, per feature: statistics that are constant in
 #: most documents (no symbols, no repeated line) would otherwise make any deviation infinitely far.
 SPREAD_FLOOR = [0.35, 0.08, 0.06, 0.05, 0.12, 0.08]
-STATS_SCHEMA = ("doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, "
+STATS_SCHEMA = ("doc_id long, text_hash long, lang string, source string, n_words long, word_chars long, n_symbols long, "
                 "n_dup_lines long, n_repeat_words long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
@@ -77,11 +77,12 @@ def text_statistics(text: str | None) -> tuple:
 def document_statistics(docs: DataFrame) -> DataFrame:
     """Counts and transformed statistics per row; one narrow pass over whole texts."""
     def start():
-        def step(ids, texts, langs, sources):
+        def step(ids, marks, texts, langs, sources):
             cols = list(zip(*[text_statistics(t) for t in texts]))
-            return {"doc_id": ids, "lang": langs, "source": sources} | dict(zip(COUNTS + FEATURES, cols))
+            return {"doc_id": ids, "text_hash": marks, "lang": langs, "source": sources} | dict(zip(COUNTS + FEATURES, cols))
         return step
-    return map_columns(docs, ["doc_id", "text", "lang", "source"], STATS_SCHEMA, start)
+    return map_columns(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "lang", "source"),
+                       ["doc_id", "text_hash", "text", "lang", "source"], STATS_SCHEMA, start)
 
 
 def _levels():
@@ -156,7 +157,8 @@ def mcd_models(stats: DataFrame, support: float = 0.75, steps: int = 3) -> DataF
 
 
 def quality_rules(docs: DataFrame, cutoff: float = 45.0, min_group: int = 60, support: float = 0.75) -> DataFrame:
-    """Columns doc_id, the five counts, base_failed, distance (squared, scaled; null without words), kept.
+    """Columns doc_id, text_hash, lang, source, the five counts, base_failed, distance (squared, scaled; null
+    without words), kept.
 
     ``cutoff`` is the largest squared distance kept; 45 leaves out about 5e-8 of a normal population in six
     dimensions, so only documents far outside their group's bulk go."""
@@ -173,12 +175,13 @@ def quality_rules(docs: DataFrame, cutoff: float = 45.0, min_group: int = 60, su
            .withColumns({"mu": F.col("m.mu"), "prec": F.col("m.prec"), "scale": F.col("m.scale")})
            .withColumn("distance", F.when(F.col("n_words") > 0, _distance(p) / F.col("scale"))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.select("doc_id", *COUNTS, failed.alias("base_failed"), "distance",
+    return out.select("doc_id", "text_hash", "lang", "source", *COUNTS, failed.alias("base_failed"), "distance",
                       (~failed & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+    judged = quality_rules(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+    return judged.drop("text_hash", "lang", "source")
 
 
 Q = {"op9_quality_rules": op9_quality_rules}

@@ -292,6 +292,18 @@ class Model:
             out.append((1 / (1 + np.exp(-z)), spans_of(text, p) if text else []))
         return out
 
+    def score_all(self, texts: list[str | None]):
+        """``score`` for any number of texts, about a million characters at a time."""
+        rows, at = [], 0
+        while at < len(texts):
+            to, held = at, 0
+            while to < len(texts) and (held == 0 or held + len(texts[to] or "") <= 1_000_000):
+                held += len(texts[to] or "")
+                to += 1
+            rows += self.score(texts[at:to])
+            at = to
+        return rows
+
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, max_docs: int = 5000,
         max_chars: int = 20_000) -> Model:
@@ -314,15 +326,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
 
         def step(ids, texts):
-            rows = []
-            at = 0
-            while at < len(texts):                     # about a million characters at a time
-                to, held = at, 0
-                while to < len(texts) and (held == 0 or held + len(texts[to] or "") <= 1_000_000):
-                    held += len(texts[to] or "")
-                    to += 1
-                rows += m.score(texts[at:to])
-                at = to
+            rows = m.score_all(texts)
             return {"doc_id": ids, "score": [r[0] for r in rows], "n_toxic": [len(r[1]) for r in rows],
                     "spans": [r[1] for r in rows]}
         return step
