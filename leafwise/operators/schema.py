@@ -1,166 +1,56 @@
 """JSON-Schema tables.
 
-``schema_nodes`` flattens every distinct schema into one row per node with
-``$ref`` (walked from the root), ``anyOf`` (single non-null member, else the
-first non-null one) and the ``schema_definition`` wrapper resolved.  Schemas
-are deduplicated by ``schema_id`` first, so a schema shared by many samples is
-flattened once; the loop is level-wise over the schema tree with a depth cap
-(recursive ``$ref`` chains are cut at ``max_depth``).
-
-Node columns: schema_id, spath ($.a.b, [] for array items), parent_spath,
-name, ftype (declared type, default 'string'; a type list is kept as its
-JSON text and therefore falls back to value inference), items_type,
-is_array_item, required, nullable, enum ARRAY<STRING>, description,
-default_json, closed, depth.
+``schema_nodes`` flattens every distinct schema into one row per node with ``$ref`` (walked from the root, to
+the end of the chain), ``anyOf`` (single non-null member, else the first non-null one) and the
+``schema_definition`` wrapper resolved.  Schemas are deduplicated by ``schema_id`` first, so a schema shared by
+many samples is flattened once; one narrow pass walks each document (``functions/schema_json.py``), so there is
+no limit on depth or on the length of a reference chain, and a reference that leads back to itself ends there.
+
+Node columns: schema_id, spath ($.a.b, [] for array items), parent_spath, name, ftype (declared type, default
+'string'; a type list is kept as its JSON text and therefore falls back to value inference), items_type,
+is_array_item, required, nullable, enum ARRAY<STRING>, description, default_json, closed, depth, parts (names
+from the root) and order (declared positions from the root: sorting by it lists fields as declared).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
-from leafwise.functions.values import as_array, as_map, kind
+from leafwise.functions import schema_json
 from leafwise.session import cut_lineage, spread
 
-MAX_SCHEMA_DEPTH = 32
-_NODE = "map<string,variant>"
-
-
-def _get(m: Column, key: str) -> Column:
-    return F.try_element_at(m, F.lit(key))
-
-
-def _str(v: Column) -> Column:
-    return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string"))
-
-
-def _walk(root: Column, ref: Column) -> Column:
-    """Follow a '#/a/b' pointer from the root; characters '#' and '/' are stripped
-    from the front (not a prefix), a missing step yields {}."""
-    parts = F.split(F.regexp_replace(ref, r"^[#/]+", ""), "/")
-    hit = F.aggregate(parts, F.to_variant_object(root),
-                      lambda acc, p: F.try_element_at(as_map(acc), p))
-    return F.coalesce(as_map(hit), F.create_map().cast(_NODE))
-
-
-def _resolve_once(node: Column, root: Column) -> Column:
-    ref = _str(_get(node, "$ref"))
-    desc = F.map_filter(node, lambda k, v: k == "description")
-    by_ref = F.map_concat(_walk(root, ref), desc)
-    any_of = F.coalesce(as_array(_get(node, "anyOf")), F.array().cast("array<variant>"))
-    non_null = F.filter(any_of, lambda s: F.coalesce(_str(F.try_element_at(as_map(s), F.lit("type"))),
-                                                     F.lit("")) != "null")
-    first = F.coalesce(as_map(F.try_element_at(non_null, F.lit(1))), F.create_map().cast(_NODE))
-    single = F.map_concat(F.map_filter(desc, lambda k, v: ~F.map_contains_key(first, k)), first)
-    return (F.when(ref.isNotNull(), by_ref)
-            .when(_get(node, "anyOf").isNotNull() & (F.size(non_null) == 1), single)
-            .when(_get(node, "anyOf").isNotNull() & (F.size(non_null) > 1), first)
-            .otherwise(node))
-
-
-def resolve(node: Column, root: Column, steps: int = 3) -> Column:
-    out = node
-    for _ in range(steps):
-        out = _resolve_once(out, root)
-    return out
-
-
-def _type_of(node: Column) -> Column:
-    t = _get(node, "type")
-    return (F.when(t.isNull(), F.lit("string"))
-            .when(kind(t) == "string", F.try_variant_get(t, "$", "string"))
-            .otherwise(F.to_json(t)))
-
-
-def _nullable(raw: Column) -> Column:
-    any_of = F.coalesce(as_array(_get(raw, "anyOf")), F.array().cast("array<variant>"))
-    t = _get(raw, "type")
-    null_member = F.exists(any_of, lambda s: _str(F.try_element_at(as_map(s), F.lit("type"))) == "null")
-    in_list = F.exists(F.coalesce(as_array(t), F.array().cast("array<variant>")),
-                       lambda x: F.try_variant_get(x, "$", "string") == "null")
-    return null_member | in_list
-
-
-def unwrap_root(schema: Column) -> Column:
-    """Use ``schema_definition`` when the document carries that wrapper."""
-    m = as_map(schema)
-    return F.coalesce(as_map(F.try_element_at(m, F.lit("schema_definition"))), m)
-
-
-def schema_nodes(schemas: DataFrame, max_depth: int = MAX_SCHEMA_DEPTH) -> DataFrame:
-    """schemas(schema_id, schema VARIANT) -> one resolved row per schema node."""
-    distinct = spread(schemas.dropDuplicates(["schema_id"])).select(
-        F.col("schema_id").cast("string"), unwrap_root(F.col("schema")).alias("root"),
-        F.map_contains_key(as_map(F.col("schema")), F.lit("schema_definition")).alias("wrapped"))
-    frontier = distinct.select(
-        "schema_id", F.lit("$").alias("spath"), F.lit(None).cast("string").alias("parent_spath"),
-        F.lit("$").alias("name"), F.col("root").alias("raw"), "root", F.lit(0).alias("depth"),
-        F.lit(False).alias("is_array_item"), F.lit(True).alias("required"),
-        F.array().cast("array<string>").alias("parts"), (~F.col("wrapped")).alias("q1"))
-    levels = []
-    for d in range(max_depth + 1):
-        lvl = frontier.withColumn("node", F.col("raw"))
-        for _ in range(3):      # each step materialised, so the expression stays linear
-            lvl = lvl.withColumn("node", _resolve_once(F.col("node"), F.col("root")))
-        lvl = cut_lineage(lvl)
-        levels.append(lvl)
-        if d == max_depth:
-            break
-        props = F.coalesce(as_map(_get(F.col("node"), "properties")), F.create_map().cast(_NODE))
-        req = F.coalesce(as_array(_get(F.col("node"), "required")), F.array().cast("array<variant>"))
-        req_names = F.transform(req, lambda x: F.try_variant_get(x, "$", "string"))
-        raw = F.col("raw")
-        plain = _get(raw, "$ref").isNull() & _get(raw, "anyOf").isNull()
-        raw_type = F.coalesce(_str(_get(raw, "type")), F.lit("string"))
-        # flat-style prompt visibility: only raw (unresolved) properties of visible objects
-        q1_prop = F.col("q1") & plain & ((F.col("depth") == 0) | F.col("is_array_item") | (raw_type == "object"))
-        raw_items_t = _str(F.try_element_at(as_map(_get(raw, "items")), F.lit("type")))
-        q1_item = F.col("q1") & plain & (raw_type == "array") & F.coalesce(raw_items_t == "object", F.lit(False))
-        kids = F.transform(F.map_entries(props), lambda e: F.struct(
-            F.concat(F.col("spath"), F.lit("."), e["key"]).alias("spath"), e["key"].alias("name"),
-            F.coalesce(as_map(e["value"]), F.create_map().cast(_NODE)).alias("raw"),
-            F.lit(False).alias("is_array_item"), F.array_contains(req_names, e["key"]).alias("required"),
-            q1_prop.alias("q1")))
-        items = _get(F.col("node"), "items")
-        item_kid = F.when(items.isNotNull(), F.array(F.struct(
-            F.concat(F.col("spath"), F.lit("[]")).alias("spath"), F.lit("[]").alias("name"),
-            F.coalesce(as_map(items), F.create_map().cast(_NODE)).alias("raw"),
-            F.lit(True).alias("is_array_item"), F.lit(True).alias("required"), q1_item.alias("q1")))).otherwise(
-            F.array().cast("array<struct<spath:string,name:string,raw:map<string,variant>,"
-                           "is_array_item:boolean,required:boolean,q1:boolean>>"))
-        nxt = lvl.select("schema_id", "root", F.col("spath").alias("parent_spath"), F.col("depth"), "parts",
-                         F.explode(F.concat(kids, item_kid)).alias("k"))
-        frontier = nxt.select("schema_id", "k.spath", "parent_spath", "k.name", "k.raw", "root",
-                              (F.col("depth") + 1).alias("depth"), "k.is_array_item", "k.required",
-                              F.concat(F.col("parts"), F.array(F.col("k.name"))).alias("parts"), "k.q1")
-        if frontier.isEmpty():
-            break
-    allv = levels[0]
-    for lvl in levels[1:]:
-        allv = allv.unionByName(lvl)
-    n = F.col("node")
-    enum = as_array(_get(n, "enum"))
-    nodes = allv.select(
-        "schema_id", "spath", "parent_spath", "name", _type_of(n).alias("ftype"), "is_array_item",
-        "required", _nullable(F.col("raw")).alias("nullable"),
-        F.transform(enum, lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))).alias("enum"),
-        _str(_get(n, "description")).alias("description"),
-        F.to_json(_get(n, "default")).alias("default_json"),
-        ((_type_of(n) == "object") & _get(n, "properties").isNotNull()
-         & F.coalesce(F.try_variant_get(_get(n, "additionalProperties"), "$", "boolean"), F.lit(False)).eqNullSafe(False)
-         ).alias("closed"),
-        _get(n, "$ref").isNotNull().alias("unresolved_ref"),
-        _str(_get(n, "type")).alias("declared_type"), "parts", "q1",
-        F.coalesce(_str(_get(F.col("raw"), "type")), F.lit("string")).alias("raw_type"),
-        F.coalesce(_str(_get(F.col("raw"), "description")), F.lit("")).alias("raw_description"),
-        F.transform(as_array(_get(F.col("raw"), "enum")),
-                    lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))).alias("raw_enum"),
-        F.coalesce(_str(F.try_element_at(as_map(_get(F.col("raw"), "items")), F.lit("type"))), F.lit("string"))
-        .alias("raw_items_type"),
-        "depth")
-    items = nodes.filter("is_array_item").select(
-        "schema_id", F.col("parent_spath").alias("spath"), F.col("ftype").alias("items_type"))
-    return nodes.join(items, ["schema_id", "spath"], "left")
+NODE_SCHEMA = ("schema_id string, spath string, parent_spath string, name string, ftype string, is_array_item boolean, "
+               "required boolean, nullable boolean, enum array<string>, description string, default_json string, "
+               "closed boolean, unresolved_ref boolean, declared_type string, parts array<string>, order array<int>, "
+               "q1 boolean, raw_type string, raw_description string, raw_enum array<string>, raw_items_type string, "
+               "depth int, items_type string")
+
+
+def schema_text(schemas: DataFrame):
+    """The schema as text: column ``schema_text`` (keeps the declared order) or the VARIANT's (sorted) text."""
+    return F.col("schema_text") if "schema_text" in schemas.columns else F.to_json("schema")
+
+
+def schema_nodes(schemas: DataFrame) -> DataFrame:
+    """schemas(schema_id, schema VARIANT or schema_text) -> one resolved row per schema node."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    schema = _parse_datatype_string(NODE_SCHEMA)
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [node | {"schema_id": i} for i, text in zip(*(batch.column(c).to_pylist() for c in range(2)))
+                    if text is not None for node in schema_json.walk(text)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=target)
+
+    distinct = schemas.select(F.col("schema_id").cast("string").alias("schema_id"), schema_text(schemas).alias("text"))
+    return spread(distinct.dropDuplicates(["schema_id"])).mapInArrow(run, schema)
 
 
 _SCALAR_DDL = {"string": "STRING", "integer": "BIGINT", "number": "DOUBLE", "boolean": "BOOLEAN"}
@@ -174,6 +64,7 @@ def struct_ddl(nodes: DataFrame) -> DataFrame:
     aggregated into their parents (a shuffle on (schema_id, parent) per level,
     bounded by one schema's width).  Unknown / union types map to STRING."""
     base = nodes.select("schema_id", "spath", "parent_spath", "name", "ftype", "is_array_item", "depth")
+    base = cut_lineage(base)
     max_depth = base.agg(F.max("depth")).first()[0] or 0
     scalar = F.coalesce(F.create_map(*[x for k, v in _SCALAR_DDL.items() for x in (F.lit(k), F.lit(v))])[F.col("ftype")],
                         F.lit("STRING"))

@@ -59,8 +59,8 @@ SCHEMA = {
 
 
 def schema_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(SCHEMA_ID, json.dumps(SCHEMA))], "schema_id string, schema string").select(
-        "schema_id", F.parse_json("schema").alias("schema"))
+    return spark.createDataFrame([(SCHEMA_ID, json.dumps(SCHEMA))], "schema_id string, schema_text string").select(
+        "schema_id", F.parse_json("schema_text").alias("schema"), "schema_text")
 
 
 def _cents(c):

@@ -12,17 +12,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app_name: str = "leafwise") -> SparkSession:
     """A session tuned for the operators in this package.
 
-    On a cluster, ``master`` stays None so spark-submit decides; locally the
-    caller passes ``local[N]``.  The UI is off (no server is opened).
+    On a cluster, ``master`` stays None so spark-submit decides; locally the caller passes ``local[N]``.  The
+    number of shuffle partitions is the cluster's unless the caller passes one.  The UI is off (no server is
+    opened).
     """
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    cpus = os.cpu_count() or 8
-    parts = shuffle_partitions or max(8, cpus)
     b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -30,6 +28,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", os.environ.get("LEAFWISE_DRIVER_MEMORY", "16g")))
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -40,8 +40,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names that folder; only when it is unset (local runs, tests)
-    do we create a private scratch folder.
+    The cluster names that folder.  Only a local master may do without: it gets a private scratch folder, as
+    driver and executors share one machine there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="leafwise-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -66,20 +68,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/" + name
 
 
-def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
-    """Give CPU-heavy per-row stages at least ``factor`` × cores partitions.
-
-    Small inputs (single-row-group files, AQE-coalesced shuffles) otherwise run a
-    whole stage in one or two tasks.  Inputs that already have enough partitions
-    are returned unchanged, so at cluster scale this adds no shuffle.  With
-    ``keys`` the rows are hash-partitioned by them (an explicit partition count is
-    not coalesced by AQE)."""
-    spark = df.sparkSession
-    factor = int(os.environ.get("LEAFWISE_SPREAD_FACTOR", factor))
-    target = spark.sparkContext.defaultParallelism * factor
-    if factor <= 0 or df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written below the checkpoint folder.  Call it when the results that
+    were derived from it are stored elsewhere."""
+    base = spark.sparkContext.getCheckpointDir()
+    if base:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows to ``spark.leafwise.spread`` partitions ahead of a CPU-heavy stage.
+
+    Unset, this is a round of local-mode help: the test tables are single row groups, which one task reads, so a
+    local master gets two partitions per core.  On a cluster the input's own splits are kept and nothing is
+    shuffled.  The plan is never run to find out."""
+    sc = df.sparkSession.sparkContext
+    local = 2 * sc.defaultParallelism if sc.master.startswith("local[") else 0
+    target = int(sc.getConf().get("spark.leafwise.spread", str(local)))
+    return df.repartition(target, *keys) if target > 0 else df
 
 
 _SHIPPED: set = set()
