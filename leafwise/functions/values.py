@@ -8,23 +8,27 @@ these expressions reproduce them JVM-side:
 * ``pyfloat``  — ``float(value)`` (booleans are numbers; strings follow
   Python's float syntax incl. ``_`` separators, ``inf`` and ``nan``)
 * ``truthy``   — ``bool(value)`` ("false" is true, empty containers false)
-* ``stable``   — canonical element string: '' for null, sorted ``{k:v,…}``,
-  ``[a,b]``, scalars by ``pystr``
+* ``element_info`` — canonical element strings: '' for null, ``{k:v,…}`` by key, ``[a,b]``, scalars by
+  ``str(value)``
 
 Every function takes the value and, optionally, its already computed
 ``schema_of_variant`` string ``t``: callers materialise ``t`` once per value
 (as a column or a struct field) so expression trees stay linear in size.
 
-Canonical-form note: a VARIANT keeps the JSON number's decimal scale, so
-``1.0`` is recognised as a float (DECIMAL(p,0)) and printed ``1.0``; values
-nested more than two levels inside an array element are rendered with their
-compact JSON text.
+Canonical-form note: a VARIANT keeps the JSON number's decimal scale, so ``1.0`` is recognised as a float
+(DECIMAL(p,0)) and printed ``1.0``.  Array elements are rendered by one Arrow-batched UDF over decoded VARIANTs,
+at any depth of nesting.
 """
 
 from __future__ import annotations
 
+import json
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PY_FLOAT = (r"^(?i)[+-]?((([0-9](_?[0-9])*)?\.[0-9](_?[0-9])*|[0-9](_?[0-9])*\.?)"
              r"(e[+-]?[0-9](_?[0-9])*)?|inf|infinity|nan)$")
@@ -118,43 +122,69 @@ def truthy(v: Column, t: Column | None = None) -> Column:
             .otherwise(F.try_variant_get(v, "$", "double") != 0))
 
 
-def _entries(v: Column) -> Column:
-    """Sorted object entries as array<struct<k, v, t>>."""
-    m = as_map(v)
-    return F.transform(F.array_sort(F.map_keys(m)),
-                       lambda k: F.struct(k.alias("k"), m[k].alias("v"), vtype(m[k]).alias("t")))
-
-
-def render(v: Column, t: Column, depth: int) -> Column:
-    """Stable string with ``depth`` structural levels, then JSON text."""
-    scalar = _scalar_str(v, t, "")
-    if depth <= 0:
-        return scalar
-    obj = F.concat(F.lit("{"), F.array_join(F.transform(
-        _entries(v), lambda e: F.concat(e["k"], F.lit(":"), render(e["v"], e["t"], depth - 1))), ","), F.lit("}"))
-    arr = F.concat(F.lit("["), F.array_join(F.transform(
-        typed(as_array(v)), lambda e: render(e["v"], e["t"], depth - 1)), ","), F.lit("]"))
-    return F.when(t.startswith("OBJECT"), obj).when(t.startswith("ARRAY"), arr).otherwise(scalar)
-
-
-def stable(v: Column, t: Column | None = None) -> Column:
-    return render(v, vtype(v) if t is None else t, 3)
+def python_text(value) -> str:
+    """``str(value)`` of a decoded VARIANT scalar (decimals are JSON floats); containers as compact JSON."""
+    if isinstance(value, Decimal):
+        return repr(float(value))
+    if isinstance(value, (dict, list)):
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True, default=float)
+    return str(value)
+
+
+def stable_text(value) -> str:
+    """Canonical string of a decoded VARIANT, at any depth: '' for null, ``{k:v,…}`` by key, ``[a,b]``."""
+    out, todo = [], [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, _Raw):
+            out.append(x)
+        elif x is None:
+            continue
+        elif isinstance(x, dict):
+            parts: list = [_Raw("{")]
+            for i, k in enumerate(sorted(x)):
+                parts += [_Raw(("," if i else "") + k + ":"), x[k]]
+            todo += reversed([*parts, _Raw("}")])
+        elif isinstance(x, list):
+            parts = [_Raw("[")]
+            for i, v in enumerate(x):
+                parts += [_Raw(","), v] if i else [v]
+            todo += reversed([*parts, _Raw("]")])
+        else:
+            out.append(python_text(x))
+    return "".join(out)
+
+
+class _Raw(str):
+    """Text that goes out as it is."""
 
 
 FIELD_SEP = "\u0000"
-
-
-def element_info(v: Column, t: Column) -> Column:
-    """struct<s: stable string, f: array of 'key<NUL>stable value' for non-empty fields>.
-
-    One pass over the sorted entries feeds both the whole-element string and the
-    field entries, so each field is rendered once.  Two elements agree on a field
-    exactly when they share its entry, so equal fields are one ``array_intersect``."""
-    ent = F.transform(_entries(v), lambda e: F.struct(e["k"].alias("k"), render(e["v"], e["t"], 2).alias("r")))
-    obj_s = F.concat(F.lit("{"), F.array_join(F.transform(ent, lambda e: F.concat(e["k"], F.lit(":"), e["r"])), ","),
-                     F.lit("}"))
-    fields = F.transform(F.filter(ent, lambda e: e["r"] != ""),
-                         lambda e: F.concat(e["k"], F.lit(FIELD_SEP), e["r"]))
-    is_obj = t.startswith("OBJECT")
-    return F.struct(F.when(is_obj, obj_s).otherwise(render(v, t, 3)).alias("s"),
-                    F.when(is_obj, fields).otherwise(F.array().cast("array<string>")).alias("f"))
+_INFO = T.ArrayType(T.StructType([T.StructField("s", T.StringType()), T.StructField("f", T.ArrayType(T.StringType()))]))
+
+
+def _element_rows(array, objects: bool) -> list[tuple] | None:
+    if array is None:
+        return None
+    rows = []
+    for x in array.toPython():
+        if not objects:
+            rows.append((python_text(x), None))
+        elif isinstance(x, dict):
+            shown = [(k, stable_text(x[k])) for k in sorted(x)]
+            rows.append(("{" + ",".join(f"{k}:{v}" for k, v in shown) + "}", [k + FIELD_SEP + v for k, v in shown if v != ""]))
+        else:
+            rows.append((stable_text(x), []))
+    return rows
+
+
+@F.pandas_udf(_INFO)
+def element_info(arrays: pd.Series, objects: pd.Series) -> pd.Series:
+    """VARIANT array -> one (s, f) per element.  Object matching: s is the stable string, f the entries
+    'key<NUL>stable value' of its non-empty fields, so two elements agree on a field exactly when they share its
+    entry.  Primitive matching: s is the element's Python string."""
+    return pd.Series([_element_rows(a, bool(o)) for a, o in zip(arrays, objects)])
+
+
+# Not deterministic in name only: Catalyst then evaluates it once per row and does not repeat it in filters.
+element_info = element_info.asNondeterministic()

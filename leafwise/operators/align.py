@@ -1,20 +1,17 @@
-"""Document alignment: flatten a (ground truth, prediction) JSON pair into typed
-leaf pairs, then score them.
-
-The recursion runs as a level-wise frontier loop.  Each level is a *narrow*
-transformation of the frontier: object keys are unioned in-row, array
-elements are exploded in-row and their n×m weight matrix is built with
-higher-order functions over JVM ``levenshtein`` — so a document pair never
-moves between tasks and no level shuffles.  The only optional exchange is the
-lookup of schema nodes (broadcast when their count is proven small).  Each
-level is checkpointed to the reliable checkpoint folder, which cuts the
-lineage and survives executor loss.
-
-Semantics follow the evaluated scorer: both-null pairs vanish; a node is an
-object when its schema says so or either side is an object (likewise arrays);
-a scalar where a container is expected is dropped; primitive array elements
-become leaves directly (null elements still pair); unmatched ground-truth
-elements keep index i, unmatched predictions get index n + j.
+"""Document alignment: flatten a (ground truth, prediction) JSON pair into typed leaf pairs and score them.
+
+The recursion runs as a level-wise frontier loop.  The frontier holds containers only; a level opens each
+container in-row (object keys are unioned, array elements are matched on an n×m weight matrix built with
+higher-order functions over JVM ``levenshtein``), joins the children to their schema nodes and classes them at
+once: leaves leave the level as scores, containers form the next frontier.  A document pair never moves between
+tasks and no level shuffles, but for the lookup of schema nodes, whose join AQE picks by measured size.  Each
+level is checkpointed to the reliable checkpoint folder, which cuts the lineage and survives executor loss; the
+loop ends when no container is left, at any depth.
+
+Semantics follow the evaluated scorer: both-null pairs vanish; a node is an object when its schema says so or
+either side is an object (likewise arrays); a scalar where a container is expected is dropped; primitive array
+elements become leaves directly (null elements still pair); unmatched ground-truth elements keep index i,
+unmatched predictions get index n + j.
 """
 
 from __future__ import annotations
@@ -23,38 +20,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.leaf import element_similarity, leaf_score
-from leafwise.functions.values import FIELD_SEP, as_array, as_map, element_info, kind_of, pystr, truthy, typed, vtype
+from leafwise.functions.values import FIELD_SEP, as_array, as_map, element_info, kind_of, truthy, typed, vtype
 from leafwise.operators.assignment import with_match
 from leafwise.session import cut_lineage, spread
 
 LEAF_TYPES = ("string", "number", "integer", "boolean")
 RESERVED = "evaluation_config"
-MAX_DEPTH = 64
-BROADCAST_NODE_LIMIT = 2_000_000
 
-_CHILD = ("struct<path:string,spath:string,gt:variant,pred:variant,is_leaf:boolean,ftype:string>")
+_CHILD = "struct<path:string,spath:string,gt:variant,pred:variant,fixed:string>"
 
 
-def _child(path: Column, spath: Column, gt: Column, pred: Column, is_leaf: bool | Column,
-           ftype: Column | None) -> Column:
+def _child(path: Column, spath: Column, gt: Column, pred: Column, fixed: Column | None = None) -> Column:
+    """``fixed``: leaf type of a primitive array element, which is a leaf whatever its value."""
     return F.struct(path.alias("path"), spath.alias("spath"), gt.alias("gt"), pred.alias("pred"),
-                    (is_leaf if isinstance(is_leaf, Column) else F.lit(is_leaf)).alias("is_leaf"),
-                    (ftype if ftype is not None else F.lit(None).cast("string")).alias("ftype"))
-
-
-def _empty_children() -> Column:
-    return F.array().cast(f"array<{_CHILD}>")
+                    (fixed if fixed is not None else F.lit(None).cast("string")).alias("fixed"))
 
 
 def _object_children() -> Column:
-    gm = F.when(F.col("_gk") == "object", as_map(F.col("gt")))
-    pm = F.when(F.col("_pk") == "object", as_map(F.col("pred")))
+    gm = F.when(F.col("gt_kind") == "object", as_map(F.col("gt")))
+    pm = F.when(F.col("pred_kind") == "object", as_map(F.col("pred")))
     empty = F.array().cast("array<string>")
     keys = F.array_union(F.coalesce(F.map_keys(gm), empty), F.coalesce(F.map_keys(pm), empty))
     keys = F.array_sort(F.array_remove(keys, RESERVED))
-    return F.transform(keys, lambda k: _child(
-        F.concat(F.col("path"), F.lit("."), k), F.concat(F.col("spath"), F.lit("."), k),
-        F.try_element_at(gm, k), F.try_element_at(pm, k), False, None))
+    return F.transform(keys, lambda k: _child(F.concat(F.col("path"), F.lit("."), k), F.concat(F.col("spath"), F.lit("."), k),
+                                              F.try_element_at(gm, k), F.try_element_at(pm, k)))
 
 
 def array_matching(fr: DataFrame, ga: Column, pa: Column, items_type: Column, keep_weights: bool = False,
@@ -73,12 +62,8 @@ def array_matching(fr: DataFrame, ga: Column, pa: Column, items_type: Column, ke
     first_t = F.try_element_at(ga, F.lit(1))["t"]
     obj = (F.col("_it") == "object") | ((n > 0) & F.coalesce(first_t.startswith("OBJECT"), F.lit(False)))
     fr = fr.withColumn("_obj", obj)
-    prim = lambda e: F.struct(pystr(e["v"], e["t"]).alias("s"),
-                              F.lit(None).cast("array<string>").alias("f"))
-    fr = fr.withColumn("_gi", F.when(F.col("_obj"), F.transform(ga, lambda e: element_info(e["v"], e["t"])))
-                       .otherwise(F.transform(ga, prim)))
-    fr = fr.withColumn("_pi", F.when(F.col("_obj"), F.transform(pa, lambda e: element_info(e["v"], e["t"])))
-                       .otherwise(F.transform(pa, prim)))
+    for out, arr in (("_gi", ga), ("_pi", pa)):
+        fr = fr.withColumn(out, element_info(F.to_variant_object(F.transform(arr, lambda e: e["v"])), F.col("_obj")))
 
     # weights: object elements by field agreement and whole-element edit distance,
     # primitive elements by normalised edit distance of their Python strings
@@ -97,101 +82,68 @@ def array_matching(fr: DataFrame, ga: Column, pa: Column, items_type: Column, ke
     return fr if keep_weights else fr.drop("_w")
 
 
-def _with_array_match(fr: DataFrame, is_arr: Column) -> DataFrame:
+def _array_children(fr: DataFrame) -> DataFrame:
+    """Children of the array containers ``fr``: matched pairs, then what is left on either side."""
     empty = F.array().cast("array<variant>")
-    ga = F.coalesce(F.when(is_arr & (F.col("_gk") == "array"), as_array(F.col("gt"))), empty)
-    pa = F.coalesce(F.when(is_arr & (F.col("_pk") == "array"), as_array(F.col("pred"))), empty)
-    return array_matching(fr, ga, pa, F.col("_items_type"))
-
-
-def _array_children() -> Column:
+    ga = F.coalesce(F.when(F.col("gt_kind") == "array", as_array(F.col("gt"))), empty)
+    pa = F.coalesce(F.when(F.col("pred_kind") == "array", as_array(F.col("pred"))), empty)
+    fr = array_matching(fr, ga, pa, F.coalesce(F.col("items_type"), F.lit("string")))
     ga, pa, match = F.col("_ga"), F.col("_pa"), F.col("_match")
     n = F.size(ga)
-    obj = F.col("_obj")
     item_spath = F.concat(F.col("spath"), F.lit("[]"))
-    is_leaf = ~obj
-    leaf_type = F.when(obj, F.lit(None).cast("string")).otherwise(F.col("_items_type"))
-    from_gt = F.transform(ga, lambda x, i: _child(
-        F.concat(F.col("path"), F.lit("["), i.cast("string"), F.lit("]")), item_spath, x["v"],
-        F.when(match[i] >= 0, F.try_element_at(pa, match[i] + 1)["v"]), is_leaf, leaf_type))
-    pred_idx = F.transform(pa, lambda y, j: F.struct(j.alias("j"), y["v"].alias("y")))
-    unmatched = F.filter(pred_idx, lambda s: ~F.array_contains(match, s["j"]))
-    from_pred = F.transform(unmatched, lambda s: _child(
-        F.concat(F.col("path"), F.lit("["), (n + s["j"]).cast("string"), F.lit("]")), item_spath,
-        F.lit(None).cast("variant"), s["y"], is_leaf, leaf_type))
-    return F.concat(from_gt, from_pred)
-
-
-def _level(frontier: DataFrame, nodes: DataFrame | None) -> DataFrame:
-    fr = frontier
+    fixed = F.when(~F.col("_obj"), F.coalesce(F.col("items_type"), F.lit("string")))
+
+    def at(i):
+        return F.concat(F.col("path"), F.lit("["), i.cast("string"), F.lit("]"))
+    from_gt = F.transform(ga, lambda x, i: _child(at(i), item_spath, x["v"], F.when(
+        match[i] >= 0, F.try_element_at(pa, match[i] + 1)["v"]), fixed))
+    indexed = F.transform(pa, lambda y, j: F.struct(j.alias("j"), y["v"].alias("y")))
+    unmatched = F.filter(indexed, lambda s: ~F.array_contains(match, s["j"]))
+    from_pred = F.transform(unmatched, lambda s: _child(at(n + s["j"]), item_spath, F.lit(None).cast("variant"), s["y"], fixed))
+    return fr.select("doc_key", "schema_id", F.explode(F.concat(from_gt, from_pred)).alias("c")).select("doc_key", "schema_id", "c.*")
+
+
+def _classed(rows: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """Rows (doc_key, schema_id, path, spath, gt, pred, fixed) with their class: leaves carry their score and no
+    values any more, containers (object, array) carry their values and kinds; both-null pairs are dropped."""
     if nodes is not None:
-        fr = fr.join(nodes, ["schema_id", "spath"], "left")
+        rows = rows.join(nodes, ["schema_id", "spath"], "left")
     else:
-        fr = fr.withColumn("ftype", F.lit(None).cast("string")).withColumn("items_type", F.lit(None).cast("string"))
-    fr = (fr.withColumn("_ft", F.coalesce(F.col("ftype"), F.lit("string")))
-          .withColumn("_items_type", F.coalesce(F.col("items_type"), F.lit("string")))
-          .withColumn("_gt_t", vtype(F.col("gt"))).withColumn("_pr_t", vtype(F.col("pred")))
-          .withColumn("_gk", kind_of(F.col("_gt_t"))).withColumn("_pk", kind_of(F.col("_pr_t")))
-          .filter(~((F.col("_gk") == "null") & (F.col("_pk") == "null"))))
-    ft, gk, pk = F.col("_ft"), F.col("_gk"), F.col("_pk")
+        rows = rows.withColumns({"ftype": F.lit(None).cast("string"), "items_type": F.lit(None).cast("string")})
+    rows = rows.withColumns({"_gt_t": vtype(F.col("gt")), "_pr_t": vtype(F.col("pred"))})
+    rows = rows.withColumns({"gt_kind": kind_of(F.col("_gt_t")), "pred_kind": kind_of(F.col("_pr_t"))})
+    gk, pk, fixed = F.col("gt_kind"), F.col("pred_kind"), F.col("fixed")
+    rows = rows.where(fixed.isNotNull() | (gk != "null") | (pk != "null"))
+    ft = F.coalesce(F.col("ftype"), F.lit("string"))
     is_obj = (ft == "object") | (gk == "object") | (pk == "object")
-    is_arr = ~is_obj & ((ft == "array") | (gk == "array") | (pk == "array"))
-    fr = fr.withColumn("_cls", F.when(is_obj, F.lit("object")).when(is_arr, F.lit("array"))
-                       .otherwise(F.lit("leaf")))
-    inferred = F.when(gk != "null", gk).otherwise(pk)
-    leaf_type = F.when(ft.isin(*LEAF_TYPES), ft).otherwise(inferred)
-    leaf = F.array(_child(F.col("path"), F.col("spath"), F.col("gt"), F.col("pred"), True, leaf_type))
-    # objects and leaves: cheap in-row work
-    simple = fr.filter(F.col("_cls") != "array")
-    kids = F.when(F.col("_cls") == "object", _object_children()).otherwise(leaf)
-    out_simple = (simple.select("doc_key", "schema_id", F.explode(kids).alias("c"))
-                  .select("doc_key", "schema_id", "c.*"))
-    # arrays: element info, weight matrix, assignment — only rows that need it
-    arrays = _with_array_match(fr.filter(F.col("_cls") == "array"), F.lit(True))
-    out_arr = (arrays.select("doc_key", "schema_id", F.explode(_array_children()).alias("c"))
-               .select("doc_key", "schema_id", "c.*"))
-    return out_simple.unionByName(out_arr)
-
-
-def _node_lookup(schema_nodes: DataFrame | None) -> DataFrame | None:
-    if schema_nodes is None:
-        return None
-    nodes = schema_nodes.select("schema_id", "spath", "ftype", "items_type")
-    if nodes.count() <= BROADCAST_NODE_LIMIT:       # size proven before broadcasting
-        return F.broadcast(nodes)
-    return nodes
-
-
-def leaf_pairs(pairs: DataFrame, schema_nodes: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """pairs(doc_key, schema_id, gt VARIANT, pred VARIANT) -> leaves(doc_key, path, gt, pred, ftype).
-
-    ``schema_nodes(schema_id, spath, ftype, items_type)`` is the resolved schema
-    table (``operators.schema.schema_nodes``); None means every node is ``{}``.
-    """
-    nodes = _node_lookup(schema_nodes)
-    frontier = cut_lineage(spread(pairs, "doc_key").select(
-        F.col("doc_key").cast("string"), F.col("schema_id").cast("string"),
-        F.lit("$").alias("path"), F.lit("$").alias("spath"), "gt", "pred"))
-    leaves = []
-    for _ in range(max_depth):
-        lvl = cut_lineage(_level(frontier, nodes))
-        leaves.append(lvl.filter("is_leaf").select("doc_key", "path", "gt", "pred", "ftype"))
-        frontier = lvl.filter(~F.col("is_leaf")).select("doc_key", "schema_id", "path", "spath", "gt", "pred")
-        if frontier.isEmpty():
-            break
-    else:
-        raise ValueError(f"document nesting deeper than {max_depth} levels")
-    out = leaves[0]
-    for part in leaves[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def scored_leaves(leaves: DataFrame) -> DataFrame:
-    typed_leaves = leaves.select("*", vtype(F.col("gt")).alias("_at"), vtype(F.col("pred")).alias("_pt"))
-    return typed_leaves.select("doc_key", "path", "ftype",
-                               leaf_score(F.col("gt"), F.col("pred"), F.col("ftype"),
-                                          F.col("_at"), F.col("_pt")).alias("score"))
+    is_arr = (ft == "array") | (gk == "array") | (pk == "array")
+    cls = F.when(fixed.isNotNull(), F.lit("leaf")).when(is_obj, F.lit("object")).when(is_arr, F.lit("array")).otherwise(F.lit("leaf"))
+    leaf_type = F.coalesce(fixed, F.when(ft.isin(*LEAF_TYPES), ft).otherwise(F.when(gk != "null", gk).otherwise(pk)))
+    rows = rows.withColumns({"cls": cls, "leaf_type": leaf_type})
+    leaf = F.col("cls") == "leaf"
+    score = F.when(leaf, leaf_score(F.col("gt"), F.col("pred"), F.col("leaf_type"), F.col("_gt_t"), F.col("_pr_t")))
+    return rows.select("doc_key", "schema_id", "path", "spath", "cls", "leaf_type", "items_type", score.alias("score"),
+                       F.when(~leaf, F.col("gt")).alias("gt"), F.when(~leaf, F.col("pred")).alias("pred"), "gt_kind", "pred_kind")
+
+
+def leaf_scores(pairs: DataFrame, schema_nodes: DataFrame | None = None) -> DataFrame:
+    """pairs(doc_key, schema_id, gt VARIANT, pred VARIANT) -> leaves(doc_key, path, ftype, score).
+
+    ``schema_nodes(schema_id, spath, ftype, items_type)`` is the resolved schema table
+    (``operators.schema.schema_nodes``); None means every node is ``{}``."""
+    nodes = None if schema_nodes is None else cut_lineage(schema_nodes.select("schema_id", "spath", "ftype", "items_type"))
+    rows = pairs.select(F.col("doc_key").cast("string"), F.col("schema_id").cast("string"), F.lit("$").alias("path"),
+                        F.lit("$").alias("spath"), "gt", "pred", F.lit(None).cast("string").alias("fixed"))
+    leaves = None
+    while True:
+        level = cut_lineage(_classed(rows, nodes))
+        found = level.where("cls = 'leaf'").select("doc_key", "path", F.col("leaf_type").alias("ftype"), "score")
+        leaves = found if leaves is None else leaves.unionByName(found)
+        if level.where("cls <> 'leaf'").isEmpty():
+            return leaves
+        objects = level.where("cls = 'object'").select("doc_key", "schema_id", F.explode(_object_children()).alias("c")).select(
+            "doc_key", "schema_id", "c.*")
+        rows = objects.unionByName(_array_children(level.where("cls = 'array'")))
 
 
 _KEY_TOKEN = r'"(?:[^"\\]|\\.)*"\s*:'
@@ -214,16 +166,14 @@ def document_scores(pairs: DataFrame, schema_nodes: DataFrame | None = None,
     No prediction (SQL NULL): total 0, max = leaf count of the ground truth, pct 0.
     No pairs: both sides non-empty -> max 1, pct 0; otherwise max 0, pct 100.
     """
-    spark = pairs.sparkSession
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    has_pred = pairs.filter(F.col("pred").isNotNull())
-    leaves = scored_leaves(leaf_pairs(has_pred, schema_nodes))
-    aggs = [F.sum("score").alias("_total"), F.count(F.lit(1)).alias("_n")]
-    if with_field_scores:
-        aggs.append(F.map_from_entries(F.collect_list(F.struct("path", F.round("score", 4)))).alias("field_scores"))
-    per_doc = leaves.groupBy("doc_key").agg(*aggs)
-    docs = pairs.select(F.col("doc_key").cast("string"), "gt", "pred")
-    j = docs.join(per_doc, "doc_key", "left")
+    pairs = cut_lineage(spread(pairs.select(F.col("doc_key").cast("string"), "schema_id", "gt", "pred")))
+    leaves = leaf_scores(pairs.where("pred is not null"), schema_nodes)
+    per_doc = leaves.groupBy("doc_key").agg(F.sum("score").alias("_total"), F.count(F.lit(1)).alias("_n"))
+    if with_field_scores:               # a path that stands for two leaves keeps the better score
+        paths = leaves.groupBy("doc_key", "path").agg(F.max("score").alias("score"))
+        per_doc = per_doc.join(paths.groupBy("doc_key").agg(F.map_from_entries(F.collect_list(
+            F.struct("path", F.round("score", 4)))).alias("field_scores")), "doc_key", "left")
+    j = pairs.join(per_doc, "doc_key", "left")
     no_pred = F.col("pred").isNull()
     no_pairs = F.col("_n").isNull()
     both = truthy(F.col("gt")) & truthy(F.col("pred"))

@@ -95,8 +95,9 @@ def loose_item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.parse_json(F.to_json(gt)).alias("gt"), F.parse_json(F.to_json(F.concat(pred, extra))).alias("pred"))
 
 
-def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_key, schema_id, gt VARIANT, pred VARIANT) for every order with its line items."""
+def document_pairs(spark: SparkSession, sf_dir: str, only=None) -> DataFrame:
+    """(doc_key, schema_id, gt VARIANT, pred VARIANT) for every order with its line items; ``only`` is a condition on
+    o_orderkey, which reaches both scans."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                               "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
@@ -110,6 +111,9 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred_price = F.floor(_cents(F.col("l_extendedprice")) * (F.lit(50) + pk % 7) / 50)
     row = F.struct(*[F.col(x) for x in sort_cols], ((pk * 31) % 97).alias("shuffle"),
                    (pred_price.cast("double") / 100.0).alias("pred_price"))
+    if only is not None:
+        o = o.where(only)
+        li = li.withColumnRenamed("l_orderkey", "o_orderkey").where(only).withColumnRenamed("o_orderkey", "l_orderkey")
     # one sorted list per order; an item's position in it is its unperturbed ``pos``
     items = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     gt_items = F.transform("rows", lambda r, i: F.struct(

@@ -139,7 +139,7 @@ FROM all_leaves GROUP BY ok"""
 
 # --- more alignment queries ---------------------------------------------------------
 from leafwise.functions import leaf as LF  # noqa: E402
-from leafwise.functions.values import as_array, as_map  # noqa: E402
+from leafwise.functions.values import as_array, as_map, vtype  # noqa: E402
 from leafwise.operators.flatten import flatten_json  # noqa: E402
 from leafwise.sources.tables import table  # noqa: E402
 
@@ -209,7 +209,9 @@ def leaf_dispatch(spark, sf):
              .otherwise(F.lit("boolean")))
     a = F.when(k == 0, m["s1"]).when(k == 1, m["n1"]).when(k == 2, m["i1"]).otherwise(m["b1"])
     p = F.when(k == 0, m["s2"]).when(k == 1, m["n2"]).when(k == 2, m["i2"]).otherwise(m["b2"])
-    return d.select("o_orderkey", ftype.alias("ftype"), LF.leaf_score(a, p, ftype).alias("score"))
+    rows = d.select("o_orderkey", ftype.alias("ftype"), a.alias("a"), p.alias("p"))
+    rows = rows.withColumns({"at": vtype(F.col("a")), "pt": vtype(F.col("p"))})
+    return rows.select("o_orderkey", "ftype", LF.leaf_score(*map(F.col, ("a", "p", "ftype", "at", "pt"))).alias("score"))
 
 
 _s2 = "CASE WHEN o_orderkey % 6 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END"
@@ -489,7 +491,7 @@ UNION ALL SELECT 'comment', 'pred_only', count(*) FROM orders WHERE o_orderkey %
 @q("hardest_fields")
 def hardest_fields(spark, sf):
     pairs = docs.document_pairs(spark, sf)
-    leaves = align.scored_leaves(align.leaf_pairs(pairs, _nodes(spark)))
+    leaves = align.leaf_scores(spread(pairs), _nodes(spark))
     board = boards.field_score_board(leaves)
     return board.select("path", "n", F.round("avg_score", 6).alias("avg_score"))
 
@@ -502,7 +504,7 @@ SELECT path, count(*) AS n, round(avg(sc), 6) AS avg_score FROM all_leaves GROUP
 @q("sample_detail")
 def sample_detail(spark, sf):
     """Ground truth vs prediction of one selected sample (the detail view's selection)."""
-    pairs = docs.document_pairs(spark, sf).filter(F.col("doc_key") == "ord_7")
+    pairs = docs.document_pairs(spark, sf, F.col("o_orderkey") == 7)
     return pairs.select("doc_key", F.try_variant_get("gt", "$.status", "string").alias("gt_status"),
                         F.try_variant_get("pred", "$.status", "string").alias("pred_status"),
                         F.try_variant_get("gt", "$.totalprice", "double").alias("gt_total"),
