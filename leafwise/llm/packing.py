@@ -14,7 +14,8 @@ columns are not read.  A part whose terms nobody shares is followed by the next
 
 from __future__ import annotations
 
-import zlib
+import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,12 @@ from leafwise.llm.common import documents
 
 WINDOW = 2048
 END_ID = 1
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_200_000
 CLOSING = (".", ",", ";", ":", "!", "?", ")")
 TEXT_CHARS = 1_000_000      # texts are split into words so many characters at a time
+#: Byte-level vocabularies write printable Latin-1 bytes as they are and the other bytes, in order, from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+SPELLING = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 PARTS = "doc_id long, start long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -38,6 +42,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.lru_cache(maxsize=1)
+def word_encoder(path: str) -> "WordEncoder":
+    """The encoder of this worker process; tasks that follow in it find the words already known."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """ids of whole texts, by white-space separated words.
 
@@ -69,15 +79,29 @@ class WordEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Encodes what is not known; a letter word with one closing mark is its stem, then the mark."""
-        new = words.difference(self.known)
+        known = self.known
+        new = words.difference(known)
         if not new:
             return
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
             new = words
-        marked = [w for w in new if w[-1:] in CLOSING and w[:-1].isalpha()]
-        self.encode(new.difference(marked) | {w[:-1] for w in marked} | set(CLOSING))
-        known = self.known
+        marked = [w for w in new if w[-1:] in CLOSING and (s := w[:-1]).isalpha() and (s.isascii() or s.lower().isalpha())]
+        todo = new.difference(marked)
+        todo.update(CLOSING)
+        todo.update([w[:-1] for w in marked])
+        tokenise, rest = self.model.model.tokenize, set()
+        code = "H" if self.kind.itemsize == 2 else "I"
+        for w in todo.difference(known):
+            # A word of Latin-1 letters is one pre-token, in normal form already; its bytes are spelt as the
+            # byte-level vocabulary spells them.
+            if w.isalpha() and (w.isascii() or max(w) < "\u0100"):
+                w8 = w.lower()
+                spelt = w8 if w8.isascii() else w8.encode().decode("latin-1").translate(SPELLING)
+                known[w] = array(code, [t.id for t in tokenise(spelt)]).tobytes()
+            else:
+                rest.add(w)
+        self.encode(rest)
         for w in marked:
             known[w] = known[w[:-1]] + known[w[-1]]
 
@@ -108,7 +132,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
+        encode = word_encoder(path)
         end = np.array([end_id], encode.kind).tobytes()
         wide = encode.kind.itemsize
         for batch in batches:
@@ -132,6 +156,11 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def id_kind(path: str) -> np.dtype:
+    from tokenizers import Tokenizer
+    return np.dtype("<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4")
+
+
 class Shard:
     """BM25 over the parts of one shard."""
 
@@ -141,13 +170,12 @@ class Shard:
         flat = np.concatenate(parts).astype(np.int64)
         pair, tf = np.unique(np.repeat(np.arange(n), sizes) << 32 | flat, return_counts=True)
         doc, term = pair >> 32, pair & 0xFFFFFFFF
-        names, term = np.unique(term, return_inverse=True)
-        df = np.bincount(term, minlength=len(names))
+        df = np.bincount(term)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / sizes.mean()))
         self.n, self.first = n, np.searchsorted(doc, np.arange(n + 1))
         self.term, self.strength = term, np.where(df[term] > 1, weight, 0.0)
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term.astype(np.uint16) if len(df) <= 1 << 16 else term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.post_at = np.concatenate([[0], np.cumsum(df)])
         self.query_terms = query_terms
@@ -246,6 +274,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
     path = tokenizer or default_tokenizer()
+    kind = id_kind(path)
     schema = _parse_datatype_string(PIECES)
     target = to_arrow_schema(schema)
     parts = tokenise(docs, path, window, end_id).withColumn("deal", F.xxhash64("doc_id", "start", F.crc32("ids")))
@@ -253,8 +282,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
-        kind = np.dtype("<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4")
         packer = Packer(TaskContext.get().partitionId(), window, query_terms, kind)
 
         def emit(rows):
