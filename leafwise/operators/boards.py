@@ -140,6 +140,19 @@ def positive_breakdown(results: DataFrame, group_col: str) -> DataFrame:
     return agg.select(group_col, "n", "n_ok", ratio(F.col("s"), F.col("n_ok") * 10).alias("avg_ok"))
 
 
+def positive_group_matrix(results: DataFrame, group_col: str, combo_ids: list[str] = COMBO_IDS) -> DataFrame:
+    """Group × combination with ok = score_pct > 0: ``<combo>_avg`` over the ok rows (0 when none) and ``<combo>_fail``."""
+    t = _t(results)
+    pos = F.col("score_pct") > 0
+    piv = (results.groupBy(group_col).pivot("combination", combo_ids)
+           .agg(_sum_if(pos, t).alias("s"), _count_if(pos).alias("k"), F.count(F.lit(1)).alias("n")))
+    cols = []
+    for c in combo_ids:
+        k, n = F.coalesce(F.col(f"{c}_k"), F.lit(0)), F.coalesce(F.col(f"{c}_n"), F.lit(0))
+        cols += [F.coalesce(ratio(F.col(f"{c}_s"), k * 10), F.lit(0.0)).alias(f"{c}_avg"), (n - k).alias(f"{c}_fail")]
+    return piv.select(group_col, *cols)
+
+
 def group_pivot(results: DataFrame, group_col: str, combo_ids: list[str] = COMBO_IDS) -> DataFrame:
     """Dashboard group × combination mean (all rows, NULL groups excluded), rounded to 1 digit."""
     t = _t(results)
@@ -151,7 +164,7 @@ def group_pivot(results: DataFrame, group_col: str, combo_ids: list[str] = COMBO
 
 def dashboard_pivot(results: DataFrame, combo_ids: list[str] = COMBO_IDS) -> DataFrame:
     """fw_mode × combination mean score (all rows) rounded to 1 digit; ``Overall`` is the
-    unweighted mean of the *rounded* combination means that exist, rounded to 1 digit."""
+    unweighted mean of the *rounded* combination means that exist, rounded to 1 digit; best first."""
     t = _t(results)
     fm = F.concat_ws("/", "framework", "mode").alias("fw_mode")
     piv = (results.groupBy(fm).pivot("combination", combo_ids)
@@ -165,11 +178,11 @@ def dashboard_pivot(results: DataFrame, combo_ids: list[str] = COMBO_IDS) -> Dat
         k = F.when(F.col(c).isNotNull(), F.lit(1)).otherwise(F.lit(0))
         total = v if total is None else total + v
         cnt = k if cnt is None else cnt + k
-    return out.withColumn("overall", round_half_up(total / cnt.cast("double"), 1))
+    return out.withColumn("overall", round_half_up(total / cnt.cast("double"), 1)).orderBy(F.desc("overall"), "fw_mode")
 
 
 def reliability_stats(results: DataFrame) -> DataFrame:
-    """Per fw_mode: total, successes, mean score, mean latency, failures, failure rate %."""
+    """Per fw_mode: total, successes, mean score, mean latency, failures, failure rate %; best first."""
     t = _t(results)
     fm = F.concat_ws("/", "framework", "mode").alias("fw_mode")
     agg = results.groupBy(fm).agg(
@@ -180,7 +193,8 @@ def reliability_stats(results: DataFrame) -> DataFrame:
         round_ratio(F.col("s"), F.col("total") * 10, 1).alias("avg_score"),
         round_ratio(F.col("lat10"), F.col("total") * 10, 1).alias("avg_latency"),
         (F.col("total") - F.col("success")).alias("fail"),
-        round_ratio((F.col("total") - F.col("success")) * 100, F.col("total"), 1).alias("fail_rate"))
+        round_ratio((F.col("total") - F.col("success")) * 100, F.col("total"), 1).alias("fail_rate")).orderBy(
+        F.desc("avg_score"), "fw_mode")
 
 
 def rank_modes(results: DataFrame) -> DataFrame:
@@ -200,24 +214,20 @@ def rank_modes(results: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w))
 
 
+def _long(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(dimension, value) of several columns in one pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in cols])
+    return df.select(F.inline(pairs))
+
+
 def distributions(results_or_samples: DataFrame, cols: list[str]) -> DataFrame:
-    """Long-form value counts of several columns: (dimension, value, n)."""
-    parts = None
-    for c in cols:
-        p = (results_or_samples.groupBy(c).count()
-             .select(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value"),
-                     F.col("count").alias("n")))
-        parts = p if parts is None else parts.unionByName(p)
-    return parts
+    """Long-form value counts of several columns: (dimension, value, n); one scan, counted map-side first."""
+    return _long(results_or_samples, cols).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Sorted distinct values of several columns as rows (never one giant array)."""
-    parts = None
-    for c in cols:
-        p = df.select(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")).distinct()
-        parts = p if parts is None else parts.unionByName(p)
-    return parts.orderBy("dimension", "value")
+    """Sorted distinct values of several columns as rows (never one giant array); one scan."""
+    return _long(df, cols).distinct().orderBy("dimension", "value")
 
 
 def models_label(results: DataFrame) -> DataFrame:
@@ -244,3 +254,14 @@ def field_score_board(leaf_scores: DataFrame, by: list[str] | None = None) -> Da
     return (leaf_scores.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("avg_score"))
             .orderBy(F.col("avg_score").asc(), *keys))
+
+
+def field_mode_pivot(leaf_scores: DataFrame, modes: list[str]) -> DataFrame:
+    """Field × mode mean leaf score (3 digits) with ``avg``, the mean over the modes that have the field (3 digits);
+    hardest fields first.  leaf_scores: path, fw_mode, score."""
+    piv = leaf_scores.groupBy("path").pivot("fw_mode", modes).agg(F.avg("score"))
+    cells = [F.round(F.col(f"`{m}`"), 3).alias(m) for m in modes]
+    out = piv.select("path", *cells)
+    there = F.filter(F.array(*[F.col(f"`{m}`") for m in modes]), lambda x: x.isNotNull())
+    mean = F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there)
+    return out.withColumn("avg", F.round(mean, 3)).orderBy("avg", "path")

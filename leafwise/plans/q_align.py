@@ -501,6 +501,42 @@ WITH {DOCS_CTE}
 SELECT path, count(*) AS n, round(avg(sc), 6) AS avg_score FROM all_leaves GROUP BY path"""
 
 
+_PIVOT_MODES = ["instructor/tools", "langchain/json_mode", "openai/default"]
+
+
+def _mode_of_key():
+    k = F.regexp_extract("doc_key", r"(\d+)$", 1).cast("long")
+    return F.element_at(F.array(*map(F.lit, _PIVOT_MODES)), (k % 3 + 1).cast("int"))
+
+
+@q("field_mode_pivot")
+def field_mode_pivot(spark, sf):
+    """Every order's document as one mode's result: mean score per field and mode."""
+    leaves = align.leaf_scores(spread(docs.document_pairs(spark, sf)), _nodes(spark))
+    return boards.field_mode_pivot(leaves.select("path", _mode_of_key().alias("fw_mode"), "score"), _PIVOT_MODES)
+
+
+SQL["field_mode_pivot"] = f"""
+WITH {DOCS_CTE},
+cells AS (SELECT path, """ + ", ".join(
+    f"""round(avg(CASE WHEN ok % 3 = {i} THEN sc END), 3) AS "{m}" """ for i, m in enumerate(_PIVOT_MODES)) + f"""
+          FROM all_leaves GROUP BY path)
+SELECT *, round(({' + '.join(f'COALESCE("{m}", 0.0)' for m in _PIVOT_MODES)})
+     / CAST({' + '.join(f'(CASE WHEN "{m}" IS NULL THEN 0 ELSE 1 END)' for m in _PIVOT_MODES)} AS DOUBLE), 3) AS avg FROM cells"""
+
+
+@q("field_scores")
+def field_scores(spark, sf):
+    """Scores per field path of every document, as rows of the documents' field-score maps."""
+    scored = align.document_scores(docs.document_pairs(spark, sf), _nodes(spark), with_field_scores=True)
+    return scored.select("doc_key", F.explode("field_scores").alias("path", "score"))
+
+
+SQL["field_scores"] = f"""
+WITH {DOCS_CTE}
+SELECT 'ord_' || CAST(ok AS VARCHAR) AS doc_key, path, round(sc, 4) AS score FROM all_leaves"""
+
+
 @q("sample_detail")
 def sample_detail(spark, sf):
     """Ground truth vs prediction of one selected sample (the detail view's selection)."""

@@ -257,3 +257,29 @@ SQL["mode_average_pos"] = with_results(f"""
 SELECT dataset, framework, mode, {cnt_if('score_pct > 0')} AS n_ok,
        {ratio(sum_if('score_pct > 0'), '10 * ' + cnt_if('score_pct > 0'))} AS avg_ok
 FROM results GROUP BY dataset, framework, mode""")
+
+
+def _positive_matrix_sql(group: str) -> str:
+    cells = []
+    for c, *_rest in dims.COMBINATIONS:
+        here = f"combination = '{c}'"
+        cells.append(f"COALESCE(CAST(sum(CASE WHEN {here} AND t10 > 0 THEN t10 ELSE 0 END) AS DOUBLE) / "
+                     f"NULLIF(CAST(sum(CASE WHEN {here} AND t10 > 0 THEN 10 ELSE 0 END) AS DOUBLE), 0), 0.0) AS {c}_avg, "
+                     f"CAST(sum(CASE WHEN {here} AND t10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS {c}_fail")
+    return with_results(f"SELECT {group}, {', '.join(cells)} FROM results GROUP BY {group}")
+
+
+@q("category_matrix")
+def category_matrix(spark, sf):
+    return boards.positive_group_matrix(carriers.results(spark, sf), "category")
+
+
+SQL["category_matrix"] = _positive_matrix_sql("category")
+
+
+@q("depth_matrix")
+def depth_matrix(spark, sf):
+    return boards.positive_group_matrix(carriers.results(spark, sf), "true_depth")
+
+
+SQL["depth_matrix"] = _positive_matrix_sql("true_depth")
