@@ -115,8 +115,11 @@ def keys_of(signatures: np.ndarray, tree: int, depth: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def pivots(signatures: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links (row, pivot) among the rows of one node, and the rows that stay (represented rows are left out)."""
+def pivots(signatures: np.ndarray, label: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links (row, pivot) among the rows of one node, and the rows that stay (represented rows are left out).
+
+    ``label`` numbers the clusters so far and is brought up to date; a link is made only where it joins two
+    clusters, so a node of n rows gives n - 1 links at most, however many of its rows resemble each other."""
     links, stay = [], np.ones(len(signatures), bool)
     for p in range(len(signatures)):
         if not stay[p]:
@@ -125,7 +128,12 @@ def pivots(signatures: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
         if not len(rest):
             break
         near = similarity(signatures[rest], signatures[p])
-        links += [(int(r), p) for r in rest[near >= NEAR]]
+        close = rest[near >= NEAR]
+        other, first = np.unique(label[close], return_index=True)
+        for old, at in zip(other.tolist(), first.tolist()):
+            if old != label[p]:
+                links.append((int(close[at]), p))
+                label[label == old] = label[p]
         stay[rest[near >= SAME]] = False
     return links, stay
 
@@ -164,7 +172,7 @@ def forest_rows(sets: DataFrame, depth: int) -> DataFrame:
                 sizes = np.diff(np.concatenate([starts, [len(s)]]))
                 for a, n in zip(starts[sizes > 1], sizes[sizes > 1]):
                     rows = order[a:a + n]
-                    links, kept = pivots(m[rows])
+                    links, kept = pivots(m[rows], np.arange(n))
                     stay[rows[~kept]] = False
                     for x, p in links:
                         keys.append(None)
@@ -185,7 +193,7 @@ def node_links(rows: DataFrame) -> DataFrame:
     target = pa.schema([("set_id", pa.binary()), ("other", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held_ids, held = None, [], None
+        key, held_ids, held, held_label = None, [], None, None
         for batch in batches:
             ks = np.array(batch.column(0))
             ids = batch.column(1).to_pylist()
@@ -193,13 +201,14 @@ def node_links(rows: DataFrame) -> DataFrame:
             cuts = np.concatenate([[0], np.nonzero(ks[1:] != ks[:-1])[0] + 1, [len(ks)]])
             left, right = [], []
             for a, b in zip(cuts[:-1], cuts[1:]):
-                own, sigs = ids[a:b], m[a:b]
+                own, sigs, label = ids[a:b], m[a:b], np.arange(b - a)
                 if key == ks[a]:                       # the node began in the batch before: its pivots go on
                     own, sigs = held_ids + own, np.concatenate([held, sigs])
-                links, stay = pivots(sigs)
+                    label = np.concatenate([held_label, label + held_label.max(initial=-1) + 1])
+                links, stay = pivots(sigs, label)
                 left += [own[x] for x, _ in links]
                 right += [own[p] for _, p in links]
-                key, held_ids, held = ks[a], [own[i] for i in np.nonzero(stay)[0]], sigs[stay]
+                key, held_ids, held, held_label = ks[a], [own[i] for i in np.nonzero(stay)[0]], sigs[stay], label[stay]
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], schema=target)
 
