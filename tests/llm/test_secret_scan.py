@@ -1,0 +1,97 @@
+"""Secret scans: plain patterns against a plain loop, structures made by hand, odd inputs."""
+
+import base64
+import hashlib
+import json
+import re
+
+import pytest
+
+from leafwise.llm import secret_scan as S
+from tests.llm.conftest import SF, docs_frame
+
+
+def der(tag, content):
+    n = len(content)
+    size = bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")
+    return bytes([tag]) + size + content
+
+
+def number(n):
+    return der(2, b"\0" + bytes(range(1, 256))[:n] if n < 256 else b"\0" + b"\x55" * n)
+
+
+PKCS1 = der(0x30, der(2, b"\0") + b"".join(number(n) for n in (128, 3, 128, 64, 64, 64, 64, 64)))
+PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b"")) + der(4, PKCS1))
+SEC1 = der(0x30, der(2, b"\x01") + der(4, b"\x11" * 32))
+
+
+def counted(b):
+    return len(b).to_bytes(4, "big") + b
+
+
+OPENSSH = b"openssh-key-v1\0" + counted(b"none") + counted(b"none") + counted(b"") + (1).to_bytes(4, "big") + counted(b"pub") + counted(b"priv")
+
+
+def b64(b):
+    return base64.b64encode(b).decode()
+
+
+def url(b):
+    return base64.urlsafe_b64encode(b).decode().rstrip("=")
+
+
+def token(alg="HS256", size=32):
+    return ".".join([url(json.dumps({"alg": alg}).encode()), url(b'{"sub":"1"}'), url(b"\x07" * size)])
+
+
+PEM = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(b64(PKCS1)[i:i + 64] for i in range(0, len(b64(PKCS1)), 64)) + "\n-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize("text,kind", [
+    (b64(PKCS1), "key"), (b64(PKCS8), "key"), (b64(SEC1), "key"), (b64(OPENSSH), "key"), (PEM, "key"),
+    (b64(PEM.encode()), "key"), (PKCS8.hex().upper(), "key"), (token(), "token"), (token("RS256", 256), "token")])
+def test_structures_are_confirmed(text, kind):
+    found = [s for s in S.scan_text("héllo " + text + " end") if s[0] in ("key", "token")]
+    assert found == [(kind, 6, 6 + len(text))]
+
+
+@pytest.mark.parametrize("text", [
+    b64(PKCS1)[:-8], b64(PKCS1[:-1]), b64(b"0\x82\x01\x00" + b"x" * 200), b64(OPENSSH[:-2]), token(size=31), token("none", 0),
+    token("XX999"), "Mississippi" * 9, url(b'{"alg":"HS256"}') + ".x", PEM.replace("MII", "MIJ", 1)])
+def test_shapes_without_structure_are_not(text):
+    assert not [s for s in S.scan_text("see " + text + " end") if s[0] in ("key", "token")]
+
+
+def plain(text):
+    out = []
+    for kind, p, ok in (("assign", S.ASSIGN, lambda m: len(m[2]) >= 8), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+                        ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32)):
+        out += [(m.start(), ["assign", "access", "hex"].index(kind), f"{kind}:{m.start()}:{m.end()}") for m in p.finditer(text or "") if ok(m)]
+    return ",".join(x[2] for x in sorted(out))
+
+
+def test_query_against_plain_loop(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = S.op4_secret_scan(spark, SF).collect()
+    assert len(rows) == len(texts)
+    assert all(r.base_sha256 == hashlib.sha256(plain(texts[r.doc_id]).encode()).hexdigest() for r in rows)
+
+
+def test_odd_inputs(spark):
+    texts = [None, "", "TOKEN='" + "a" * 8 + "'", "toKen = abcdefg", "ſecret=abcdefghij", "x" * 300_000 + " password: 12345678",
+             "AKIA" + "B" * 12, "AKIA" + "B" * 11, "f" * 31, "f" * 32]
+    df = docs_frame(spark, [*enumerate(texts), (2, texts[2]), (None, "secret=" + "z" * 9)])
+    got = sorted((r.doc_id is None, r.doc_id, [(s.kind, s.start, s.end) for s in r.spans]) for r in S.find_secrets(df).collect())
+    want = [(i, S.scan_text(t)) for i, t in [*enumerate(texts), (2, texts[2])]]
+    assert [(i, s) for null, i, s in got if not null] == sorted((i, [tuple(x) for x in s]) for i, s in want)
+    assert want[2][1] == [("assign", 0, 15)] and want[3][1] == [] and want[4][1] == [] and want[6][1] == [("access", 0, 16)]
+    assert want[7][1] == [] and want[8][1] == [] and want[9][1] == [("hex", 0, 32)]
+    assert S.find_secrets(df.limit(0)).count() == 0
+
+
+def test_redact(spark):
+    df = docs_frame(spark, [None, "a token=abcdefgh1 b", 'key = "%s"' % ("0" * 40), f"{b64(PKCS1)}!"]).drop("n_chars")
+    df = df.selectExpr("*", "1 as spans", "0L as n_chars")
+    got = [(r.text, r.n_chars) for r in S.redact(df).orderBy("doc_id").collect()]
+    assert got == [(None, None), ("a <assign> b", 12), ('key = "<hex>"', 13), ("<key>!", 6)]
