@@ -36,7 +36,8 @@ CONTEXT_CHARS = 64
 def _spans(kind: str, pattern: str, keep=None, guard=None):
     """Spans of the leftmost non-overlapping matches: what each match and the text before it take up."""
     text = F.col("text")
-    with_gap = F.lit("(?s)(.*?)(" + pattern + ")")
+    # Anchored where the match before ended: without \G, every position after the last match would start over.
+    with_gap = F.lit(r"(?s)\G(.*?)(" + pattern + ")")
     gaps = F.transform(F.regexp_extract_all(text, with_gap, F.lit(1)), lambda s: F.length(s))
     words = F.regexp_extract_all(text, with_gap, F.lit(2))
     pairs = F.arrays_zip(gaps.alias("gap"), words.alias("word"))
@@ -72,7 +73,7 @@ def luhn(word):
 def _ip_parts(word):
     """All parts at most 255, whatever zeros they start with."""
     return F.forall(F.split(F.regexp_replace(word, r"(?<![0-9])0+(?=[0-9])", ""), r"\."),
-                    lambda p: (F.length(p) <= 3) & (F.coalesce(F.expr("0"), F.lit(0)) + F.substr(p, F.lit(1), F.lit(3)).cast("int") <= 255))
+                    lambda p: (F.length(p) <= 3) & (F.substr(p, F.lit(1), F.lit(3)).cast("int") <= 255))
 
 
 def _phone_digits(word):
