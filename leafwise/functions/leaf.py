@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from leafwise.functions.values import pyfloat, pystr, pystrip, truthy, vtype
 
 TOLERANCE = 0.05
+#: Metrics of further field types: type -> (actual VARIANT, predicted VARIANT) -> score Column between 0 and 1.
+USER_METRICS: dict = {}
 
 
 def ned(a: Column, b: Column) -> Column:
@@ -48,6 +50,11 @@ def string_score(a: Column, p: Column, at: Column | None = None, pt: Column | No
     return ned(pystrip(pystr(a, at)), pystrip(pystr(p, pt)))
 
 
+def register_metric(field_type: str, metric) -> None:
+    """Score leaves of a declared type by ``metric(actual, predicted)``; it goes before the built-in ones."""
+    USER_METRICS[field_type] = metric
+
+
 def leaf_score(a: Column, p: Column, field_type: Column, at: Column | None = None,
                pt: Column | None = None) -> Column:
     """Typed leaf comparison on VARIANT values: both null 1, one null 0, then by type.
@@ -56,8 +63,9 @@ def leaf_score(a: Column, p: Column, field_type: Column, at: Column | None = Non
     at = vtype(a) if at is None else at
     pt = vtype(p) if pt is None else pt
     a_null, p_null = at == "VOID", pt == "VOID"
-    return (F.when(a_null & p_null, F.lit(1.0))
-            .when(a_null | p_null, F.lit(0.0))
-            .when(field_type.isin("number", "integer"), number_score(a, p, at, pt))
+    out = F.when(a_null & p_null, F.lit(1.0)).when(a_null | p_null, F.lit(0.0))
+    for name, metric in USER_METRICS.items():
+        out = out.when(field_type == name, metric(a, p))
+    return (out.when(field_type.isin("number", "integer"), number_score(a, p, at, pt))
             .when(field_type == "boolean", boolean_score(a, p, at, pt))
             .otherwise(string_score(a, p, at, pt)))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.functions.leaf import element_similarity, leaf_score
+from leafwise.functions.leaf import USER_METRICS, element_similarity, leaf_score
 from leafwise.functions.values import FIELD_SEP, as_array, as_map, element_info, kind_of, truthy, typed, vtype
 from leafwise.operators.assignment import with_match
 from leafwise.session import cut_lineage, spread
@@ -118,7 +118,7 @@ def _classed(rows: DataFrame, nodes: DataFrame | None) -> DataFrame:
     is_obj = (ft == "object") | (gk == "object") | (pk == "object")
     is_arr = (ft == "array") | (gk == "array") | (pk == "array")
     cls = F.when(fixed.isNotNull(), F.lit("leaf")).when(is_obj, F.lit("object")).when(is_arr, F.lit("array")).otherwise(F.lit("leaf"))
-    leaf_type = F.coalesce(fixed, F.when(ft.isin(*LEAF_TYPES), ft).otherwise(F.when(gk != "null", gk).otherwise(pk)))
+    leaf_type = F.coalesce(fixed, F.when(ft.isin(*LEAF_TYPES, *USER_METRICS), ft).otherwise(F.when(gk != "null", gk).otherwise(pk)))
     rows = rows.withColumns({"cls": cls, "leaf_type": leaf_type})
     leaf = F.col("cls") == "leaf"
     score = F.when(leaf, leaf_score(F.col("gt"), F.col("pred"), F.col("leaf_type"), F.col("_gt_t"), F.col("_pr_t")))

@@ -43,3 +43,9 @@ def merge_results(old: DataFrame, new: DataFrame, grain: list[str] = GRAIN) -> D
     keys, no per-group collection)."""
     kept = old.join(new.select(*grain), grain, "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
+
+
+def ground_truth_or_empty(rows: DataFrame, truths: DataFrame, key: str) -> DataFrame:
+    """Each row with its document's ground truth (VARIANT), ``{}`` where there is none."""
+    return rows.join(truths.select(key, "ground_truth"), key, "left").withColumn(
+        "ground_truth", F.coalesce("ground_truth", F.parse_json(F.lit("{}"))))

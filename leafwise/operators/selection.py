@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leafwise.functions.values import truthy
 from leafwise.sources import dims
 
 RESERVED_KEYS = ("evaluation_config",)
@@ -117,8 +118,18 @@ def with_dataset_fallback(df: DataFrame) -> DataFrame:
 
 
 def error_projection(success: Column, error: Column) -> Column:
-    """First 200 characters of the error, NULL on success."""
-    return F.when(~success, F.substring(F.coalesce(error, F.lit("")), 1, 200))
+    """The error of a failed row ('' when it has none), NULL on success; whole, as reports cut it themselves."""
+    return F.when(~success, F.coalesce(error, F.lit("")))
+
+
+def short_error(error: Column, chars: int = 200) -> Column:
+    """The beginning of an error for a report's column."""
+    return F.substring(error, 1, chars)
+
+
+def scored_flag(success: Column, data: Column) -> Column:
+    """A row counts as scored when it succeeded and its document is not empty (``success`` itself stays)."""
+    return success & F.coalesce(truthy(data), F.lit(False))
 
 
 def latency_projection(latency_ms: Column) -> Column:

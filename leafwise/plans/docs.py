@@ -212,3 +212,20 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     err = F.when(c == 4, F.lit("Model refused: I cannot help with that"))
     return pairs.select(F.col("doc_key").alias("sample_id"), "schema_id", raw.alias("raw_response"),
                         err.alias("error"), (F.lit(100) + k % 900).cast("double").alias("latency_ms"), k.alias("k"))
+
+
+def shaped_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One response per order, right or wrong in one way by orderkey % 10: 0 valid; 1 null in a required field; 2 a
+    nested required field missing; 3 an object where text belongs; 4 text where an object belongs; 5 an array where an
+    object belongs; 6 nulls in optional fields; 7 an array element with a null and a missing required field; 8 an
+    empty object; 9 null in a nullable field."""
+    k = F.col("o_orderkey")
+    body = F.element_at(F.array(*map(F.lit, [
+        '"status":"F","items":[{"part":1,"quantity":2}]', '"status":null,"items":[]', '"status":"F","items":[],"customer":{"segment":"X"}',
+        '"status":"F","items":[],"priority":{"a":1}', '"status":"F","items":[],"customer":"me"', '"status":"F","items":[],"customer":["me"]',
+        '"status":"F","items":[],"customer":null,"totalprice":null', '"status":"F","items":[{"part":null}]', "",
+        '"status":"F","items":[],"customer":{"name":"n","segment":null}'])), (k % 10 + 1).cast("int"))
+    raw = F.when(k % 10 == 8, F.lit("{}")).otherwise(F.concat(F.lit('{"orderkey":'), k.cast("string"), F.lit(","), body, F.lit("}")))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("ord_"), k.cast("string")).alias("sample_id"), F.lit(SCHEMA_ID).alias("schema_id"),
+        raw.alias("raw_response"), F.lit(None).cast("string").alias("error"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafwise.operators import grid, selection
 from leafwise.plans import carriers
 from leafwise.plans.oracle_base import catalogue_values, with_results
+from leafwise.sources import dims
 
 Q: dict = {}
 SQL: dict = {}
@@ -224,3 +225,77 @@ done AS (SELECT DISTINCT framework, mode FROM results WHERE mode_idx < {DONE_MOD
 SELECT framework, mode, count(*) AS n_skipped FROM g
 WHERE EXISTS (SELECT 1 FROM done d WHERE d.framework = g.framework AND d.mode = g.mode)
 GROUP BY framework, mode""")
+
+
+@q("board_filter")
+def board_filter(spark, sf):
+    """Dataset, combination and framework/mode filters together, on results whose dataset is their run folder."""
+    r = carriers.results(spark, sf).withColumn("_source", F.concat(F.lit("run"), F.col("o_orderkey") % 3)).drop("dataset")
+    r = selection.board_filters(selection.with_dataset_fallback(r), ["run0", "run2"], ["A_desc"], ["openai/default", "marvin/cast"])
+    return r.groupBy("dataset", "framework", "mode").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL["board_filter"] = with_results("""
+SELECT 'run' || CAST(o_orderkey % 3 AS VARCHAR) AS dataset, framework, mode, count(*) AS n FROM results
+WHERE o_orderkey % 3 IN (0, 2) AND combination = 'A_desc' AND framework || '/' || mode IN ('openai/default', 'marvin/cast')
+GROUP BY 1, 2, 3""")
+
+
+@q("missing_saved")
+def missing_saved(spark, sf):
+    """Ids of a saved run that the source no longer has."""
+    s = carriers.samples(spark, sf)
+    return grid.missing_saved(s.where("o_orderkey % 10 <> 3"), s.select(F.col("id").alias("sample_id")))
+
+
+SQL["missing_saved"] = with_results("SELECT id AS sample_id FROM samples WHERE o_orderkey % 10 = 3")
+
+
+@q("ground_truth_default")
+def ground_truth_default(spark, sf):
+    s = carriers.samples(spark, sf)
+    truths = s.where("o_orderkey % 4 <> 1").select("id", F.parse_json(F.concat(F.lit('{"k":'), "o_orderkey", F.lit("}"))).alias("ground_truth"))
+    return grid.ground_truth_or_empty(s.select("id"), truths, "id").select("id", F.to_json("ground_truth").alias("ground_truth"))
+
+
+SQL["ground_truth_default"] = with_results("""
+SELECT id, CASE WHEN o_orderkey % 4 = 1 THEN '{}' ELSE '{"k":' || CAST(o_orderkey AS VARCHAR) || '}' END AS ground_truth FROM samples""")
+
+
+@q("mode_catalogue")
+def mode_catalogue(spark, sf):
+    """Frameworks with their modes, and the rows that the results hold for each framework."""
+    rows = carriers.results(spark, sf).groupBy("framework").agg(F.count(F.lit(1)).alias("n"))
+    cat = selection.mode_catalogue(spark).select("framework", F.array_join(F.sort_array("modes"), ",").alias("modes"))
+    return cat.join(rows, "framework", "left")
+
+
+SQL["mode_catalogue"] = with_results(f"""
+, sm AS ({_supported_values()}), n AS (SELECT framework, count(*) AS n FROM results GROUP BY framework)
+SELECT sm.framework, string_agg(sm.mode, ',' ORDER BY sm.mode) AS modes, any_value(n.n) AS n FROM sm LEFT JOIN n USING (framework) GROUP BY sm.framework""")
+
+
+@q("prompt_lookup")
+def prompt_lookup(spark, sf):
+    """A prompt template by name beside every sample's text: length of the request's two messages."""
+    p = dims.prompt(spark, PROMPT_NAME).first()
+    return carriers.samples(spark, sf).select("id", F.lit(p["name"]).alias("name"), F.lit(p["version"]).alias("version"),
+                                              (F.length(F.lit(p["system_prompt"])) + F.length("text")).alias("chars"))
+
+
+PROMPT_NAME = min(p[0] for p in dims.PROMPTS)
+_PROMPT = min(dims.PROMPTS)
+SQL["prompt_lookup"] = with_results(f"""
+SELECT id, '{_PROMPT[0]}' AS name, '{_PROMPT[2]}' AS version, CAST({len(_PROMPT[3])} + length(text) AS INTEGER) AS chars FROM samples""")
+
+
+@q("pruned_predictions")
+def pruned_predictions(spark, sf):
+    """Results without their documents, as a run that does not save predictions writes them."""
+    r = carriers.results(spark, sf).withColumns({"ground_truth": F.lit("{}"), "predicted": F.lit("{}"), "field_scores": F.lit("{}")})
+    out = selection.drop_predictions(r)
+    bulky = len(set(out.columns) & {"ground_truth", "predicted", "field_scores"})
+    return out.groupBy("framework").agg(F.count(F.lit(1)).alias("n"), F.lit(bulky).alias("bulky_columns"))
+
+
+SQL["pruned_predictions"] = with_results("SELECT framework, count(*) AS n, 0 AS bulky_columns FROM results GROUP BY framework")
