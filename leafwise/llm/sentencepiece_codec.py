@@ -20,7 +20,10 @@ only doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
 import re
+import string
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +33,9 @@ from leafwise.llm.common import documents, map_columns
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-BATCH_CHARS = 2_000_000
-CACHED_SEGMENTS = 400_000
+TEXT_CHARS = 1_000_000      # texts are cut into segments so many characters at a time
+INDEX_CHARS = 400_000       # characters of distinct segments per suffix array (one longer segment stands alone)
+CACHED_SEGMENTS = 800_000
 NO_PIECE = -1
 
 
@@ -63,6 +67,9 @@ class Vocabulary:
         self.code[[ord(c) for c in chars]] = np.arange(2, len(chars) + 2)
         self.lone = np.zeros(len(chars) + 2, bool)              # characters that are pieces by themselves
         self.lone[self.code[[ord(self.pieces[i]) for i in self.normal if len(self.pieces[i]) == 1]]] = True
+        # Marks that no piece has right after a letter: nothing merges across that seam.
+        after_letter = {b for p in self.id_of for a, b in zip(p, p[1:]) if a.isalpha()}
+        self.closing = "".join(c for c in string.punctuation if c not in after_letter)
         self.cut_inside = any(MARK in p.lstrip(MARK) or (p.startswith(MARK * 2) and p.strip(MARK)) for p in self.id_of)
         self._merges()
         self._search_keys()
@@ -220,7 +227,8 @@ def encode_segments(segments: list[str], v: Vocabulary) -> list[list[int]]:
     piece = np.concatenate([piece, np.full(len(lone), NO_PIECE)])
     segment_of = np.repeat(np.arange(len(segments)), sizes + 1)
     depth = end - starts[segment_of[begin]]                      # characters of its segment that an edge reaches
-    order = np.argsort(depth, kind="stable")
+    # By end position within the segment; edges that end at the same place stand together, the longest first.
+    order = np.argsort((depth * (len(codes) + 1) + end) * (v.width + 1) + (v.width - (end - begin)))
     begin, end, piece, depth = begin[order], end[order], piece[order], depth[order]
     cuts = np.searchsorted(depth, np.arange(1, int(sizes.max(initial=0)) + 2))
     n = len(codes)
@@ -232,8 +240,17 @@ def encode_segments(segments: list[str], v: Vocabulary) -> list[list[int]]:
     for a, b in zip(cuts[:-1], cuts[1:]):
         s, e, p = begin[a:b], end[a:b], piece[a:b]
         if v.kind == "bpe":
-            good = at_start[s] | v.compatible(own[s], p)
-            back[e[good]], own[e[good]] = s[good], p[good]
+            # Of the edges that end at a place just one is compatible, most often the longest: it goes first.
+            longest = np.concatenate([[True], e[1:] != e[:-1]])
+            tried = np.nonzero(longest)[0]
+            while len(tried):
+                st, pt = s[tried], p[tried]
+                good = at_start[st] | v.compatible(own[st], pt)
+                hit = tried[good]
+                back[e[hit]], own[e[hit]] = s[hit], p[hit]
+                if not longest[tried[0]]:
+                    break
+                tried = np.nonzero(~longest & ~good[np.cumsum(longest) - 1])[0]
         else:
             total = best[s] + np.where(p >= 0, v.scores[p], v.scores.min() - 10.0)
             worst_first = np.lexsort((-s, total))
@@ -271,6 +288,12 @@ def encode_segments(segments: list[str], v: Vocabulary) -> list[list[int]]:
     return result
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str, kind: str) -> "Encoder":
+    """The encoder of this worker process; tasks that follow in it find segments already known."""
+    return Encoder(path, kind)
+
+
 class Encoder:
     """ids of whole texts; distinct segments are matched once while they stay in a bounded cache."""
 
@@ -290,12 +313,36 @@ class Encoder:
             self.known.clear()
             new = every
         if new:
-            todo = sorted(new)
-            for s, ids in zip(todo, encode_segments(todo, self.v)):
-                self.known[s] = np.array(ids, "<i4").tobytes()
+            self.learn(new)
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
+    def learn(self, segments: set[str]) -> None:
+        """Encodes unknown segments; a segment that ends in closing marks is its stem's ids, then the marks'."""
+        known, closing, marked = self.known, self.v.closing, []
+        todo = set()
+        for w in segments:
+            stem = w.rstrip(closing)
+            if len(stem) < len(w) and stem[-1:].isalpha():
+                marked.append((w, stem, w[len(stem):]))
+                todo.add(stem)
+                todo.add(w[len(stem):])
+            else:
+                todo.add(w)
+        todo = sorted(todo.difference(known))
+        at = 0
+        while at < len(todo):
+            to, held = at, 0
+            while to < len(todo) and (held == 0 or held + len(todo[to]) <= INDEX_CHARS):
+                held += len(todo[to]) + 1
+                to += 1
+            for w, ids in zip(todo[at:to], encode_segments(todo[at:to], self.v)):
+                known[w] = array("i", ids).tobytes()
+            at = to
+        for w, stem, tail in marked:
+            known[w] = known[stem] + known[tail]
+
+
 class Decoder:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -315,13 +362,13 @@ def encode_documents(docs: DataFrame, model: str | None = None, kind: str = "bpe
 
     def start():
         import pyarrow as pa
-        encoder = Encoder(path, kind)
+        encoder = encoder_of(path, kind)
 
         def step(ids, texts):
             data, at = [], 0
             while at < len(texts):
                 to, held = at, 0
-                while to < len(texts) and (held == 0 or held + len(texts[to] or "") <= BATCH_CHARS):
+                while to < len(texts) and (held == 0 or held + len(texts[to] or "") <= TEXT_CHARS):
                     held += len(texts[to] or "")
                     to += 1
                 data += encoder(texts[at:to])
