@@ -32,7 +32,7 @@ from leafwise.sources.tables import table
 
 LINES = 64
 HALF_WIDTH = 1.35           # half window at radius 1, in units of a projection's standard deviation
-FIRST_RADIUS, GROWTH = 0.25, 1.15
+FIRST_RADIUS, GROWTH = 0.3, 1.2
 SEED = 97
 FOUND = "query_id long, vec_id long, score double"
 
@@ -57,8 +57,11 @@ class Shard:
         self.norm = np.sqrt((self.raw * self.raw).sum(1))
         self.lines = np.random.default_rng(SEED).standard_normal((lines, vectors.shape[1]))
         at = (self.raw / self.norm[:, None]) @ self.lines.T
-        self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(at, self.order.T, axis=0).T)
+        self.order = np.argsort(at, axis=0, kind="stable").T.ravel()       # line after line
+        # All lines in one ascending array, each shifted into a range of its own, for one binary search of all.
+        self.reach = float(np.abs(at).max()) + 1.0
+        self.shift = np.arange(lines) * 3 * self.reach
+        self.sorted = (np.sort(at, axis=0).T + self.shift[:, None]).ravel()
         self.need = collision_threshold(lines, miss=miss)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
@@ -68,25 +71,23 @@ class Shard:
         here = self.lines @ (q / length)
         n = len(self.ids)
         counts = np.zeros(n, np.int64)
-        lo = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, here)])
+        here = np.clip(here, -self.reach, self.reach)
+        lo = np.searchsorted(self.sorted, here + self.shift)
         hi = lo.copy()
         score = np.full(n, -np.inf)
         seen = self.ids == query_id                        # the query's own rows are never candidates
-        radius = FIRST_RADIUS
+        radius, kth = FIRST_RADIUS, -np.inf
         while True:
             whole = radius > 2.0                           # no two unit vectors lie farther apart
             if whole:
                 new = np.nonzero(~seen)[0]
             else:
                 w = HALF_WIDTH * radius
-                fresh = []
-                for i in range(len(here)):
-                    a, b = np.searchsorted(self.sorted[i], (here[i] - w, here[i] + w))
-                    if a < lo[i]:
-                        fresh.append(self.order[i, a:lo[i]])
-                    if b > hi[i]:
-                        fresh.append(self.order[i, hi[i]:b])
-                    lo[i], hi[i] = min(a, lo[i]), max(b, hi[i])
+                left = np.searchsorted(self.sorted, np.maximum(here - w, -self.reach) + self.shift)
+                right = np.searchsorted(self.sorted, np.minimum(here + w, self.reach) + self.shift, "right")
+                fresh = [self.order[a:b] for a, b in zip(np.concatenate([left, hi]).tolist(), np.concatenate([lo, right]).tolist())
+                         if a < b]
+                lo, hi = np.minimum(left, lo), np.maximum(right, hi)
                 if fresh:
                     counts += np.bincount(np.concatenate(fresh), minlength=n)
                 new = np.nonzero((counts >= self.need) & ~seen)[0]
@@ -95,7 +96,7 @@ class Shard:
                 score[new] = (self.raw[new] * q).sum(1) / (self.norm[new] * length)
             if whole:
                 break
-            if len(new) or radius == FIRST_RADIUS:
+            if len(new):
                 found = score[score > -np.inf]
                 kth = np.partition(found, len(found) - k)[len(found) - k] if len(found) >= k else -np.inf
             if kth > -np.inf and 2 - 2 * kth <= radius * radius:
@@ -121,7 +122,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, lines: int = LIN
     from pyspark.sql.types import _parse_datatype_string
     spark = vectors.sparkSession
     n = vectors.count()
-    spread = 2 * spark.sparkContext.defaultParallelism
+    spread = spark.sparkContext.defaultParallelism
     shards = max(1, math.ceil(n / min(max_shard_rows, max(2048, n // spread))))
     index = vectors.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"),
                            F.lit(0).alias("side"), "vec_id", "embedding")
