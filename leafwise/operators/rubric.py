@@ -82,12 +82,13 @@ def score(df: DataFrame, components: list[tuple[str, int, Column]], has_data: Co
           keys: list[str]) -> DataFrame:
     """R6/R9: per-document component map, total, max, pct."""
     max_pts = sum(p for _, p, _ in components)
-    comp = F.create_map(*[x for name, _, c in components
-                          for x in (F.lit(name), F.when(has_data, c.cast("int")).otherwise(F.lit(0)))])
-    total = None
-    for _, _, c in components:
-        v = F.when(has_data, c.cast("int")).otherwise(F.lit(0))
-        total = v if total is None else total + v
+    # One struct column holds the points, so that every component is written once in the plan.
+    got = F.struct(*[F.when(has_data, c.cast("int")).otherwise(F.lit(0)).alias(name) for name, _, c in components])
+    df = df.select(*keys, got.alias("_got"))
+    comp = F.create_map(*[x for name, _, _ in components for x in (F.lit(name), F.col("_got")[name])])
+    total = F.lit(0)
+    for name, _, _ in components:
+        total = total + F.col("_got")[name]
     return df.select(*keys, comp.alias("components"), total.alias("total"), F.lit(max_pts).alias("max"),
                      F.round(total.cast("double") / float(max_pts) * 100.0, 1).alias("pct"))
 
@@ -126,3 +127,169 @@ def component_breakdown(scored: DataFrame, by: list[str]) -> DataFrame:
     """A15: mean of each rubric component per group (missing component = 0)."""
     ex = scored.select(*by, F.explode("components").alias("component", "points"))
     return ex.groupBy(*by, "component").agg(F.avg(F.coalesce(F.col("points"), F.lit(0))).alias("avg_points"))
+
+
+# --- career rubrics ------------------------------------------------------------------
+def text_of(arr: Column, fields: list[str]) -> Column:
+    """All the named text fields of all elements, joined by blanks."""
+    return F.array_join(F.transform(arr, lambda x: F.array_join(F.array(*[F.coalesce(x[f], F.lit("")) for f in fields]), " ")), " ")
+
+
+def has(text: Column, keyword: Column, any_case: bool = False) -> Column:
+    return F.contains(F.lower(text), F.lower(keyword)) if any_case else F.contains(text, keyword)
+
+
+def points_if(cond: Column, points: float) -> Column:
+    return F.when(cond, F.lit(float(points))).otherwise(F.lit(0.0))
+
+
+def share(part: Column, whole: Column, points: int) -> Column:
+    """int(part / whole · points), a whole of 0 counting as 1; not capped."""
+    return (part.cast("double") / F.greatest(whole, F.lit(1)).cast("double") * float(points)).cast("int")
+
+
+def additive(parts: list[Column], cap: int) -> Column:
+    """R6: half points add up, then truncate, then the cap holds."""
+    total = F.lit(0.0)
+    for p in parts:
+        total = total + p
+    return F.least(total.cast("int"), F.lit(cap))
+
+
+def each(arr: Column, points) -> Column:
+    """Sum of ``points(element)`` over an array."""
+    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + points(x))
+
+
+def company_hits(careers: Column, companies: Column, names: Column, by_name: str | None = None) -> Column:
+    """R2 with hidden employers: an expected company that is private is met by any private career (or by one whose
+    name says ``by_name``), another by one of its name keywords in the careers' names."""
+    hidden = F.exists(careers, lambda c: F.coalesce(c["is_company_private"], F.lit(False))
+                      | (F.contains(F.coalesce(c["company_name"], F.lit("")), F.lit(by_name)) if by_name else F.lit(False)))
+    return F.size(F.filter(companies, lambda g: F.when(g["is_private"], hidden).otherwise(
+        F.exists(g["name_keywords"], lambda k: has(names, k, True)))))
+
+
+def start_hits(companies: Column, dates: Column) -> tuple[Column, Column]:
+    """R4: (expected starts found in the text of all dates, expected starts)."""
+    known = F.filter(companies, lambda g: g["start"].isNotNull())
+    return F.size(F.filter(known, lambda g: has(dates, g["start"]))), F.size(known)
+
+
+def long_texts(arr: Column, field: str, over: int = 20) -> Column:
+    return nontrivial_count(arr, field, over)
+
+
+def links_score(sns: Column, keywords: Column, expected: Column, cap: int) -> Column:
+    """R8: a point per keyword in the links and one for having as many links as expected."""
+    links = F.coalesce(sns["sns_links"], F.array().cast("array<string>"))
+    text = F.lower(F.array_join(links, " "))
+    hits = F.size(F.filter(keywords, lambda k: has(text, k)))
+    return F.when(sns.isNull(), F.lit(0)).otherwise(F.least(hits + F.when(F.size(links) >= expected, 1).otherwise(0), F.lit(cap)))
+
+
+def _lists(d: Column) -> dict[str, Column]:
+    names = ["careers", "activity_experiences", "overseas_experiences", "language_skills", "certificates", "award_experiences"]
+    return {n: F.coalesce(d[n], F.array()) for n in names}
+
+
+DATES = ["start_date", "end_date"]
+
+
+def career_rubric(doc: str = "doc", exp: str = "exp") -> list[tuple[str, int, Column]]:
+    """The 13-component career rubric (90 points).  ``exp`` holds the expected counts, keyword lists and fields."""
+    d, e = F.col(doc), F.col(exp)
+    at = _lists(d)
+    careers, companies, mil, want = at["careers"], e["companies"], d["employment_military_info"], e["military"]
+    found, dated = start_hits(companies, text_of(careers, DATES))
+    activity = text_of(at["activity_experiences"], ["activity_type", "activity_name", "organization", "details"])
+    abroad = text_of(at["overseas_experiences"], ["experience_type", "country", "details"])
+    language = text_of(at["language_skills"], ["assessment_type", "language", "test_name", "test_score", "proficiency_level"])
+    cert = text_of(at["certificates"], ["certificate_name", "issuing_authority", "acquisition_date"])
+    award = text_of(at["award_experiences"], ["award_name", "organizer", "award_date", "details"])
+    meta = [points_if(contains_any(text_of(careers, [f]), e[k]), p) for f, k, p in (
+        ("employment_type", "employment_keywords", 2), ("work_location", "location_keywords", 1),
+        ("annual_salary", "salary_keywords", 2), ("reason_for_leaving", "reason_keywords", 1),
+        ("reason_for_leaving", "contract_keywords", 1))]
+    army = [points_if(mil[f] == want[k], 2) for f, k in (("military_status", "status"), ("military_branch", "branch"), ("rank", "rank"))]
+    army += [points_if(has(F.coalesce(mil[f], F.lit("")), want[k]) & (F.coalesce(mil[f], F.lit("")) != ""), 1)
+             for f, k in (("service_start_date", "start"), ("service_end_date", "end"))]
+    army += [points_if(~mil[f], 1) for f in ("is_veteran_target", "is_disabled")]
+
+    def counted(name, expected, full, ladder):
+        return count_band_col(F.size(at[name]), e[expected], full, ladder).cast("double")
+    return [
+        ("career_count", 5, count_band_col(F.size(careers), e["career_count"], 5, [(2, 3)])),
+        ("companies", 5, share(company_hits(careers, companies, text_of(careers, ["company_name"])), F.size(companies), 5)),
+        ("currently_employed", 3, F.when(flag_any(careers, "is_currently_employed"), 3).otherwise(0)),
+        ("career_dates", 5, share(found, F.size(companies), 5)),
+        ("work_details", 5, capped_ratio(long_texts(careers, "work_details"), 3, 5)),
+        ("career_meta", 7, additive(meta, 7)),
+        ("activities", 10, additive([counted("activity_experiences", "activity_count", 3, [(2, 1)]), each(
+            e["activities"], lambda g: F.when(has(activity, g["name_keyword"], True), 2.0).when(
+                has(activity, g["org_keyword"], True), 1.0).otherwise(0.0))], 10)),
+        ("overseas", 8, additive([counted("overseas_experiences", "overseas_count", 2, [(1, 1)]), each(
+            e["overseas"], lambda g: points_if(has(abroad, g["type"]), 1) + points_if(contains_any(abroad, g["country_keywords"]), 1)
+            + points_if(has(abroad, g["detail_keyword"]), 1))], 8)),
+        ("languages", 10, additive([
+            points_if(F.size(at["language_skills"]) >= e["language_count"], 2) + points_if(
+                (F.size(at["language_skills"]) < e["language_count"]) & (F.size(at["language_skills"]) >= 3), 1),
+            each(e["conversation_keywords"], lambda k: points_if(has(language, k), 1)),
+            each(e["tests"], lambda g: F.when(has(language, g["test"], True), F.lit(1.0) + points_if(
+                (g["score"] != "") & has(language, g["score"]), 0.5)).otherwise(0.0))], 10)),
+        ("certificates", 10, additive([counted("certificates", "certificate_count", 3, [(3, 2), (1, 1)]), each(
+            e["certificates"], lambda g: F.when(has(cert, g["name"], True), F.lit(1.0) + points_if(has(cert, g["date"]), 0.5)).otherwise(0.0))], 10)),
+        ("awards", 8, additive([counted("award_experiences", "award_count", 2, [(2, 1)]), each(
+            e["awards"], lambda g: F.when(contains_any(award, g["name_keywords"], True), F.lit(1.0) + points_if(
+                has(award, g["date"]), 0.5)).otherwise(0.0))], 8)),
+        ("military", 10, F.when(mil.isNull(), 0).otherwise(additive(army, 10))),
+        ("sns", 4, links_score(d["sns"], e["sns_keywords"], e["sns_count"], 4)),
+    ]
+
+
+def multi_career_rubric(doc: str = "doc", exp: str = "exp", not_applicable: str = "none", exempt: str = "exempt",
+                        hidden: str = "undisclosed") -> list[tuple[str, int, Column]]:
+    """The 12-component rubric for many persons' careers (100 points), every expectation a parameter of the person.
+    ``not_applicable`` and ``exempt`` are military statuses, ``hidden`` marks an undisclosed employer's name."""
+    d, e = F.col(doc), F.col(exp)
+    at = _lists(d)
+    careers, companies, mil, want = at["careers"], e["companies"], d["employment_military_info"], e["military"]
+    found, dated = start_hits(companies, text_of(careers, DATES))
+    words = {"activity_experiences": ["activity_type", "activity_name", "organization", "details"],
+             "overseas_experiences": ["experience_type", "country", "details"],
+             "language_skills": ["assessment_type", "language", "test_name", "test_score", "proficiency_level"],
+             "certificates": ["certificate_name", "issuing_authority", "acquisition_date"],
+             "award_experiences": ["award_name", "organizer", "award_date", "details"]}
+
+    def listed(name, expected, full, near, keywords, points, cap, any_case, at_least=False):
+        n, want_n = F.size(at[name]), e[expected]
+        exact = (n >= want_n) if at_least else (n == want_n)
+        close = n >= (want_n - 1 if at_least else F.greatest(want_n - 1, F.lit(1)))
+        text = text_of(at[name], words[name])
+        return additive([F.when(exact, float(full)).when(close, float(near)).otherwise(0.0),
+                         each(e[keywords], lambda k: points_if(has(text, k, any_case), points))], cap)
+    status = mil["military_status"]
+    spared = status.isNull() | status.isin(not_applicable, "", exempt)
+    army = [points_if(mil[f].eqNullSafe(want[k]), p) for f, k, p in (
+        ("military_status", "status", 3), ("military_branch", "branch", 3), ("rank", "rank", 2))]
+    army += [points_if(~mil[f], 1) for f in ("is_veteran_target", "is_disabled")]
+    exempted = want["status"] == not_applicable
+    visible = F.size(F.filter(companies, lambda g: ~F.coalesce(g["is_private"], F.lit(False))))
+    n = F.size(careers)
+    return [
+        ("career_count", 10, F.when(n == e["career_count"], 10).when(n >= e["career_count"] - 1, 6).when(n >= 1, 3).otherwise(0)),
+        ("companies", 10, share(company_hits(careers, companies, text_of(careers, ["company_name"]), hidden), F.size(companies), 10)),
+        ("currently_employed", 5, F.when(flag_any(careers, "is_currently_employed") == flag_any(companies, "currently_employed"), 5).otherwise(0)),
+        ("dates", 10, share(found, dated, 10)),
+        ("work_details", 10, share(long_texts(careers, "work_details"), visible, 10)),
+        ("activities", 10, listed("activity_experiences", "activity_count", 4, 2, "activities_keywords", 3, 10, True)),
+        ("overseas", 5, additive([points_if(F.size(at["overseas_experiences"]) == e["overseas_count"], 2), each(
+            e["overseas_keywords"], lambda k: points_if(has(text_of(at["overseas_experiences"], words["overseas_experiences"]), k), 1))], 5)),
+        ("languages", 10, listed("language_skills", "language_count", 3, 1, "lang_keywords", 2, 10, True, at_least=True)),
+        ("certificates", 10, listed("certificates", "certificate_count", 3, 1, "cert_keywords", 2, 10, True)),
+        ("awards", 5, additive([points_if(F.size(at["award_experiences"]) == e["award_count"], 2), each(
+            e["award_keywords"], lambda k: points_if(has(text_of(at["award_experiences"], words["award_experiences"]), k, True), 1))], 5)),
+        ("military", 10, F.when(mil.isNull(), F.when(exempted, 5).otherwise(0)).when(exempted, F.when(spared, 10).otherwise(0))
+         .otherwise(additive(army, 10))),
+        ("sns", 5, links_score(d["sns"], e["sns_keywords"], e["sns_count"], 5)),
+    ]
