@@ -24,19 +24,26 @@ import functools
 import re
 import string
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwise.llm.common import documents, map_columns
+from leafwise.llm.common import documents
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 TEXT_CHARS = 1_000_000      # texts are cut into segments so many characters at a time
-INDEX_CHARS = 400_000       # characters of distinct segments per suffix array (one longer segment stands alone)
-CACHED_SEGMENTS = 800_000
+INDEX_CHARS = 300_000       # characters of distinct segments per suffix array (one longer segment stands alone)
+CACHED_SEGMENTS = 500_000
+DECODED_ROWS = 500
 NO_PIECE = -1
+ENCODED, DECODED = "doc_id long, ids array<int>", "doc_id long, ids array<int>, text string"
+ENCODED_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+DECODED_ARROW = ENCODED_ARROW.append(pa.field("text", pa.string()))
 
 
 def default_model() -> str:
@@ -187,22 +194,31 @@ class SuffixIndex:
             starts = np.nonzero(new)[0]
             tied = np.diff(np.concatenate([starts, [n]])) > 1
         self.order = order
-        self.words = np.stack([w[order] for w in words], 1)
+        self.words = [w[order] for w in words]
 
     def bound(self, keys: np.ndarray, after: bool) -> np.ndarray:
-        """Binary search of every key at once: first suffix not below it (or above it)."""
-        lo, hi = np.zeros(len(keys), np.int64), np.full(len(keys), len(self.order), np.int64)
-        while (lo < hi).any():
-            mid = np.minimum((lo + hi) // 2, len(self.order) - 1)
-            less, equal = np.zeros(len(keys), bool), np.ones(len(keys), bool)
-            for k in range(keys.shape[1]):
-                w = self.words[mid, k]
-                less |= equal & (w < keys[:, k])
-                equal &= w == keys[:, k]
-            go = (less | (equal & after)) & (lo < hi)
-            hi = np.where(go | (lo >= hi), hi, mid)
-            lo = np.where(go, mid + 1, lo)
-        return lo
+        """Binary search of every key at once: first suffix not below it (or above it).  The first word of four
+        characters narrows the range by itself; only keys that go on within it are searched word by word."""
+        first = self.words[0]
+        lo, hi = np.searchsorted(first, keys[:, 0]), np.searchsorted(first, keys[:, 0], "right")
+        out = lo.copy()
+        at = np.nonzero(lo < hi)[0]
+        lo, hi, rest = lo[at], hi[at], keys[at]
+        while True:
+            open_ = np.nonzero(lo < hi)[0]
+            if not len(open_):
+                break
+            mid = (lo[open_] + hi[open_]) // 2
+            less, equal = np.zeros(len(open_), bool), np.ones(len(open_), bool)
+            for k in range(1, keys.shape[1]):
+                w = self.words[k][mid]
+                less |= equal & (w < rest[open_, k])
+                equal &= w == rest[open_, k]
+            go = less | (equal & after)
+            lo[open_] = np.where(go, mid + 1, lo[open_])
+            hi[open_] = np.where(go, hi[open_], mid)
+        out[at] = lo
+        return out
 
 
 def encode_segments(segments: list[str], v: Vocabulary) -> list[list[int]]:
@@ -217,8 +233,8 @@ def encode_segments(segments: list[str], v: Vocabulary) -> list[list[int]]:
     index = SuffixIndex(codes, v.width)
     first, last = index.bound(v.low, False), index.bound(v.high, True)
     n_found = last - first
-    piece = np.repeat(v.search_ids, n_found)
-    length = np.repeat(v.sizes, n_found)
+    piece = np.repeat(v.search_ids.astype(np.int32), n_found)
+    length = np.repeat(v.sizes.astype(np.int32), n_found)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(n_found) - n_found, n_found)
     begin = index.order[np.repeat(first, n_found) + offset]
     lone = np.nonzero((~v.lone[codes]) & (codes > 0))[0]         # single characters that are no pieces
@@ -360,41 +376,68 @@ def encode_documents(docs: DataFrame, model: str | None = None, kind: str = "bpe
     """Columns doc_id, ids (array of int) for every row."""
     path = model or default_model()
 
-    def start():
-        import pyarrow as pa
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, kind)
-
-        def step(ids, texts):
-            data, at = [], 0
-            while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (held == 0 or held + len(texts[to] or "") <= TEXT_CHARS):
-                    held += len(texts[to] or "")
-                    to += 1
-                data += encoder(texts[at:to])
-                at = to
-            ends = np.concatenate([[0], np.cumsum([len(d) // 4 for d in data])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(data), "<i4"))
-            return {"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(ends), values)}
-        return step
-    return map_columns(docs, ["doc_id", "text"], "doc_id long, ids array<int>", start)
+        for batch in batches:
+            yield from encoded(batch, encoder)
+    return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
+
+
+def encoded(batch: pa.RecordBatch, encoder: Encoder) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) as (doc_id, ids), about ``TEXT_CHARS`` characters at a time."""
+    target = ENCODED_ARROW
+    texts = batch.column(1).to_pylist()
+    at = 0
+    while at < len(texts):
+        to, held = at, 0
+        while to < len(texts) and (held == 0 or held + len(texts[to] or "") <= TEXT_CHARS):
+            held += len(texts[to] or "")
+            to += 1
+        data = encoder(texts[at:to])
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(d) // 4 for d in data])]).astype(np.int32))
+        ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(data), "<i4")))
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at).cast(target[0].type), ids.cast(target[1].type)], schema=target)
+        at = to
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """Columns doc_id, ids, text for every row of (doc_id, ids)."""
+    """Columns doc_id, ids, text for every row of (doc_id, ids); ids pass through as they are, a null list is empty."""
     path = model or default_model()
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(path)
+        for batch in batches:
+            yield from decoded(batch, decoder)
+    return encoded.select("doc_id", "ids").mapInArrow(run, DECODED)
+
+
+def decoded(batch: pa.RecordBatch, decoder: Decoder) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) with the texts, a bounded number of rows at a time."""
+    target = DECODED_ARROW
+    for at in range(0, batch.num_rows, DECODED_ROWS):
+        part = batch.slice(at, DECODED_ROWS)
+        ids = part.column(1)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        texts = [decoder(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([part.column(0).cast(target[0].type), ids.cast(target[1].type), pa.array(texts, pa.string())],
+                                         schema=target)
+
+
+def round_trip(docs: DataFrame, model: str | None = None, kind: str = "bpe") -> DataFrame:
+    """``decode_documents(encode_documents(docs))`` in one pass: one worker process instead of two per task."""
+    path = model or default_model()
 
-        def step(doc_ids, ids):
-            return {"doc_id": doc_ids, "ids": ids, "text": [decoder(x or []) for x in ids]}
-        return step
-    return map_columns(encoded, ["doc_id", "ids"], "doc_id long, ids array<int>, text string", start)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = encoder_of(path, kind), Decoder(path)
+        for batch in batches:
+            for part in encoded(batch, encoder):
+                yield from decoded(part, decoder)
+    return docs.select("doc_id", "text").mapInArrow(run, DECODED)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = decode_documents(encode_documents(documents(spark, sf_dir, "doc_id", "text")))
+    back = round_trip(documents(spark, sf_dir, "doc_id", "text"))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
