@@ -27,6 +27,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """A stored table, with a broadcast hint if it has at most ``most`` rows (counted; rows must be small ones).
+    Otherwise Spark joins it as it is, by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def map_columns(df: DataFrame, inputs: list[str], schema: str,
                 start: Callable[[], Callable[..., dict]]) -> DataFrame:
     """Run a per-batch function over Arrow batches of ``inputs``.

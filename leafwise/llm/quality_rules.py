@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwise.llm.common import documents, map_columns, saved
+from leafwise.llm.common import documents, map_columns, saved, small
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -128,7 +128,8 @@ def mcd_models(stats: DataFrame, support: float = 0.75, steps: int = 3) -> DataF
     """One row per model key: n, mu, prec (row-major inverse scatter), scale, log_det.
 
     Every step is two grouped aggregations with map-side partial sums, so a source that holds a third of all
-    rows is summed in all tasks; only one row per key is ever gathered."""
+    rows is summed in all tasks; only one row per key is ever gathered.  Models meet the rows by a broadcast
+    while there are few keys (counted), else by a shuffle join."""
     p = len(FEATURES)
     rows = stats.where("n_words > 0").select(F.explode(F.array(*_levels())).alias("key"), *FEATURES)
     quart = F.array(*[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for f in FEATURES])
@@ -140,14 +141,14 @@ def mcd_models(stats: DataFrame, support: float = 0.75, steps: int = 3) -> DataF
         F.array(*[precs[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)]).alias("prec")), "mcd")
     sizes = model.select("key", "n")
     for _ in range(steps):
-        far = rows.join(model.select("key", "mu", "prec"), "key").withColumn("d2", _distance(p)).drop("mu", "prec")
-        edge = far.groupBy("key").agg(F.percentile_approx("d2", support, 1000).alias("edge"))
-        near = far.join(edge, "key").where("d2 <= edge")
+        far = rows.join(small(model.select("key", "mu", "prec")), "key").withColumn("d2", _distance(p)).drop("mu", "prec")
+        edge = saved(far.groupBy("key").agg(F.percentile_approx("d2", support, 1000).alias("edge")), "mcd")
+        near = far.join(small(edge), "key").where("d2 <= edge")
         cross = [F.sum(F.col(a) * F.col(b)) for a in FEATURES for b in FEATURES]
         sums = near.groupBy("key").agg(F.count("*").alias("n"), F.array(*[F.sum(f) for f in FEATURES]).alias("s1"),
                                        F.array(*cross).alias("s2"))
         model = saved(_fit(sums), "mcd")
-    far = rows.join(model.select("key", "mu", "prec"), "key").withColumn("d2", _distance(p))
+    far = rows.join(small(model.select("key", "mu", "prec")), "key").withColumn("d2", _distance(p))
     scale = far.groupBy("key").agg(F.percentile_approx("d2", 0.5, 1000).alias("half"))
     # Median of chi squared with p degrees of freedom (Wilson and Hilferty).
     chi_half = p * (1 - 2 / (9 * p)) ** 3
@@ -165,13 +166,16 @@ def quality_rules(docs: DataFrame, cutoff: float = 45.0, min_group: int = 60, su
     p = len(FEATURES)
     stats = saved(document_statistics(docs), "stats")
     model = mcd_models(stats, support)
-    usable = model.where((F.col("n") >= min_group) | (F.col("key") == "all"))
-    keys = _levels()
-    out = stats.withColumns({f"key{i}": k for i, k in enumerate(keys)})
-    for i in range(len(keys)):
-        out = out.join(usable.select(F.col("key").alias(f"key{i}"), F.struct("mu", "prec", "scale").alias(f"m{i}")),
-                       f"key{i}", "left")
-    out = (out.withColumn("m", F.coalesce("m0", "m1", "m2"))
+    usable = saved(model.where(F.col("n") >= min_group), "mcd")
+    # The model of all rows is one row; it comes as literals.
+    whole = model.where("key = 'all'").first()
+    every = F.lit(None).cast("struct<mu:array<double>,prec:array<double>,scale:double>") if whole is None else F.struct(
+        F.array(*map(F.lit, whole.mu)).alias("mu"), F.array(*map(F.lit, whole.prec)).alias("prec"), F.lit(whole.scale).alias("scale"))
+    out = stats
+    for i, key in enumerate(_levels()[:-1]):
+        out = out.withColumn(f"key{i}", key).join(small(usable.select(
+            F.col("key").alias(f"key{i}"), F.struct("mu", "prec", "scale").alias(f"m{i}"))), f"key{i}", "left")
+    out = (out.withColumn("m", F.coalesce("m0", "m1", every))
            .withColumns({"mu": F.col("m.mu"), "prec": F.col("m.prec"), "scale": F.col("m.scale")})
            .withColumn("distance", F.when(F.col("n_words") > 0, _distance(p) / F.col("scale"))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
