@@ -36,14 +36,18 @@ def _child(path: Column, spath: Column, gt: Column, pred: Column, fixed: Column
                     (fixed if fixed is not None else F.lit(None).cast("string")).alias("fixed"))
 
 
-def _object_children() -> Column:
-    gm = F.when(F.col("gt_kind") == "object", as_map(F.col("gt")))
-    pm = F.when(F.col("pred_kind") == "object", as_map(F.col("pred")))
+def _object_children(fr: DataFrame) -> DataFrame:
+    """Children of the object containers ``fr``.  The two maps are columns of their own: inside a lambda they would be
+    built again for every key."""
+    fr = fr.withColumns({"_gm": F.when(F.col("gt_kind") == "object", as_map(F.col("gt"))),
+                         "_pm": F.when(F.col("pred_kind") == "object", as_map(F.col("pred")))})
+    gm, pm = F.col("_gm"), F.col("_pm")
     empty = F.array().cast("array<string>")
     keys = F.array_union(F.coalesce(F.map_keys(gm), empty), F.coalesce(F.map_keys(pm), empty))
     keys = F.array_sort(F.array_remove(keys, RESERVED))
-    return F.transform(keys, lambda k: _child(F.concat(F.col("path"), F.lit("."), k), F.concat(F.col("spath"), F.lit("."), k),
+    kids = F.transform(keys, lambda k: _child(F.concat(F.col("path"), F.lit("."), k), F.concat(F.col("spath"), F.lit("."), k),
                                               F.try_element_at(gm, k), F.try_element_at(pm, k)))
+    return fr.select("doc_key", "schema_id", F.explode(kids).alias("c")).select("doc_key", "schema_id", "c.*")
 
 
 def array_matching(fr: DataFrame, ga: Column, pa: Column, items_type: Column, keep_weights: bool = False,
@@ -141,9 +145,7 @@ def leaf_scores(pairs: DataFrame, schema_nodes: DataFrame | None = None) -> Data
         leaves = found if leaves is None else leaves.unionByName(found)
         if level.where("cls <> 'leaf'").isEmpty():
             return leaves
-        objects = level.where("cls = 'object'").select("doc_key", "schema_id", F.explode(_object_children()).alias("c")).select(
-            "doc_key", "schema_id", "c.*")
-        rows = objects.unionByName(_array_children(level.where("cls = 'array'")))
+        rows = _object_children(level.where("cls = 'object'")).unionByName(_array_children(level.where("cls = 'array'")))
 
 
 _KEY_TOKEN = r'"(?:[^"\\]|\\.)*"\s*:'
