@@ -215,12 +215,39 @@ def node_links(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _parse_datatype_string("set_id binary, other binary"))
 
 
+def spanning(links: DataFrame) -> DataFrame:
+    """(a, b): the links of each input partition reduced to one per node, to the smallest node it is connected to in
+    that partition.  ``links`` should be a stored table, so that a partition holds a bounded number of bytes."""
+    target = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[bytes, bytes] = {}
+
+        def top(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root.setdefault(up, up)
+                x = root[x]
+            return x
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = top(x), top(y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        nodes = [x for x in root if top(x) != x]
+        for at in range(0, len(nodes), 50_000):
+            part = nodes[at:at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([top(x) for x in part], pa.binary())], schema=target)
+
+    return links.mapInArrow(run, "a binary, b binary")
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """(node, root): every node of an undirected edge list and the smallest node it is connected to.
 
-    Smallest labels travel along edges and then jump to their label's label, until nothing changes; the number
-    of rounds grows with the logarithm of the longest path for the star-shaped links made here."""
-    edges = saved(links.toDF("a", "b").where("a <> b").distinct(), f"{name}-edges")
+    Links are first reduced to stars inside stored partitions.  Then smallest labels travel along the edges and
+    jump to their label's label, until nothing changes; the number of rounds grows with the logarithm of the
+    longest path, and the paths between stars are short."""
+    edges = saved(spanning(saved(links.toDF("a", "b").where("a <> b").distinct(), f"{name}-links")).distinct(), f"{name}-edges")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), name)
     while True:
