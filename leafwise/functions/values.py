@@ -3,7 +3,7 @@
 The scorer's semantics are defined on Python values (``json.loads`` output);
 these expressions reproduce them JVM-side:
 
-* ``kind``     — null / object / array / boolean / integer / number / string
+* ``kind_of``  — null / object / array / boolean / integer / number / string
 * ``pystr``    — ``str(value)`` for scalars (``True``, ``1.0``, ``1e+16``)
 * ``pyfloat``  — ``float(value)`` (booleans are numbers; strings follow
   Python's float syntax incl. ``_`` separators, ``inf`` and ``nan``)
@@ -40,10 +40,6 @@ def vtype(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def is_null(v: Column) -> Column:
-    return v.isNull() | F.is_variant_null(v)
-
-
 def kind_of(t: Column) -> Column:
     """Kind from a type tag."""
     return (F.when(t == "VOID", F.lit("null"))
@@ -55,10 +51,6 @@ def kind_of(t: Column) -> Column:
             .otherwise(F.lit("string")))
 
 
-def kind(v: Column, t: Column | None = None) -> Column:
-    return kind_of(vtype(v) if t is None else t)
-
-
 def as_map(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 

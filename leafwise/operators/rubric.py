@@ -14,15 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def count_band(n: Column, bands: list[tuple[str, int, int]], default: int = 0) -> Column:
-    """R1: first matching band wins; band = (op, threshold, points) with op in == / >=."""
-    out = F.lit(default)
-    for op, thr, pts in reversed(bands):
-        cond = (n == thr) if op == "==" else (n >= thr)
-        out = F.when(cond, F.lit(pts)).otherwise(out)
-    return out
-
-
 def count_band_col(n: Column, exact: Column, exact_pts: int, ladder: list[tuple[int, int]]) -> Column:
     """R1 with a per-document exact target, then a >= ladder."""
     out = F.lit(0)

@@ -108,10 +108,6 @@ def prompts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROMPTS, "name STRING, description STRING, version STRING, system_prompt STRING")
 
 
-def combo_display(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(COMBO_DISPLAY.items()), "combination STRING, display STRING")
-
-
 def prompt(spark: SparkSession, name: str) -> DataFrame:
     """Look up one prompt template; an unknown name lists the available ones."""
     names = [p[0] for p in PROMPTS]

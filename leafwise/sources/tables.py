@@ -13,9 +13,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}; available: {', '.join(TABLES)}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Register every test table as a temp view (for SQL-form operators)."""
-    for t in TABLES:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
