@@ -145,20 +145,32 @@ def _marginals(e: np.ndarray, sizes: np.ndarray, trans: np.ndarray, first: float
     return p[col, row]
 
 
-def toxic_words(sample: list[tuple[str, int]], min_docs: int = 4) -> set[str]:
-    """Words of at least ``min_docs`` texts that stand in toxic texts clearly more often than the base share:
-    even 1.5 standard errors below, the share lies above the base by 30 % of the way to 1."""
+def toxic_words(sample: list[tuple[str, int]], min_contexts: int = 4) -> set[str]:
+    """Words that stand in toxic texts clearly more often than the base share: even 1.5 standard errors below, the
+    share lies above the base by 30 % of the way to 1.
+
+    What counts is a word's distinct contexts (the words before and after its first place in a text), at least
+    ``min_contexts`` of them: copies of one toxic text count once, so its own words do not pass for toxic."""
     share = sum(y for _, y in sample) / max(1, len(sample))
-    seen, bad = Counter(), Counter()
+    counts: Counter = Counter()
+    for text, _ in sample:
+        counts.update({w.lower() for w in TOKEN.findall(text or "")})
+    often = {w for w, n in counts.items() if n >= min_contexts}
+    counts.clear()
+    contexts: dict[str, dict] = {w: {} for w in often}
     for text, y in sample:
-        words = {w.lower() for w in TOKEN.findall(text or "")}
-        seen.update(words)
-        if y:
-            bad.update(words)
+        here = set()
+        words = [w.lower() for w in TOKEN.findall(text or "")]
+        for i, w in enumerate(words):
+            if w in often and w not in here:
+                here.add(w)
+                around = (words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")
+                contexts[w][around] = max(y, contexts[w].get(around, 0))
     out = set()
-    for w, n in seen.items():
-        p = (bad[w] + 0.5) / (n + 1)
-        if n >= min_docs and p - 1.5 * np.sqrt(p * (1 - p) / (n + 1)) > share + 0.3 * (1 - share):
+    for w, found in contexts.items():
+        n = len(found)
+        p = (sum(found.values()) + 0.5) / (n + 1)
+        if n >= min_contexts and p - 1.5 * np.sqrt(p * (1 - p) / (n + 1)) > share + 0.3 * (1 - share):
             out.add(w)
     return out
 
@@ -192,16 +204,23 @@ def fit_chain(sample: list[tuple[str, int]], epochs: int = 4, rate: float = 0.3,
     """AdaGrad on batches of lines of ``line_words`` tokens: every line with a toxic token, then others, up to
     ``max_lines``."""
     lexicon = toxic_words(sample)
-    toxic, clean = [], []
-    for text, y in sample:
-        words = TOKEN.findall(text or "")
-        for at in range(0, len(words), line_words):
-            line = words[at:at + line_words]
-            tags = [int(bool(y) and w.lower() in lexicon) for w in line]
-            (toxic if any(tags) else clean).append((line, tags))
+    def cut():
+        """(line, tags) of every line, text by text: the sample is read twice rather than held as words."""
+        for text, y in sample:
+            words = TOKEN.findall(text or "")
+            for at in range(0, len(words), line_words):
+                line = words[at:at + line_words]
+                yield line, [int(bool(y) and w.lower() in lexicon) for w in line]
+    toxic, n_clean = [], 0
+    for line, tags in cut():
+        if any(tags):
+            toxic.append((line, tags))
+        else:
+            n_clean += 1
     toxic = toxic[:max_lines // 2]
-    pace = max(1, len(clean) // max(1, max_lines - len(toxic)))
-    lines = toxic + clean[::pace]
+    pace = max(1, n_clean // max(1, max_lines - len(toxic)))
+    clean = (row for row in cut() if not any(row[1]))
+    lines = toxic + [row for i, row in enumerate(clean) if i % pace == 0]
     rng = np.random.default_rng(7)
     weights, square = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
     small, small_square = np.array([-3.0, 0.5, -0.5, -0.5, 0.0, -2.0]), np.full(6, 1e-8)   # bias, trans, first
