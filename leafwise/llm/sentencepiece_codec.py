@@ -37,8 +37,8 @@ from leafwise.llm.common import documents
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 TEXT_CHARS = 1_000_000      # texts are cut into segments so many characters at a time
-INDEX_CHARS = 300_000       # characters of distinct segments per suffix array (one longer segment stands alone)
-CACHED_SEGMENTS = 500_000
+INDEX_CHARS = 600_000       # characters of distinct segments per suffix array (one longer segment stands alone)
+CACHED_SEGMENTS = 900_000
 DECODED_ROWS = 500
 NO_PIECE = -1
 ENCODED, DECODED = "doc_id long, ids array<int>", "doc_id long, ids array<int>, text string"
@@ -336,15 +336,14 @@ class Encoder:
     def learn(self, segments: set[str]) -> None:
         """Encodes unknown segments; a segment that ends in closing marks is its stem's ids, then the marks'."""
         known, closing, marked = self.known, self.v.closing, []
-        todo = set()
-        for w in segments:
+        todo = {w for w in segments if w[-1] not in closing}
+        for w in segments.difference(todo):
             stem = w.rstrip(closing)
-            if len(stem) < len(w) and stem[-1:].isalpha():
+            if stem[-1:].isalpha():
                 marked.append((w, stem, w[len(stem):]))
-                todo.add(stem)
-                todo.add(w[len(stem):])
             else:
                 todo.add(w)
+        todo.update([x for _, stem, tail in marked for x in (stem, tail)])
         todo = sorted(todo.difference(known))
         at = 0
         while at < len(todo):
