@@ -4,7 +4,7 @@ The recursion runs as a level-wise frontier loop.  The frontier holds containers
 container in-row (object keys are unioned, array elements are matched on an n×m weight matrix built with
 higher-order functions over JVM ``levenshtein``), joins the children to their schema nodes and classes them at
 once: leaves leave the level as scores, containers form the next frontier.  A document pair never moves between
-tasks and no level shuffles, but for the lookup of schema nodes, whose join AQE picks by measured size.  Each
+tasks and no level shuffles: the schema nodes are broadcast while they are measured to be small.  Each
 level is checkpointed to the reliable checkpoint folder, which cuts the lineage and survives executor loss; the
 loop ends when no container is left, at any depth.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from leafwise.functions.leaf import USER_METRICS, element_similarity, leaf_score
 from leafwise.functions.values import FIELD_SEP, as_array, as_map, element_info, kind_of, truthy, typed, vtype
 from leafwise.operators.assignment import with_match
-from leafwise.session import cut_lineage, spread
+from leafwise.session import cut_lineage, small_side, spread
 
 LEAF_TYPES = ("string", "number", "integer", "boolean")
 RESERVED = "evaluation_config"
@@ -135,7 +135,7 @@ def leaf_scores(pairs: DataFrame, schema_nodes: DataFrame | None = None) -> Data
 
     ``schema_nodes(schema_id, spath, ftype, items_type)`` is the resolved schema table
     (``operators.schema.schema_nodes``); None means every node is ``{}``."""
-    nodes = None if schema_nodes is None else cut_lineage(schema_nodes.select("schema_id", "spath", "ftype", "items_type"))
+    nodes = None if schema_nodes is None else small_side(schema_nodes.select("schema_id", "spath", "ftype", "items_type"))
     rows = pairs.select(F.col("doc_key").cast("string"), F.col("schema_id").cast("string"), F.lit("$").alias("path"),
                         F.lit("$").alias("spath"), "gt", "pred", F.lit(None).cast("string").alias("fixed"))
     leaves = None

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -62,6 +63,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df``, stored, with a broadcast hint if its rows take at most ``most_bytes`` as JSON text (measured).
+
+    For dimension tables joined on keys that most rows share: a shuffle by such a key would put them in one task.
+    A larger table is joined as it is; its keys are then many."""
+    stored = cut_lineage(df)
+    size = stored.agg(F.sum(F.length(F.to_json(F.struct(*stored.columns))))).first()[0] or 0
+    return F.broadcast(stored) if size <= most_bytes else stored
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for derived files a job writes."""
     base = ensure_checkpoint_dir(spark)
