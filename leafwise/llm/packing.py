@@ -1,11 +1,13 @@
 """Operator 3, packing by lexical retrieval.
 
 ``tokenise`` turns whole texts into ids (ending with an end id) and cuts every document into windows: full
-windows stand alone, the last part goes on to retrieval.  Parts are dealt by hash to partitions; a partition
-is read in shards of ``shard_docs`` parts.  Each shard builds a BM25 inverted index over its parts; a seed
-queries it with its strongest terms, the best unused neighbours fill the seed's window, and a neighbour that
-does not fit is cut: its rest seeds the next window.  Windows stay open from shard to shard, so that only the
-last window of a partition is padded.
+windows stand alone, the last part goes on to retrieval.  Terms are counted over all parts of the corpus, and
+parts are sorted across partitions by their rarest shared terms (``ordered``), so that parts from anywhere in
+the corpus that share these stand side by side; a partition is read in shards of up to ``shard_docs`` parts
+that end, where possible, between two rarest terms.  Each shard builds a BM25 inverted index over its parts,
+weighted by the corpus-wide counts; a seed queries it with its strongest terms, the best unused neighbours fill
+the seed's window, and a neighbour that does not fit is cut: its rest seeds the next window.  Windows stay open
+from shard to shard, so that only the last window of a partition is padded.
 
 Defined results: null and empty texts are one end id; ties go to the part that sorts first (by doc_id, then
 start, then ids); repeated rows are packed as often as they occur; an empty table gives an empty result; other
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwise.llm.common import documents
+from leafwise.llm.common import documents, saved
 
 WINDOW = 2048
 END_ID = 1
 CACHED_WORDS = 1_200_000
 CLOSING = (".", ",", ";", ":", "!", "?", ")")
+KEY_TERMS = 8               # rarest shared terms of a part that place it among the others
 TEXT_CHARS = 1_000_000      # texts are split into words so many characters at a time
 #: Byte-level vocabularies write printable Latin-1 bytes as they are and the other bytes, in order, from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -161,17 +164,80 @@ def id_kind(path: str) -> np.dtype:
     return np.dtype("<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4")
 
 
+def term_counts(parts: DataFrame, kind: np.dtype, window: int) -> tuple[int, np.ndarray]:
+    """Number of parts under ``window`` ids, and by id the number of them that contain it.  Every task counts into
+    one array over the vocabulary, so what is collected grows with the vocabulary and not with the corpus."""
+    target = pa.schema([("term", pa.int64()), ("parts", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = np.zeros(1 << 16, np.int64), 0
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                ids = np.unique(np.frombuffer(data, kind))
+                if len(counts) <= ids[-1]:
+                    counts = np.concatenate([counts, np.zeros(int(ids[-1]) + 1 - len(counts), np.int64)])
+                counts[ids] += 1
+                n += 1
+        terms = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], terms])),
+                                          pa.array(np.concatenate([[n], counts[terms]]))], schema=target)
+
+    short = parts.where(F.length("ids") < window * kind.itemsize).select("ids")
+    rows = short.mapInArrow(run, "term long, parts long").groupBy("term").agg(F.sum("parts").alias("parts")).collect()
+    found = {r.term: r.parts for r in rows}
+    n = found.pop(-1, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return n, df
+
+
+def ranks(df: np.ndarray) -> np.ndarray:
+    """Rank of every id, the rarest that two parts share first; ids of one part only have the highest number."""
+    out = np.full(len(df), 0xFFFFFFFF, np.uint32)
+    shared = np.nonzero(df > 1)[0]
+    out[shared[np.argsort(df[shared], kind="stable")]] = np.arange(len(shared))
+    return out
+
+
+def part_key(ids: np.ndarray, rank: np.ndarray) -> bytes:
+    """A part's rarest shared terms, rarest first, as bytes that sort like the ranks."""
+    r = np.unique(rank[ids])[:KEY_TERMS]
+    return r[r < 0xFFFFFFFF].astype(">u4").tobytes()
+
+
+def ordered(parts: DataFrame, rank: np.ndarray, kind: np.dtype, window: int) -> DataFrame:
+    """Parts in the order of their rarest shared terms, by ranges; full windows, which need no neighbours, have an
+    empty key.  Many parts of one key are told apart by ``deal``, so a range can end between them."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    shared = parts.sparkSession.sparkContext.broadcast(rank)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(b, kind) for b in batch.column(3).to_pylist()]
+            key = [part_key(ids, shared.value) if len(ids) < window else b"" for ids in held]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.binary())],
+                                             names=[*batch.schema.names, "key"])
+
+    keyed = parts.mapInArrow(run, f"{PARTS}, deal long, key binary")
+    return keyed.repartitionByRange("key", "deal").sortWithinPartitions("key", "deal", "doc_id", "start", "ids")
+
+
+def term_weights(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
 class Shard:
-    """BM25 over the parts of one shard."""
+    """BM25 over the parts of one shard; ``weights`` are corpus-wide term weights, by default the shard's own."""
 
-    def __init__(self, parts: list[np.ndarray], query_terms: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, parts: list[np.ndarray], query_terms: int, k1: float = 1.2, b: float = 0.75,
+                 weights: np.ndarray | None = None):
         n = len(parts)
         sizes = np.array([len(p) for p in parts], np.int64)
         flat = np.concatenate(parts).astype(np.int64)
         pair, tf = np.unique(np.repeat(np.arange(n), sizes) << 32 | flat, return_counts=True)
         doc, term = pair >> 32, pair & 0xFFFFFFFF
         df = np.bincount(term)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        idf = term_weights(n, df) if weights is None else weights
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / sizes.mean()))
         self.n, self.first = n, np.searchsorted(doc, np.arange(n + 1))
         self.term, self.strength = term, np.where(df[term] > 1, weight, 0.0)
@@ -208,7 +274,8 @@ class Shard:
 class Packer:
     """Fills windows for one partition; ``put`` collects pieces."""
 
-    def __init__(self, partition: int, window: int, query_terms: int, kind: np.dtype):
+    def __init__(self, partition: int, window: int, query_terms: int, kind: np.dtype, weights: np.ndarray | None = None):
+        self.weights = weights
         self.next_id, self.window, self.query_terms, self.kind = partition << 40, window, query_terms, kind
         self.sequence, self.room, self.pieces = None, 0, []
 
@@ -234,7 +301,7 @@ class Packer:
                 short.append(r)
         self.sequence, self.room = held
         if short:
-            index = Shard([r[3] for r in short], self.query_terms)
+            index = Shard([r[3] for r in short], self.query_terms, weights=self.weights)
             unused = np.ones(len(short), bool)
             front = 0
             seed, cut = None, 0
@@ -277,27 +344,38 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     kind = id_kind(path)
     schema = _parse_datatype_string(PIECES)
     target = to_arrow_schema(schema)
-    parts = tokenise(docs, path, window, end_id).withColumn("deal", F.xxhash64("doc_id", "start", F.crc32("ids")))
-    dealt = parts.repartition("deal").sortWithinPartitions("deal", "doc_id", "start", "ids").drop("deal")
+    # Kept, as three passes read them: terms counted, ranges sampled, ranges dealt.
+    parts = saved(tokenise(docs, path, window, end_id).withColumn("deal", F.xxhash64("doc_id", "start", F.crc32("ids"))), "parts")
+    n, df = term_counts(parts, kind, window)
+    dealt = ordered(parts, ranks(df), kind, window).select("doc_id", "start", "doc_tokens", "ids", "key")
+    weights = docs.sparkSession.sparkContext.broadcast(term_weights(n, df))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        packer = Packer(TaskContext.get().partitionId(), window, query_terms, kind)
+        packer = Packer(TaskContext.get().partitionId(), window, query_terms, kind, weights.value)
 
         def emit(rows):
             cols = list(zip(*packer.pack(rows)))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target)], schema=target)
 
-        rows, short = [], 0
+        full, short, rarest = [], [], None
         for batch in batches:
-            for doc, start, total, ids in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                rows.append((doc, start, total, np.frombuffer(ids, kind)))
-                short += len(rows[-1][3]) < window
-                if short == shard_docs or len(rows) >= 2 * shard_docs:
-                    yield emit(rows)
-                    rows, short = [], 0
-        if rows:
-            yield emit(rows)
+            for doc, start, total, ids, key in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                row = (doc, start, total, np.frombuffer(ids, kind))
+                if len(row[3]) == window:
+                    full.append(row)
+                    if len(full) == shard_docs:
+                        yield emit(full)
+                        full = []
+                    continue
+                if len(short) == shard_docs or 2 * len(short) >= shard_docs and key[:4] != rarest:
+                    yield emit(short)
+                    short = []
+                short.append(row)
+                rarest = key[:4]
+        for rows in (full, short):
+            if rows:
+                yield emit(rows)
 
     return dealt.mapInArrow(run, schema)
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leafwise.llm import packing as P
@@ -86,3 +87,40 @@ def test_odd_inputs(spark):
     assert sorted(r[1:5] for r in rows if r[0] in (1, 2)) == [(0, 1, zlib.crc32(b"\1\0\0\0"), 1)] * 2
     assert sum(r[2] for r in rows if r[0] == 3) == 6001 and len([r for r in rows if r[0] == 4]) == 2
     assert P.pack_documents(df.limit(0)).count() == 0
+
+
+def test_near_parts_meet_from_anywhere_in_the_corpus(spark):
+    """Groups of three among many others, in shards far smaller than the corpus: neighbours come from all parts."""
+    r = random.Random(8)
+    words = [f"{a}{b}" for a in ("river", "stone", "cloud", "engine", "market", "garden", "paper", "winter") for b in ("ing", "er", "s", "ly", "ness")]
+    model = Tokenizer.from_file(P.default_tokenizer())
+    rare = sorted((t for t in model.get_vocab() if t.isascii() and t.isalpha() and len(t) > 6))[:600]
+    rows = []
+    for g in range(200):
+        own = r.sample(rare, 6)
+        for k in range(3):
+            text = [r.choice(words) for _ in range(20)] + own
+            r.shuffle(text)
+            rows.append((g * 3 + k, " ".join(text)))
+    r.shuffle(rows)
+    docs = docs_frame(spark, rows).repartition(5)
+
+    def near(shard_docs):
+        by_window = {}
+        for p in P.pack_documents(docs, window=256, shard_docs=shard_docs).select("doc_id", "sequence_id").distinct().collect():
+            by_window.setdefault(p.sequence_id, set()).add(p.doc_id)
+        return len({(a, b) for w in by_window.values() for a in w for b in w if a < b and a // 3 == b // 3})
+
+    whole_corpus = near(2048)                       # one index over all 600 parts
+    assert whole_corpus > 250 and near(60) > 0.9 * whole_corpus
+
+
+def test_full_windows_take_no_place_in_the_order(spark):
+    texts = ["the same long text of a hot source " * 600 for _ in range(30)] + ["few words here"] * 20
+    kind = P.id_kind(P.default_tokenizer())
+    parts = P.tokenise(docs_frame(spark, texts), window=64).withColumn("deal", F.xxhash64("doc_id", "start"))
+    n, df = P.term_counts(parts, kind, 64)
+    rows = P.ordered(parts, P.ranks(df), kind, 64).collect()
+    seen = [len(row.key) for row in rows if len(row.ids) == 64 * kind.itemsize]
+    assert n == 50 and len(seen) > 30 * 60 and not any(seen)
+    assert all(len(row.key) for row in rows if len(row.ids) < 64 * kind.itemsize)
