@@ -1,7 +1,7 @@
 """Operator 4, secret scans by structural confirmation.
 
-Three plain patterns report assignments, access keys and hex strings.  On top of these, base64 and hex
-candidates are decoded and reported only if their bytes parse as what they claim to be: a private key in DER
+Three plain patterns report assignments, access keys and hex strings.  On top of these, every maximal base64
+or hex run over a small length, alone and together with the runs of the lines around it, is decoded and reported only if their bytes parse as what they claim to be: a private key in DER
 (nested lengths must fill the outer length exactly), an OpenSSH key container (every counted string must lie
 inside the blob), or a signed token (JSON header with a known algorithm, decodable claims, signature of the
 length that the algorithm makes).  PEM blocks and text encoded a second time are unwrapped first.
@@ -29,9 +29,14 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")          # runs are maximal, so this is `[0-9a-f]+` of 32 or more
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([A-Za-z0-9+/=\s:,-]*?)-----END [A-Z0-9 ]*PRIVATE KEY-----")
-BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC|LS0tLS|ey)[A-Za-z0-9+/_-]{22,}={0,2}")
-HEXBLOB = re.compile(r"(?<![0-9A-Za-z])(?:30|6[fF]70656[eE]|2[dD]2[dD]2[dD]|6579)(?:[0-9a-fA-F]{2}){20,}(?![0-9A-Za-z])")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+#: Runs are maximal; the letter of an escaped line break and `0x` before them are no part of them.
+BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?<=\\)[nrt])?([A-Za-z0-9+/_-]{22,}={0,2})")
+BLOB_END = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+PLAIN64 = re.compile(r"[A-Za-z0-9+/]{22,}={0,2}")
+HEXBLOB = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=0[xX])|(?<=\\[nrt]))((?:[0-9a-fA-F]{2}){16,})(?![0-9A-Za-z])")
+HEX_END = re.compile(r"(?:[0-9a-fA-F]{2})+(?![0-9A-Za-z])")
+BREAK = re.compile(r"""["']?[\x20\t]*\+?[\x20\t]*(?:\\+[rn]|["'+\s]){1,40}""")     # between two lines, also of a source string
+TOKEN = re.compile(r"(?:(?<![A-Za-z0-9_.-])|(?<=\\[nrt]))(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 #: Signature bytes by algorithm (JSON Web Algorithms); None: any length from 128 (RSA moduli).
 SIGNATURE_BYTES = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "ES256K": 64,
                    "EdDSA": 64, "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None}
@@ -153,6 +158,50 @@ def kind_of_bytes(data: bytes | None, depth: int) -> str | None:
     return None
 
 
+def unhex(text: str) -> bytes | None:
+    return bytes.fromhex(text) if len(text) % 2 == 0 else None
+
+
+def blocks(text: str, runs: list[tuple[int, int]], last: re.Pattern):
+    """Runs of one width that only line breaks divide, as lists of spans; and the shorter run on the line after
+    them, or None."""
+    at = 0
+    while at < len(runs):
+        to = at + 1
+        width = runs[at][1] - runs[at][0]
+        while (to < len(runs) and runs[to][1] - runs[to][0] == width and runs[to][0] - runs[to - 1][1] <= 50
+               and BREAK.fullmatch(text, runs[to - 1][1], runs[to][0])):
+            to += 1
+        tail = None
+        if gap := BREAK.match(text, runs[to - 1][1]):
+            m = last.match(text, gap.end())
+            tail = m.span() if m and m.end() - m.start() <= width else None
+        yield runs[at:to], tail
+        at = to
+
+
+def confirmed(text: str, pattern: re.Pattern, last: re.Pattern, decode, depth: int, covered: list):
+    """(kind, start, end) of the runs that decode to something known: whole blocks of lines first, then run by run."""
+    runs = [m.span(1) for m in pattern.finditer(text)]
+    runs = [r for r in runs if not any(a <= r[0] and r[1] <= b for a, b in covered)]
+    for lines, tail in blocks(text, runs, last):
+        whole = None
+        for some in ([*lines, tail] if tail else [], lines if len(lines) > 1 else []):
+            if some and (kind := kind_of_bytes(decode("".join(text[a:b] for a, b in some)), depth)):
+                whole = (kind, some[0][0], some[-1][1])
+                break
+        if whole and not (len(lines) == 1 and kind_of_bytes(decode(text[slice(*lines[0])]), depth)):
+            yield whole
+            continue
+        for a, b in lines:
+            if kind := kind_of_bytes(decode(text[a:b]), depth):
+                yield kind, a, b
+            elif decode is unbase64 and ("-" in text[a:b] or "_" in text[a:b]):    # a name joined to a blob
+                for m in PLAIN64.finditer(text, a, b):
+                    if kind := kind_of_bytes(decode(m[0]), depth):
+                        yield kind, m.start(), m.end()
+
+
 def structures(text: str, depth: int = 2) -> list[tuple[str, int, int]]:
     """Confirmed (kind, start, end), each candidate once, PEM blocks before what lies inside them."""
     found, covered = [], []
@@ -167,12 +216,10 @@ def structures(text: str, depth: int = 2) -> list[tuple[str, int, int]]:
             if is_token(*m.groups()):
                 found.append(("token", m.start(), m.end()))
                 covered.append(m.span())
-    for pattern, decode in ((BLOB, unbase64), (HEXBLOB, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            if any(a <= m.start() and m.end() <= b for a, b in covered):
-                continue
-            if kind := kind_of_bytes(decode(m[0]), depth):
-                found.append((kind, m.start(), m.end()))
+    for pattern, last, decode in ((BLOB, BLOB_END, unbase64), (HEXBLOB, HEX_END, unhex)):
+        more = list(confirmed(text, pattern, last, decode, depth, covered))
+        found += more
+        covered += [(a, b) for _, a, b in more]
     return found
 
 

@@ -95,3 +95,24 @@ def test_redact(spark):
     df = df.selectExpr("*", "1 as spans", "0L as n_chars")
     got = [(r.text, r.n_chars) for r in S.redact(df).orderBy("doc_id").collect()]
     assert got == [(None, None), ("a <assign> b", 12), ('key = "<hex>"', 13), ("<key>!", 6)]
+
+
+def lines(text, width=64, by="\n"):
+    return by.join(text[i:i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("text,kind", [
+    (b64(b64(PKCS1).encode()), "key"), (b64(token().encode()), "token"), (b64(b64(OPENSSH).encode()), "key"),
+    (b64(PKCS8).encode().hex(), "key"), (b64(PKCS8.hex().encode()), "key"), (lines(b64(PKCS8)), "key"), (lines(b64(PKCS1), 76, "\r\n"), "key"),
+    (lines(PKCS8.hex()), "key"), (lines(b64(PKCS8), 64, "\\n"), "key"), (lines(b64(token().encode()), 40), "token"),
+    (lines(b64(PKCS1), 64, '" +\n   "'), "key")])
+def test_every_run_is_a_candidate(text, kind):
+    for before, after in (("héllo ", " end"), ("a 0x", "\nend") if kind == "key" and text[:2] in ("30", "4d") else ("key: \"", "\"\nend"), ("x\\n", " ")):
+        found = [s for s in S.scan_text(before + text + after) if s[0] in ("key", "token")]
+        assert found == [(kind, len(before), len(before) + len(text))]
+
+
+def test_runs_joined_to_names_and_runs_of_nothing():
+    assert [s for s in S.scan_text("my_name_" + b64(PKCS8)) if s[0] == "key"] == [("key", 8, 8 + len(b64(PKCS8)))]
+    nothing = "\n".join([hashlib.sha256(bytes([i])).hexdigest() for i in range(50)] + [b64(bytes(range(48)))] * 20)
+    assert not [s for s in S.scan_text(nothing) if s[0] in ("key", "token")]
