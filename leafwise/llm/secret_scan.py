@@ -4,7 +4,8 @@ Three plain patterns report assignments, access keys and hex strings.  On top of
 or hex run over a small length, alone and together with the runs of the lines around it, is decoded and reported only if their bytes parse as what they claim to be: a private key in DER
 (nested lengths must fill the outer length exactly), an OpenSSH key container (every counted string must lie
 inside the blob), or a signed token (JSON header with a known algorithm, decodable claims, signature of the
-length that the algorithm makes).  PEM blocks and text encoded a second time are unwrapped first.
+length that the algorithm makes).  An encrypted PEM key of the traditional form is ciphertext, so its Proc-Type
+and DEK-Info headers confirm it.  PEM blocks and text encoded a second time are unwrapped first.
 
 Defined results: null text counts as empty and yields no span; spans are code points, end exclusive, and may
 overlap across kinds; repeated rows are scanned one by one; an empty table gives an empty result; columns of
@@ -28,7 +29,12 @@ BASE = KINDS[:3]
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")          # runs are maximal, so this is `[0-9a-f]+` of 32 or more
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([A-Za-z0-9+/=\s:,-]*?)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+#: The body may be a JSON or source string: escaped line breaks and slashes, quotes and joins between lines.
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([A-Za-z0-9+/=\s:,\\\"'-]*?)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+PEM_BREAK = re.compile(r"""(?:\\+u000[aAdD]|\\+[rn]|[\r\n])+""")
+PEM_JOIN = re.compile(r"""["'][\x20\t]*\+?[\x20\t]*$|^[\x20\t]*\+?[\x20\t]*["']|[\s"'\\]""")
+ENCRYPTED = re.compile(r"^[\s\"'+]*Proc-Type:\s*4,\s*ENCRYPTED\b", re.M)
+DEK = re.compile(r"^[\s\"'+]*DEK-Info:\s*[A-Z0-9-]+,\s*(?:[0-9A-Fa-f]{16}){1,2}\b", re.M)
 #: Runs are maximal; the letter of an escaped line break and `0x` before them are no part of them.
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?<=\\)[nrt])?([A-Za-z0-9+/_-]{22,}={0,2})")
 BLOB_END = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -79,7 +85,7 @@ def children(data: bytes, start: int, end: int):
 
 
 def is_private_der(data: bytes) -> bool:
-    """PKCS 1, PKCS 8 (also encrypted) or SEC 1 private key whose nested lengths agree."""
+    """PKCS 1, DSA, PKCS 8 (also encrypted) or SEC 1 private key whose nested lengths agree."""
     outer = read_element(data, 0, len(data))
     if outer is None or outer[0] != 0x30 or outer[2] != len(data):
         return False
@@ -91,6 +97,8 @@ def is_private_der(data: bytes) -> bool:
     if tags[0] == 0x02 and first in (b"\x00", b"\x01"):
         if len(tags) >= 9 and all(t == 0x02 for t in tags[:9]):
             return True                                                    # PKCS 1: version and eight integers
+        if len(tags) == 6 and first == b"\x00" and all(t == 0x02 for t in tags):
+            return True                                                    # DSA: version and five integers
         if tags[1] == 0x04 and first == b"\x01":
             return parts[1][2] - parts[1][1] in (28, 32, 48, 66)           # SEC 1: version and scalar
         if len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
@@ -202,13 +210,20 @@ def confirmed(text: str, pattern: re.Pattern, last: re.Pattern, decode, depth: i
                         yield kind, m.start(), m.end()
 
 
+def is_private_pem(armoured: str) -> bool:
+    """What stands between the marks: a private key, or ciphertext under the headers of an encrypted one."""
+    rows = PEM_BREAK.sub("\n", armoured)
+    body = "".join(PEM_JOIN.sub("", x) for x in rows.split("\n") if ":" not in x)
+    data = unbase64(body)
+    return bool(data) and (kind_of_bytes(data, 0) is not None or bool(ENCRYPTED.search(rows) and DEK.search(rows)))
+
+
 def structures(text: str, depth: int = 2) -> list[tuple[str, int, int]]:
     """Confirmed (kind, start, end), each candidate once, PEM blocks before what lies inside them."""
     found, covered = [], []
     if "PRIVATE KEY" in text:
         for m in PEM.finditer(text):
-            body = "".join(x for x in m[1].split("\n") if ":" not in x)
-            if kind_of_bytes(unbase64(re.sub(r"\s", "", body)), 0):
+            if is_private_pem(m[1]):
                 found.append(("key", m.start(), m.end()))
                 covered.append(m.span())
     if "ey" in text and "." in text:

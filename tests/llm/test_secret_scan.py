@@ -116,3 +116,30 @@ def test_runs_joined_to_names_and_runs_of_nothing():
     assert [s for s in S.scan_text("my_name_" + b64(PKCS8)) if s[0] == "key"] == [("key", 8, 8 + len(b64(PKCS8)))]
     nothing = "\n".join([hashlib.sha256(bytes([i])).hexdigest() for i in range(50)] + [b64(bytes(range(48)))] * 20)
     assert not [s for s in S.scan_text(nothing) if s[0] in ("key", "token")]
+
+
+DSA = der(0x30, der(2, b"\0") + b"".join(number(n) for n in (128, 20, 128, 128, 19)))
+
+
+def pem(label, data, by="\n", headers=""):
+    return f"-----BEGIN {label}-----{by}{headers}{lines(b64(data), 64, by)}{by}-----END {label}-----"
+
+
+CIPHER = hashlib.sha512(b"x").digest() * 5
+
+
+@pytest.mark.parametrize("text", [
+    pem("PRIVATE KEY", PKCS8, "\\n"), pem("RSA PRIVATE KEY", PKCS1, "\\r\\n"), pem("PRIVATE KEY", PKCS8, "\\\\n"),
+    pem("PRIVATE KEY", PKCS8, "\\n\" +\n    \""), pem("PRIVATE KEY", PKCS8, "\\u000a"), pem("PRIVATE KEY", PKCS8, "\\n").replace("/", "\\/"),
+    pem("DSA PRIVATE KEY", DSA), b64(DSA),
+    pem("RSA PRIVATE KEY", CIPHER, "\n", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"),
+    pem("RSA PRIVATE KEY", CIPHER, "\\n", "Proc-Type: 4,ENCRYPTED\\nDEK-Info: DES-EDE3-CBC,0123456789ABCDEF\\n\\n")])
+def test_common_private_keys(text):
+    found = [s for s in S.scan_text('{"private": "' + text + '"}') if s[0] in ("key", "token")]
+    assert found == [("key", 13, 13 + len(text))]
+
+
+def test_armour_alone_is_no_key():
+    for text in (pem("RSA PRIVATE KEY", CIPHER), pem("RSA PRIVATE KEY", CIPHER, "\n", "Proc-Type: 4,ENCRYPTED\n\n"),
+                 pem("DSA PRIVATE KEY", DSA[:-1], "\\n")):
+        assert not [s for s in S.scan_text(text) if s[0] in ("key", "token")]
