@@ -2,9 +2,11 @@
 
 1. Every whole text becomes the set of its five-word shingles (64-bit hashes).  Equal sets are one *copy
    class*; all further work is on classes.
-2. A class has a signature of 128 min-hash bytes.  Each tree of the forest sorts the signatures by its own
+2. A class has a signature of 320 min-hash bytes.  Each tree of the forest sorts the signatures by its own
    order of positions; a prefix of that order is a node of the tree's trie.  Matched prefixes are shortened
    from full depth until two sets at the threshold meet in some tree with the target recall (``trie_depth``).
+   The first ``OWN`` positions of a tree stand in no other tree, so up to that depth the trees are independent,
+   as the recall assumes.  The depth is one for all sets; it follows from the threshold, not from the data.
 3. Classes below one node are compared by signature with pivots: a row close to a pivot is linked to it, a row
    very close is also represented by it from then on.  This runs first inside each input partition, so a hot
    group reaches the shuffle as a few pivots, then across partitions.  Links form loose clusters.
@@ -38,8 +40,9 @@ from leafwise.llm.common import documents, map_columns, saved
 
 WORDS = 5
 THRESHOLD = 0.8
-POSITIONS = 128
 TREES = 40
+OWN = 8                          # positions of a tree that no other tree has
+POSITIONS = TREES * OWN
 FULL_DEPTH = 16
 TARGET_RECALL = 0.999
 NEAR, SAME = 0.5, 0.92           # signature estimates: linked to a pivot, represented by it
@@ -86,7 +89,8 @@ def shingles(text: str | None, words: dict) -> np.ndarray:
 _RNG = np.random.default_rng(20240607)
 _MUL = (_RNG.integers(0, 1 << 32, POSITIONS, np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, POSITIONS, np.uint64).astype(np.uint32)
-_ORDERS = np.stack([_RNG.permutation(POSITIONS)[:FULL_DEPTH] for _ in range(TREES)])
+_ORDERS = np.stack([np.concatenate([own, _RNG.permutation(np.setdiff1d(np.arange(POSITIONS), own))[:FULL_DEPTH - OWN]])
+                    for own in _RNG.permutation(POSITIONS).reshape(TREES, OWN)])
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:

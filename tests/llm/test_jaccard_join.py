@@ -105,3 +105,12 @@ def test_pivot_links_span_every_close_pair():
     for a, b in itertools.combinations(range(300), 2):
         if J.similarity(rows[a:a + 1], rows[b])[0] >= 0.8:
             assert top(a) == top(b)
+
+
+def test_recall_at_the_threshold_with_the_positions_that_trees_share():
+    """Pairs agree at each position with 0.8; the trees' own orders decide whether they meet."""
+    rng, depth, met, n = np.random.default_rng(3), J.trie_depth(), 0, 200_000
+    for _ in range(10):
+        equal = rng.random((n // 10, J.POSITIONS)) < 0.8
+        met += int(np.logical_or.reduce([equal[:, J._ORDERS[t, :depth]].all(1) for t in range(J.TREES)]).sum())
+    assert met / n >= J.TARGET_RECALL
