@@ -5,7 +5,7 @@ windows stand alone, the last part goes on to retrieval.  Terms are counted over
 parts are sorted across partitions by their rarest shared terms (``ordered``), so that parts from anywhere in
 the corpus that share these stand side by side; a partition is read in shards of up to ``shard_docs`` parts
 that end, where possible, between two rarest terms.  Each shard builds a BM25 inverted index over its parts,
-weighted by the corpus-wide counts; a seed queries it with its strongest terms, the best unused neighbours fill
+weighted by the corpus-wide counts; a seed queries it with all its terms, the best unused neighbours fill
 the seed's window, and a neighbour that does not fit is cut: its rest seeds the next window.  Windows stay open
 from shard to shard, so that only the last window of a partition is padded.
 
@@ -229,7 +229,7 @@ def term_weights(n: int, df: np.ndarray) -> np.ndarray:
 class Shard:
     """BM25 over the parts of one shard; ``weights`` are corpus-wide term weights, by default the shard's own."""
 
-    def __init__(self, parts: list[np.ndarray], query_terms: int, k1: float = 1.2, b: float = 0.75,
+    def __init__(self, parts: list[np.ndarray], query_terms: int | None = None, k1: float = 1.2, b: float = 0.75,
                  weights: np.ndarray | None = None):
         n = len(parts)
         sizes = np.array([len(p) for p in parts], np.int64)
@@ -274,7 +274,7 @@ class Shard:
 class Packer:
     """Fills windows for one partition; ``put`` collects pieces."""
 
-    def __init__(self, partition: int, window: int, query_terms: int, kind: np.dtype, weights: np.ndarray | None = None):
+    def __init__(self, partition: int, window: int, query_terms: int | None, kind: np.dtype, weights: np.ndarray | None = None):
         self.weights = weights
         self.next_id, self.window, self.query_terms, self.kind = partition << 40, window, query_terms, kind
         self.sequence, self.room, self.pieces = None, 0, []
@@ -335,9 +335,9 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID,
-                   shard_docs: int = 2048, query_terms: int = 24) -> DataFrame:
+                   shard_docs: int = 2048, query_terms: int | None = None) -> DataFrame:
     """Pieces of sequences: doc_id, start, length, ids (little-endian unsigned 32 bit), doc_tokens, sequence_id,
-    offset.  A partition's rows are sorted first, so a task that runs again makes the same sequences."""
+    offset.  ``query_terms`` bounds a seed's query to its strongest terms; None asks for all.  A partition's rows are sorted first, so a task that runs again makes the same sequences."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
     path = tokenizer or default_tokenizer()

@@ -124,3 +124,12 @@ def test_full_windows_take_no_place_in_the_order(spark):
     seen = [len(row.key) for row in rows if len(row.ids) == 64 * kind.itemsize]
     assert n == 50 and len(seen) > 30 * 60 and not any(seen)
     assert all(len(row.key) for row in rows if len(row.ids) < 64 * kind.itemsize)
+
+
+def test_neighbours_by_any_shared_term():
+    """The seed shares thirty terms with one part, and with another only terms that are weaker than these."""
+    seed, weak = np.arange(100, 131), np.arange(500, 504)
+    parts = [np.concatenate([np.repeat(seed, 3), weak]), np.repeat(seed, 3), weak, np.array([900, 901])]
+    assert list(P.Shard(parts).neighbours(0, np.array([False, True, True, True]))) == [1, 2]
+    assert list(P.Shard(parts, 24).neighbours(0, np.array([False, True, True, True]))) == [1]
+    assert P.pack_documents.__defaults__[-1] is None
