@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from leafwise.llm import (ann_search, chat_format, jaccard_join, packing, pii_bootstrap, quality_classifier, quality_rules,
-                          secret_scan, sentencepiece_codec, toxicity)
+from leafwise.llm import (ann_search, chat_format, exact_dedup, jaccard_join, packing, pii_bootstrap, quality_classifier,
+                          quality_rules, secret_scan, sentencepiece_codec, toxicity)
 
 MODULES = [ann_search, packing, secret_scan, toxicity, chat_format, jaccard_join, quality_classifier,
-           quality_rules, pii_bootstrap, sentencepiece_codec]
+           quality_rules, pii_bootstrap, sentencepiece_codec, exact_dedup]
 
 
 def queries() -> dict:
