@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from leafwise.llm import (ann_search, chat_format, exact_dedup, hard_negatives, jaccard_join, packing, pii_bootstrap, quality_classifier,
-                          quality_rules, secret_scan, sentencepiece_codec, toxicity)
+from leafwise.llm import (ann_search, chat_format, collocations, exact_dedup, hard_negatives, jaccard_join, packing, pii_bootstrap,
+                          quality_classifier, quality_rules, secret_scan, sentencepiece_codec, toxicity)
 
 MODULES = [ann_search, packing, secret_scan, toxicity, chat_format, jaccard_join, quality_classifier,
-           quality_rules, pii_bootstrap, sentencepiece_codec, exact_dedup, hard_negatives]
+           quality_rules, pii_bootstrap, sentencepiece_codec, exact_dedup, hard_negatives, collocations]
 
 
 def queries() -> dict:
