@@ -17,8 +17,8 @@ columns are not read.  A part whose terms nobody shares is followed by the next
 from __future__ import annotations
 
 import functools
-from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,13 @@ from leafwise.llm.common import documents, saved
 WINDOW = 2048
 END_ID = 1
 CACHED_WORDS = 1_200_000
-CLOSING = (".", ",", ";", ":", "!", "?", ")")
+CLOSING = frozenset((".", ",", ";", ":", "!", "?", ")"))
 KEY_TERMS = 8               # rarest shared terms of a part that place it among the others
-TEXT_CHARS = 1_000_000      # texts are split into words so many characters at a time
+TEXT_CHARS = 4_000_000      # texts are split into words so many characters at a time
 #: Byte-level vocabularies write printable Latin-1 bytes as they are and the other bytes, in order, from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 SPELLING = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+FULL = 1 << 39              # sequence numbers of full windows have this bit, those of other windows do not
 PARTS = "doc_id long, start long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -60,18 +61,30 @@ class WordEncoder:
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.mark = "<|endoftext|>"
         self.mark_id = self.model.token_to_id(self.mark)
+        # The same pieces without the rules for text that is not in normal form: for words that are, in one call.
+        self.plain = Tokenizer(self.model.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.model.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """One byte string of ids per text (element type ``kind``), without the end id."""
         split = [self.words(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.known.__getitem__, w)) for w in split]
+        new: set[str] = set()
+        for words in split:
+            new.update(filterfalse(self.known.__contains__, words))
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known.clear()
+            new = set().union(*split)
+        self.learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -80,34 +93,39 @@ class WordEncoder:
             text = text.lower()
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes what is not known; a letter word with one closing mark is its stem, then the mark."""
-        known = self.known
-        new = words.difference(known)
+    def learn(self, new: set[str]) -> None:
+        """Encodes words that are not known; a letter word with one closing mark is its stem, then the mark."""
         if not new:
             return
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = words
-        marked = [w for w in new if w[-1:] in CLOSING and (s := w[:-1]).isalpha() and (s.isascii() or s.lower().isalpha())]
+        known = self.known
+        marked = [w for w in new if w[-1:] in CLOSING and w[:-1].isalpha() and (w.isascii() or w[:-1].lower().isalpha())]
         todo = new.difference(marked)
         todo.update(CLOSING)
         todo.update([w[:-1] for w in marked])
-        tokenise, rest = self.model.model.tokenize, set()
-        code = "H" if self.kind.itemsize == 2 else "I"
-        for w in todo.difference(known):
-            # A word of Latin-1 letters is one pre-token, in normal form already; its bytes are spelt as the
-            # byte-level vocabulary spells them.
-            if w.isalpha() and (w.isascii() or max(w) < "\u0100"):
-                w8 = w.lower()
-                spelt = w8 if w8.isascii() else w8.encode().decode("latin-1").translate(SPELLING)
-                known[w] = array(code, [t.id for t in tokenise(spelt)]).tobytes()
-            else:
-                rest.add(w)
-        self.encode(rest)
+        todo.difference_update(known)
+        # A word of Latin-1 letters is one pre-token, in normal form already; its bytes are spelt as the
+        # byte-level vocabulary spells them.
+        letters = [w for w in todo if w.isalpha()]
+        plain = [w for w in letters if w.isascii()]
+        latin = [w for w in letters if not w.isascii() and max(w) < "\u0100"]
+        self.encode(todo.difference(plain, latin))
+        known.update(zip(plain, self.spelt([w.lower() for w in plain])))
+        known.update(zip(latin, self.spelt([w.lower().encode().decode("latin-1").translate(SPELLING) for w in latin])))
         for w in marked:
             known[w] = known[w[:-1]] + known[w[-1]]
 
+    def spelt(self, forms: list[str]) -> list[bytes]:
+        """ids of words spelt in the vocabulary's letters: one call for all, cut after the pieces that end a word."""
+        if not forms:
+            return []
+        ids = np.array(self.plain.encode_batch_fast([" ".join(forms)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.nonzero(self.ends_word[ids])[0] + 1
+        if len(ends) != len(forms):         # a vocabulary without such pieces
+            return [np.array([t.id for t in self.model.model.tokenize(f)], self.kind).tobytes() for f in forms]
+        data, wide = ids.tobytes(), self.kind.itemsize
+        cut = [0, *(ends * wide).tolist()]
+        return [data[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
     def encode(self, words: set[str]) -> None:
         """Encodes unknown words in one text, divided by a special token of the vocabulary."""
         new = words.difference(self.known)
@@ -206,19 +224,19 @@ def part_key(ids: np.ndarray, rank: np.ndarray) -> bytes:
 
 
 def ordered(parts: DataFrame, rank: np.ndarray, kind: np.dtype, window: int) -> DataFrame:
-    """Parts in the order of their rarest shared terms, by ranges; full windows, which need no neighbours, have an
-    empty key.  Many parts of one key are told apart by ``deal``, so a range can end between them."""
+    """Parts under ``window`` ids in the order of their rarest shared terms, by ranges.  Many parts of one key are told
+    apart by ``deal``, so a range can end between them."""
     from pyspark.sql.pandas.types import to_arrow_schema
     shared = parts.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [np.frombuffer(b, kind) for b in batch.column(3).to_pylist()]
-            key = [part_key(ids, shared.value) if len(ids) < window else b"" for ids in held]
+            key = [part_key(ids, shared.value) for ids in held]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.binary())],
                                              names=[*batch.schema.names, "key"])
 
-    keyed = parts.mapInArrow(run, f"{PARTS}, deal long, key binary")
+    keyed = parts.where(F.length("ids") < window * kind.itemsize).mapInArrow(run, f"{PARTS}, deal long, key binary")
     return keyed.repartitionByRange("key", "deal").sortWithinPartitions("key", "deal", "doc_id", "start", "ids")
 
 
@@ -244,7 +262,16 @@ class Shard:
         order = np.argsort(term.astype(np.uint16) if len(df) <= 1 << 16 else term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.post_at = np.concatenate([[0], np.cumsum(df)])
-        self.query_terms = query_terms
+        self.query_terms, self.listed = query_terms, n
+
+    def drop_used(self, unused: np.ndarray) -> None:
+        """Takes used parts out of the posting lists, each time that half of the parts listed there are used."""
+        left = int(unused.sum())
+        if 2 * left > self.listed:
+            return
+        stay = unused[self.post_doc]
+        self.post_at = np.concatenate([[0], np.cumsum(stay)])[self.post_at]
+        self.post_doc, self.post_weight, self.listed = self.post_doc[stay], self.post_weight[stay], left
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused parts that share a query term with the seed, best first."""
@@ -254,7 +281,8 @@ class Shard:
         terms = self.term[a:b][top[strength[top] > 0]]
         if not len(terms):
             return
-        at = [(self.post_at[t], self.post_at[t + 1]) for t in terms]
+        self.drop_used(unused)
+        at = list(zip(self.post_at[terms].tolist(), self.post_at[terms + 1].tolist()))
         score = np.bincount(np.concatenate([self.post_doc[x:y] for x, y in at]),
                             np.concatenate([self.post_weight[x:y] for x, y in at]), minlength=self.n)
         score = np.where(unused, score, 0.0)
@@ -291,42 +319,33 @@ class Packer:
     def pack(self, rows: list) -> list[tuple]:
         """rows: (doc_id, start, doc_tokens, ids).  Returns the pieces of these rows."""
         self.pieces = []
-        held = (self.sequence, self.room)
-        short = []
-        for r in rows:
-            if len(r[3]) == self.window:
-                self.open()
-                self.put(r, 0, self.window)
-            else:
-                short.append(r)
-        self.sequence, self.room = held
-        if short:
-            index = Shard([r[3] for r in short], self.query_terms, weights=self.weights)
-            unused = np.ones(len(short), bool)
+        if rows:
+            index = Shard([r[3] for r in rows], self.query_terms, weights=self.weights)
+            unused = np.ones(len(rows), bool)
             front = 0
             seed, cut = None, 0
             while True:
                 if seed is None:
-                    while front < len(short) and not unused[front]:
+                    while front < len(rows) and not unused[front]:
                         front += 1
-                    if front == len(short):
+                    if front == len(rows):
                         break
                     seed, cut = front, 0
                     unused[seed] = False
                 if self.room == 0:
                     self.open()
-                take = min(len(short[seed][3]) - cut, self.room)
-                self.put(short[seed], cut, cut + take)
-                if cut + take < len(short[seed][3]):
+                take = min(len(rows[seed][3]) - cut, self.room)
+                self.put(rows[seed], cut, cut + take)
+                if cut + take < len(rows[seed][3]):
                     cut += take
                     continue
                 over = None
                 if self.room:
                     for d in index.neighbours(seed, unused):
                         unused[d] = False
-                        take = min(len(short[d][3]), self.room)
-                        self.put(short[d], 0, take)
-                        if take < len(short[d][3]):
+                        take = min(len(rows[d][3]), self.room)
+                        self.put(rows[d], 0, take)
+                        if take < len(rows[d][3]):
                             over = (d, take)
                         if self.room == 0:
                             break
@@ -334,6 +353,29 @@ class Packer:
         return self.pieces
 
 
+def full_windows(parts: DataFrame, kind: np.dtype, window: int) -> DataFrame:
+    """Parts of ``window`` ids are sequences as they are and need no neighbours: straight from the stored parts."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+    schema = _parse_datatype_string(PIECES)
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 40 | FULL
+        for batch in batches:
+            n = batch.num_rows
+            ids = [np.frombuffer(b, kind).astype("<u4").tobytes() for b in batch.column(3).to_pylist()]
+            length, sequence = np.full(n, window, np.int64), np.arange(number, number + n)
+            number += n
+            columns = [batch.column(0), batch.column(1), length, ids, batch.column(2), sequence, np.zeros(n, np.int64)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, target)],
+                                             schema=target)
+
+    whole = parts.where(F.length("ids") == window * kind.itemsize)
+    return whole.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(run, schema)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID,
                    shard_docs: int = 2048, query_terms: int | None = None) -> DataFrame:
     """Pieces of sequences: doc_id, start, length, ids (little-endian unsigned 32 bit), doc_tokens, sequence_id,
@@ -358,26 +400,18 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
             cols = list(zip(*packer.pack(rows)))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target)], schema=target)
 
-        full, short, rarest = [], [], None
+        short, rarest = [], None
         for batch in batches:
             for doc, start, total, ids, key in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                row = (doc, start, total, np.frombuffer(ids, kind))
-                if len(row[3]) == window:
-                    full.append(row)
-                    if len(full) == shard_docs:
-                        yield emit(full)
-                        full = []
-                    continue
                 if len(short) == shard_docs or 2 * len(short) >= shard_docs and key[:4] != rarest:
                     yield emit(short)
                     short = []
-                short.append(row)
+                short.append((doc, start, total, np.frombuffer(ids, kind)))
                 rarest = key[:4]
-        for rows in (full, short):
-            if rows:
-                yield emit(rows)
+        if short:
+            yield emit(short)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema).unionByName(full_windows(parts, kind, window))
 
 
 def digest(pieces: DataFrame) -> DataFrame:

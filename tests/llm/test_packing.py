@@ -67,6 +67,9 @@ def test_one_partition_pads_its_last_window_only(spark):
         ids = np.frombuffer(encoder([t])[0] + b"\x01\x00", encoder.kind)
         total += len(ids)
         parts += [(d, a, len(ids), ids[a:a + 256]) for a in range(0, len(ids), 256)]
+    full = [p for p in parts if len(p[3]) == 256]
+    parts = [p for p in parts if len(p[3]) < 256]
+    rows += [(d, a, 256, zlib.crc32(ids.astype("<u4").tobytes()), n, -1 - i, 0) for i, (d, a, n, ids) in enumerate(full)]
     for at in range(0, len(parts), 100):
         rows += [(d, a, n, zlib.crc32(b), t, s, o) for d, a, n, b, t, s, o in packer.pack(parts[at:at + 100])]
     check(rows, dict(zip(docs, whole(docs.values()))), 256)
@@ -115,15 +118,32 @@ def test_near_parts_meet_from_anywhere_in_the_corpus(spark):
     assert whole_corpus > 250 and near(60) > 0.9 * whole_corpus
 
 
-def test_full_windows_take_no_place_in_the_order(spark):
+def test_full_windows_do_not_pass_the_range_shuffle(spark):
     texts = ["the same long text of a hot source " * 600 for _ in range(30)] + ["few words here"] * 20
     kind = P.id_kind(P.default_tokenizer())
     parts = P.tokenise(docs_frame(spark, texts), window=64).withColumn("deal", F.xxhash64("doc_id", "start"))
     n, df = P.term_counts(parts, kind, 64)
     rows = P.ordered(parts, P.ranks(df), kind, 64).collect()
-    seen = [len(row.key) for row in rows if len(row.ids) == 64 * kind.itemsize]
-    assert n == 50 and len(seen) > 30 * 60 and not any(seen)
-    assert all(len(row.key) for row in rows if len(row.ids) < 64 * kind.itemsize)
+    full = P.full_windows(parts, kind, 64).collect()
+    assert n == len(rows) == 50 and all(len(row.key) and len(row.ids) < 64 * kind.itemsize for row in rows)
+    assert len(full) > 30 * 60 and len({r.sequence_id for r in full}) == len(full)
+    pieces = P.digest(P.pack_documents(docs_frame(spark, texts), window=64)).collect()
+    check([tuple(r) for r in pieces], dict(enumerate(whole(texts))), 64)
+
+
+def test_used_parts_leave_the_postings():
+    r = random.Random(9)
+    parts = [np.array(r.choices(range(60), k=r.randint(1, 20))) for _ in range(80)]
+    index, unused = P.Shard(parts), np.ones(80, bool)
+    while unused.sum() > 1:
+        seed = int(np.nonzero(unused)[0][0])
+        unused[seed] = False
+        got = list(index.neighbours(seed, unused))
+        fresh = P.Shard(parts)
+        fresh.drop_used = lambda _: None
+        assert got == list(fresh.neighbours(seed, unused))
+        unused[got[:3]] = False
+    assert index.listed < 40 and len(index.post_doc) < 40 * 20
 
 
 def test_neighbours_by_any_shared_term():
