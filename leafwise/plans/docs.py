@@ -24,8 +24,10 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafwise.functions.values import FIELD_SEP
 from leafwise.sources.tables import table
 
 SCHEMA_ID = "orders_v1"
@@ -95,6 +97,27 @@ def loose_item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.parse_json(F.to_json(gt)).alias("gt"), F.parse_json(F.to_json(F.concat(pred, extra))).alias("pred"))
 
 
+def long_item_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements (array_id, side, pos, s, f) of one array per return flag: every line item with an id of its own; the
+    prediction drops linenumber % 5 = 0 and raises the quantity by partkey % 3."""
+    keys = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+            "l_linestatus", "l_shipdate"]
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *keys)
+    i = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*keys)) - 1
+    li = li.withColumn("i", i).select(
+        F.col("l_returnflag").alias("array_id"), (F.col("l_orderkey") * 10_000 + F.col("i")).alias("pos"), "l_linenumber", "l_partkey",
+        F.col("l_quantity").cast("long").alias("q"), F.when(F.col("l_linestatus") == "F", F.lit("True")).otherwise(F.lit("False")).alias("shipped"),
+        F.concat(F.lit("line-"), F.lpad(F.col("l_orderkey").cast("string"), 10, "0"), F.lit("-"), F.lpad(F.col("i").cast("string"), 4, "0")).alias("id"))
+
+    def side(number, rows, quantity):
+        shown = [("id", F.col("id")), ("quantity", quantity.cast("string")), ("shipped", F.col("shipped"))]
+        text = F.concat(F.lit("{"), F.array_join(F.array(*[F.concat(F.lit(k + ":"), v) for k, v in shown]), ","), F.lit("}"))
+        return rows.select("array_id", F.lit(number).alias("side"), "pos", text.alias("s"),
+                           F.array(*[F.concat(F.lit(k + FIELD_SEP), v) for k, v in shown]).alias("f"))
+    kept = li.where("l_linenumber % 5 <> 0")
+    return side(0, li, F.col("q")).unionByName(side(1, kept, F.col("q") + F.col("l_partkey") % 3))
+
+
 def document_pairs(spark: SparkSession, sf_dir: str, only=None) -> DataFrame:
     """(doc_key, schema_id, gt VARIANT, pred VARIANT) for every order with its line items; ``only`` is a condition on
     o_orderkey, which reaches both scans."""

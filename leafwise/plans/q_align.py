@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafwise.operators import align, boards
+from leafwise.operators import align, boards, sparse_match
 from leafwise.operators.schema import schema_nodes
 from leafwise.plans import docs
 from leafwise.session import spread
@@ -448,6 +448,45 @@ wts AS (SELECT a.ok, a.i, b.j, gn.n, pn.m,
 SQL["object_assignment"] = _optimal_sql(_LOOSE_WTS, _NAME_COUNTS)
 
 
+@q("sparse_array_match")
+def sparse_array_match(spark, sf):
+    """The same arrays as ``object_assignment``, paired over edges instead of matrices."""
+    pairs = align.cut_lineage(docs.loose_item_pairs(spark, sf))
+    elements = align.cut_lineage(sparse_match.elements_of(pairs, "doc_key", as_array(F.col("gt")), as_array(F.col("pred"))))
+    every = pairs.select(F.col("doc_key").alias("array_id"), F.size(as_array(F.col("gt"))).alias("n"), F.size(as_array(F.col("pred"))).alias("m"))
+    found = sparse_match.totals(elements, sparse_match.sparse_match(elements)).drop("n", "m")
+    return every.join(found, "array_id", "left").select(
+        F.col("array_id").alias("doc_key"), "n", "m", F.coalesce("matched", F.lit(0)).alias("matched"),
+        F.coalesce("total_weight", F.lit(0.0)).alias("total_weight"))
+
+
+SQL["sparse_array_match"] = _optimal_sql(_LOOSE_WTS, _NAME_COUNTS)
+
+
+@q("sparse_long_arrays")
+def sparse_long_arrays(spark, sf):
+    """All line items of a return flag as one array: a third of the table, far too long for a matrix in a row."""
+    elements = align.cut_lineage(docs.long_item_arrays(spark, sf))
+    return sparse_match.totals(elements, sparse_match.sparse_match(elements))
+
+
+# Only an item's own prediction shares its id, which no other agreement outweighs: the best pairing is known.
+SQL["sparse_long_arrays"] = f"""
+WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER_COLS}) - 1 AS i FROM lineitem),
+e AS (SELECT l_returnflag AS array_id, l_linenumber % 5 <> 0 AS kept, CAST(l_quantity AS BIGINT) AS q,
+             CAST(l_quantity AS BIGINT) + l_partkey % 3 AS p,
+             CASE WHEN l_linestatus = 'F' THEN 'True' ELSE 'False' END AS shipped,
+             'line-' || lpad(CAST(l_orderkey AS VARCHAR), 10, '0') || '-' || lpad(CAST(i AS VARCHAR), 4, '0') AS id FROM li),
+w AS (SELECT array_id, kept,
+             20000 + 10 * (length(id) + length(shipped)) + (CASE WHEN p = q THEN 10000 + 10 * length(CAST(q AS VARCHAR)) ELSE 0 END)
+             - levenshtein('{{id:' || id || ',quantity:' || CAST(q AS VARCHAR) || ',shipped:' || shipped || '}}',
+                           '{{id:' || id || ',quantity:' || CAST(p AS VARCHAR) || ',shipped:' || shipped || '}}') AS t FROM e)
+SELECT array_id, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE kept) AS INTEGER) AS m,
+       CAST(count(*) FILTER (WHERE kept) AS INTEGER) AS matched,
+       CAST(coalesce(sum(t) FILTER (WHERE kept), 0) AS DOUBLE) / 10.0 AS total_weight
+FROM w GROUP BY array_id"""
+
+
 @q("json_flatten")
 def json_flatten(spark, sf):
     ev = docs.event_documents(spark, sf)
