@@ -28,7 +28,7 @@ NODE_SCHEMA = ("schema_id string, spath string, parent_spath string, name string
                "required boolean, nullable boolean, enum array<string>, description string, default_json string, "
                "closed boolean, unresolved_ref boolean, declared_type string, parts array<string>, order array<int>, "
                "q1 boolean, raw_type string, raw_description string, raw_enum array<string>, raw_items_type string, "
-               "depth int, items_type string")
+               "depth int, items_type string, any_type boolean")
 
 
 def schema_text(schemas: DataFrame):

@@ -252,3 +252,26 @@ def shaped_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("ord_"), k.cast("string")).alias("sample_id"), F.lit(SCHEMA_ID).alias("schema_id"),
         raw.alias("raw_response"), F.lit(None).cast("string").alias("error"))
+
+
+def loose_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One valid response per order whose values have other forms than declared: the order key as text (orderkey % 3 = 0),
+    with a fraction (1) or as it is; the total as text (orderkey % 4 = 0), as a number (1), in whole units (2) or
+    missing; one item per return flag word of the order with text and flag words; undeclared and reserved keys."""
+    k = F.col("o_orderkey")
+    ks, total = k.cast("string"), F.col("o_totalprice")
+    key = F.when(k % 3 == 0, F.concat(F.lit('" '), ks, F.lit('"'))).when(k % 3 == 1, F.concat(ks, F.lit(".0"))).otherwise(ks)
+    price = (F.when(k % 4 == 0, F.concat(F.lit(',"totalprice":"'), total.cast("string"), F.lit('"')))
+             .when(k % 4 == 1, F.concat(F.lit(',"totalprice":'), total.cast("string")))
+             .when(k % 4 == 2, F.concat(F.lit(',"totalprice":'), F.floor(total).cast("string"))).otherwise(F.lit("")))
+    item = F.concat(F.lit('{"zzz":[1,{"a":2}],"part":"'), (k % 100).cast("string"), F.lit('","quantity":'), (k % 50).cast("string"),
+                    F.lit('.0,"shipped":"'), F.when(k % 2 == 0, F.lit("Yes")).otherwise(F.lit("0")), F.lit('"}'))
+    items = F.when(k % 5 == 0, F.lit("[]")).otherwise(F.concat(F.lit("["), item, F.when(k % 5 > 2, F.concat(F.lit(","), item)).otherwise(F.lit("")), F.lit("]")))
+    customer = F.when(k % 6 == 0, F.lit("")).otherwise(F.concat(
+        F.lit(',"customer":{"evaluation_config":{"x":1},"name":"C'), F.col("o_custkey").cast("string"), F.lit('"'),
+        F.when(k % 6 == 1, F.lit(',"nation":"A \\"B\\""')).otherwise(F.lit("")), F.lit("}")))
+    raw = F.concat(F.lit('{"evaluation_config":"exact","items":'), items, F.lit(',"orderkey":'), key, F.lit(',"status":"'), F.col("o_orderstatus"),
+                   F.lit('"'), price, customer, F.lit(',"comment":null}'))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("ord_"), ks).alias("sample_id"), F.lit(SCHEMA_ID).alias("schema_id"), raw.alias("raw_response"),
+        F.lit(None).cast("string").alias("error"))
