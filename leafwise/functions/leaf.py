@@ -3,6 +3,7 @@ comparison, truthiness comparison, and the typed dispatcher."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from leafwise.functions.values import pyfloat, pystr, pystrip, truthy, vtype
 TOLERANCE = 0.05
 #: Metrics of further field types: type -> (actual VARIANT, predicted VARIANT) -> score Column between 0 and 1.
 USER_METRICS: dict = {}
+#: Metrics of further field types over batches: type -> (actual texts, predicted texts) -> scores.
+ARROW_METRICS: dict = {}
 
 
 def ned(a: Column, b: Column) -> Column:
@@ -50,9 +53,19 @@ def string_score(a: Column, p: Column, at: Column | None = None, pt: Column | No
     return ned(pystrip(pystr(a, at)), pystrip(pystr(p, pt)))
 
 
-def register_metric(field_type: str, metric) -> None:
-    """Score leaves of a declared type by ``metric(actual, predicted)``; it goes before the built-in ones."""
-    USER_METRICS[field_type] = metric
+def register_metric(field_type: str, metric, arrow: bool = False) -> None:
+    """Score leaves of a declared type by ``metric(actual, predicted)``; it goes before the built-in ones.
+
+    ``arrow``: the metric takes two pandas Series of texts (Python ``str`` of the values) and gives scores; it runs in
+    a stage of its own that gets the leaves of its type only.  Nulls are scored before it: both 1, one 0."""
+    (ARROW_METRICS if arrow else USER_METRICS)[field_type] = metric
+
+
+def arrow_score(metric, a: Column, p: Column) -> Column:
+    """``metric`` over batches of texts."""
+    def run(actual: pd.Series, predicted: pd.Series) -> pd.Series:
+        return metric(actual, predicted)
+    return F.pandas_udf(run, "double")(a, p)
 
 
 def leaf_score(a: Column, p: Column, field_type: Column, at: Column | None = None,

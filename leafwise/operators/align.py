@@ -16,11 +16,13 @@ unmatched predictions get index n + j.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.functions.leaf import USER_METRICS, element_similarity, leaf_score
-from leafwise.functions.values import FIELD_SEP, as_array, as_map, element_info, kind_of, truthy, typed, vtype
+from leafwise.functions.leaf import ARROW_METRICS, USER_METRICS, arrow_score, element_similarity, leaf_score
+from leafwise.functions.values import FIELD_SEP, as_array, as_map, element_info, kind_of, pystr, truthy, typed, vtype
 from leafwise.operators.assignment import with_match
 from leafwise.session import cut_lineage, small_side, spread
 
@@ -122,12 +124,27 @@ def _classed(rows: DataFrame, nodes: DataFrame | None) -> DataFrame:
     is_obj = (ft == "object") | (gk == "object") | (pk == "object")
     is_arr = (ft == "array") | (gk == "array") | (pk == "array")
     cls = F.when(fixed.isNotNull(), F.lit("leaf")).when(is_obj, F.lit("object")).when(is_arr, F.lit("array")).otherwise(F.lit("leaf"))
-    leaf_type = F.coalesce(fixed, F.when(ft.isin(*LEAF_TYPES, *USER_METRICS), ft).otherwise(F.when(gk != "null", gk).otherwise(pk)))
+    leaf_type = F.coalesce(fixed, F.when(ft.isin(*LEAF_TYPES, *USER_METRICS, *ARROW_METRICS), ft).otherwise(F.when(gk != "null", gk).otherwise(pk)))
     rows = rows.withColumns({"cls": cls, "leaf_type": leaf_type})
     leaf = F.col("cls") == "leaf"
+    held = ~leaf | F.col("leaf_type").isin(*ARROW_METRICS) if ARROW_METRICS else ~leaf       # values that are still needed
     score = F.when(leaf, leaf_score(F.col("gt"), F.col("pred"), F.col("leaf_type"), F.col("_gt_t"), F.col("_pr_t")))
     return rows.select("doc_key", "schema_id", "path", "spath", "cls", "leaf_type", "items_type", score.alias("score"),
-                       F.when(~leaf, F.col("gt")).alias("gt"), F.when(~leaf, F.col("pred")).alias("pred"), "gt_kind", "pred_kind")
+                       F.when(held, F.col("gt")).alias("gt"), F.when(held, F.col("pred")).alias("pred"), "gt_kind", "pred_kind")
+
+
+def _batch_scored(found: DataFrame) -> DataFrame:
+    """Leaves of the types with batch metrics, each type in a stage of its own that ships its own texts only."""
+    others = found.where(~F.col("leaf_type").isin(*ARROW_METRICS))
+    scored = [others.select("doc_key", "path", F.col("leaf_type").alias("ftype"), "score")]
+    for name, metric in ARROW_METRICS.items():
+        own = found.where(F.col("leaf_type") == name)
+        one_null = (F.col("gt_kind") == "null") | (F.col("pred_kind") == "null")
+        base = ["doc_key", "path", F.col("leaf_type").alias("ftype")]
+        texts = own.where(~one_null).select(*base, pystr(F.col("gt")).alias("a"), pystr(F.col("pred")).alias("p"))
+        scored += [own.where(one_null).select(*base, F.when(F.col("gt_kind") == F.col("pred_kind"), 1.0).otherwise(0.0).alias("score")),
+                   texts.select("doc_key", "path", "ftype", arrow_score(metric, F.col("a"), F.col("p")).alias("score"))]
+    return functools.reduce(DataFrame.unionByName, scored)
 
 
 def leaf_scores(pairs: DataFrame, schema_nodes: DataFrame | None = None) -> DataFrame:
@@ -141,7 +158,8 @@ def leaf_scores(pairs: DataFrame, schema_nodes: DataFrame | None = None) -> Data
     leaves = None
     while True:
         level = cut_lineage(_classed(rows, nodes))
-        found = level.where("cls = 'leaf'").select("doc_key", "path", F.col("leaf_type").alias("ftype"), "score")
+        found = level.where("cls = 'leaf'")
+        found = _batch_scored(found) if ARROW_METRICS else found.select("doc_key", "path", F.col("leaf_type").alias("ftype"), "score")
         leaves = found if leaves is None else leaves.unionByName(found)
         if level.where("cls <> 'leaf'").isEmpty():
             return leaves

@@ -70,17 +70,19 @@ def flag_any(arr: Column, field: str) -> Column:
 
 
 def score(df: DataFrame, components: list[tuple[str, int, Column]], has_data: Column,
-          keys: list[str]) -> DataFrame:
-    """R6/R9: per-document component map, total, max, pct."""
+          keys: list[str], max_without_data: int | None = None) -> DataFrame:
+    """R6/R9: per-document component map, total, max, pct; a document without data has 0 of ``max_without_data``."""
     max_pts = sum(p for _, p, _ in components)
     # One struct column holds the points, so that every component is written once in the plan.
     got = F.struct(*[F.when(has_data, c.cast("int")).otherwise(F.lit(0)).alias(name) for name, _, c in components])
-    df = df.select(*keys, got.alias("_got"))
+    df = df.select(*keys, got.alias("_got"), has_data.alias("_has"))
+    has_data = F.col("_has")
     comp = F.create_map(*[x for name, _, _ in components for x in (F.lit(name), F.col("_got")[name])])
     total = F.lit(0)
     for name, _, _ in components:
         total = total + F.col("_got")[name]
-    return df.select(*keys, comp.alias("components"), total.alias("total"), F.lit(max_pts).alias("max"),
+    empty = max_pts if max_without_data is None else max_without_data
+    return df.select(*keys, comp.alias("components"), total.alias("total"), F.when(has_data, F.lit(max_pts)).otherwise(F.lit(empty)).alias("max"),
                      F.round(total.cast("double") / float(max_pts) * 100.0, 1).alias("pct"))
 
 

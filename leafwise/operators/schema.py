@@ -4,7 +4,8 @@
 the end of the chain), ``anyOf`` (single non-null member, else the first non-null one) and the
 ``schema_definition`` wrapper resolved.  Schemas are deduplicated by ``schema_id`` first, so a schema shared by
 many samples is flattened once; one narrow pass walks each document (``functions/schema_json.py``), so there is
-no limit on depth or on the length of a reference chain, and a reference that leads back to itself ends there.
+no limit on depth or on the length of a reference chain, and a reference that leads back to itself ends there.  A schema
+that is no JSON object has no nodes (``prompts.schema_rejects`` names it).
 
 Node columns: schema_id, spath ($.a.b, [] for array items), parent_spath, name, ftype (declared type, default
 'string'; a type list is kept as its JSON text and therefore falls back to value inference), items_type,
@@ -45,7 +46,7 @@ def schema_nodes(schemas: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [node | {"schema_id": i} for i, text in zip(*(batch.column(c).to_pylist() for c in range(2)))
-                    if text is not None for node in schema_json.walk(text)]
+                    for node in schema_json.nodes(text)]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=target)
 

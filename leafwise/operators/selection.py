@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 from leafwise.functions.values import truthy
 from leafwise.sources import dims
 
-RESERVED_KEYS = ("evaluation_config",)
+TAKE_ORDERED = 10_000       # rows that one task may sort
+DIGIT_BITS = 12
 
 
 def filter_samples(samples: DataFrame, categories: list[str] | None = None,
@@ -45,14 +46,47 @@ def sample_key(seed: int | None, id_col: str = "id") -> Column:
 def seeded_sample(df: DataFrame, n: int | None, order_key: Column, id_col: str = "id") -> DataFrame:
     """Exactly ``n`` rows without replacement, only when there are more than ``n``.
 
-    The global top-n by ``order_key`` runs as TakeOrderedAndProject (per-partition
-    top-n, then one merge of n·partitions rows) — no full sort.
+    A small sample runs as TakeOrderedAndProject (per-partition top-n, then one merge of n·partitions rows); a large
+    one finds its largest key first (``smallest_by_key``), so that no task holds the sample.  The rows are the same.
     """
     if not n or n <= 0:
         return df
+    if n > TAKE_ORDERED:
+        return smallest_by_key(df, n, order_key, id_col)
     return df.orderBy(order_key, F.col(id_col)).limit(n)
 
 
+def smallest_by_key(df: DataFrame, n: int, order_key: Column, id_col: str = "id") -> DataFrame:
+    """The ``n`` rows that come first by (order_key LONG, id), each row decided where it stands.
+
+    The n-th key is found from its leading bits on: one histogram of ``DIGIT_BITS`` more bits per pass, over the rows
+    that share the bits found so far, until few rows share them.  Rows below those bits belong to the sample; only
+    the few that share them are sorted."""
+    # Order of signed keys as unsigned numbers.
+    keyed = df.withColumn("_key", order_key.cast("long"))
+    bits = F.col("_key").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    shift, among, left, inside = 64, None, n, None
+    while shift > 0:
+        step = min(DIGIT_BITS, shift)
+        shift -= step
+        digit = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << step) - 1))
+        rows = keyed if among is None else keyed.where(among)
+        counts = sorted((r["d"], r["count"]) for r in rows.groupBy(digit.alias("d")).count().collect())
+        if among is None and sum(c for _, c in counts) <= n:
+            return df
+        for d, c in counts:
+            if left <= c:
+                break
+            left -= c
+        below = digit < d if among is None else among & (digit < d)
+        inside = below if inside is None else inside | below
+        among = digit == d if among is None else among & (digit == d)
+        if c <= TAKE_ORDERED:
+            break
+    edge = keyed.where(among).orderBy("_key", id_col).limit(left)
+    return keyed.where(inside).unionByName(edge).drop("_key")
+
+
 def stratified_cap(df: DataFrame, group_col: str, per_group: int, order_key: Column,
                    id_col: str = "id") -> DataFrame:
     """At most ``per_group`` rows per group, picked by ``order_key``.
@@ -132,10 +166,6 @@ def scored_flag(success: Column, data: Column) -> Column:
     return success & F.coalesce(truthy(data), F.lit(False))
 
 
-def latency_projection(latency_ms: Column) -> Column:
-    return F.coalesce(F.round(latency_ms, 1), F.lit(0.0))
-
-
 def drop_predictions(results: DataFrame) -> DataFrame:
     """Results without the bulky per-row documents (``--no-save-predictions``)."""
     return results.drop("ground_truth", "predicted", "field_scores")
@@ -151,3 +181,15 @@ def board_filters(results: DataFrame, datasets: list[str] | None = None, combina
     if fw_modes is not None:
         out = out.filter(fw_mode(out).isin(list(fw_modes)))
     return out
+
+
+def detail_view(results: DataFrame, documents: DataFrame, sample_id: str, fields: dict[str, str]) -> DataFrame:
+    """One sample as every mode saw it: a row per (combination, framework, mode) with the fields (JSON path -> type) of the
+    ground truth and, where the mode succeeded, of its prediction.  ``documents``: doc_key, gt, pred.  The id reaches
+    both scans as a filter; a sample without ground truth has no rows."""
+    doc = documents.where((F.col("doc_key") == sample_id) & F.col("gt").isNotNull())
+    rows = results.where(F.col("sample_id") == sample_id).join(doc, F.col("sample_id") == F.col("doc_key"))
+    shown = [c for path, kind in fields.items() for c in (
+        F.try_variant_get("gt", path, kind).alias("gt_" + path.split(".")[-1]),
+        F.when(F.col("success"), F.try_variant_get("pred", path, kind)).alias("pred_" + path.split(".")[-1]))]
+    return rows.select("sample_id", "combination", "framework", "mode", "success", *shown)

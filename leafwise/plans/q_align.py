@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from leafwise.operators import align, boards, sparse_match
@@ -593,3 +595,36 @@ SELECT 'ord_' || CAST(o_orderkey AS VARCHAR) AS doc_key, o_orderstatus AS gt_sta
        CAST(floor(CAST(CAST(round(o_totalprice * 100.0) AS BIGINT) * (100 + o_orderkey % 9) AS DOUBLE) / 100)
             AS DOUBLE) / 100.0 AS pred_total
 FROM orders WHERE o_orderkey = 7"""
+
+
+def _same_beginning(actual, predicted):
+    """Half a point for a text that begins like the other, a whole one for the same text."""
+    return (actual.str[:2] == predicted.str[:2]).astype(float) / 2 + (actual == predicted).astype(float) / 2
+
+
+@q("user_metrics")
+def user_metrics(spark, sf):
+    """Two field types of the user's own: status codes by a column expression, priorities by a batch function."""
+    declared = json.loads(json.dumps(docs.SCHEMA))
+    declared["properties"]["status"]["type"] = "code"
+    declared["properties"]["priority"]["type"] = "label"
+    nodes = schema_nodes(spark.createDataFrame([(docs.SCHEMA_ID, json.dumps(declared))], "schema_id string, schema_text string"))
+
+    def same_code(a, p):
+        return F.when(F.lower(F.try_variant_get(a, "$", "string")) == F.lower(F.try_variant_get(p, "$", "string")), 1.0).otherwise(0.0)
+    LF.register_metric("code", same_code)
+    LF.register_metric("label", _same_beginning, arrow=True)
+    try:
+        return align.document_scores(docs.document_pairs(spark, sf), nodes)
+    finally:
+        del LF.USER_METRICS["code"], LF.ARROW_METRICS["label"]
+
+
+SQL["user_metrics"] = f"""
+WITH {DOCS_CTE},
+mine AS (SELECT ok, path, CASE path WHEN '$.status' THEN 1.0 WHEN '$.priority' THEN
+             (CASE WHEN ok % 6 <> 0 THEN 1.0 ELSE (SELECT CASE WHEN pr = '3-MEDIUM' THEN 1.0 WHEN substr(pr, 1, 2) = '3-' THEN 0.5 ELSE 0.0 END
+                                                   FROM od WHERE od.ok = all_leaves.ok) END) ELSE sc END AS sc FROM all_leaves)
+SELECT 'ord_' || CAST(ok AS VARCHAR) AS doc_key, round(sum(sc), 2) AS total, CAST(count(*) AS DOUBLE) AS max,
+       round(sum(sc) / count(*) * 100.0, 1) AS pct
+FROM mine GROUP BY ok"""

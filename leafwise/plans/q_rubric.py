@@ -198,7 +198,7 @@ def career_docs(spark, sf):
 
 def _career(spark, sf, rules):
     d = spread(career_docs(spark, sf))
-    return rubric.score(d, rules(), F.col("has_data"), ["doc_key", "combination", "has_data"])
+    return rubric.score(d, rules(), F.col("has_data"), ["doc_key", "combination", "has_data"], max_without_data=100)
 
 
 def _listed(df):
@@ -299,7 +299,7 @@ def _career_sql(parts: dict, top: int) -> str:
     listed = " || ',' || ".join(f"'{n}=' || CAST({n} AS VARCHAR)" for n in sorted(parts))
     total = " + ".join(parts)
     return f"""{_CAREER} z AS (SELECT k, {cols} FROM h)
-SELECT 'ord_' || CAST(k AS VARCHAR) AS doc_key, CAST({total} AS INTEGER) AS total, {top} AS max,
+SELECT 'ord_' || CAST(k AS VARCHAR) AS doc_key, CAST({total} AS INTEGER) AS total, CAST(CASE WHEN k % 11 = 0 THEN 100 ELSE {top} END AS INTEGER) AS max,
        round(CAST({total} AS DOUBLE) / {float(top)} * 100.0, 1) AS pct, {listed} AS components FROM z"""
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafwise.operators import grid, selection
-from leafwise.plans import carriers
+from leafwise.plans import carriers, docs
 from leafwise.plans.oracle_base import catalogue_values, with_results
 from leafwise.sources import dims
 
@@ -24,12 +24,12 @@ def q(name):
     return deco
 
 
-def arith_key():
-    """Order key both engines can repeat exactly (stand-in for xxhash64(seed, id))."""
-    return (F.col("o_orderkey") * 7919 + SEED) % 100003
+def hash_key():
+    """Order key that both engines can repeat: sixty bits of the MD5 of seed and id."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), "id").cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-ARITH_KEY_SQL = f"((o_orderkey * 7919 + {SEED}) % 100003)"
+HASH_KEY_SQL = f"CAST('0x' || substr(md5('{SEED}:' || id), 1, 15) AS BIGINT)"
 
 
 @q("sample_filters")
@@ -47,21 +47,32 @@ WHERE category IN ({', '.join(repr(c) for c in CATS)}) AND true_depth BETWEEN 4
 @q("seeded_sample")
 def seeded_sample(spark, sf):
     s = carriers.samples(spark, sf)
-    return selection.seeded_sample(s, 500, arith_key()).select("id", "category")
+    return selection.seeded_sample(s, 500, hash_key()).select("id", "category")
 
 
 SQL["seeded_sample"] = with_results(f"""
-SELECT id, category FROM samples ORDER BY {ARITH_KEY_SQL}, id LIMIT 500""")
+SELECT id, category FROM samples ORDER BY {HASH_KEY_SQL}, id LIMIT 500""")
+
+
+@q("large_sample")
+def large_sample(spark, sf):
+    """Four fifths of all samples: more than one task should sort."""
+    s = carriers.samples(spark, sf)
+    return selection.smallest_by_key(s, s.count() * 4 // 5, hash_key()).select("id", "category")
+
+
+SQL["large_sample"] = with_results(f"""
+SELECT id, category FROM samples ORDER BY {HASH_KEY_SQL}, id LIMIT (SELECT count(*) * 4 // 5 FROM samples)""")
 
 
 @q("stratified_cap")
 def stratified_cap(spark, sf):
     s = carriers.samples(spark, sf)
-    return selection.stratified_cap(s, "category", 50, arith_key()).select("id", "category")
+    return selection.stratified_cap(s, "category", 50, hash_key()).select("id", "category")
 
 
 SQL["stratified_cap"] = with_results(f"""
-SELECT id, category FROM (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY {ARITH_KEY_SQL}, id) rn
+SELECT id, category FROM (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY {HASH_KEY_SQL}, id) rn
 FROM samples) WHERE rn <= 50""")
 
 TOKENS = ["instructor", "openai/default", "nosuch", "marvin/nonexistent"]
@@ -177,12 +188,12 @@ GROUP BY framework, mode, combination""")
 @q("resume_semi")
 def resume_semi(spark, sf):
     s = carriers.samples(spark, sf)
-    saved = selection.seeded_sample(s, 500, arith_key()).select(F.col("id").alias("sample_id"))
+    saved = selection.seeded_sample(s, 500, hash_key()).select(F.col("id").alias("sample_id"))
     return grid.restrict_to_saved(s, saved).select("id", "category", "true_depth")
 
 
 SQL["resume_semi"] = with_results(f"""
-, saved AS (SELECT id AS sample_id FROM samples ORDER BY {ARITH_KEY_SQL}, id LIMIT 500)
+, saved AS (SELECT id AS sample_id FROM samples ORDER BY {HASH_KEY_SQL}, id LIMIT 500)
 SELECT id, category, true_depth FROM samples WHERE EXISTS (SELECT 1 FROM saved WHERE saved.sample_id = samples.id)""")
 
 
@@ -299,3 +310,20 @@ def pruned_predictions(spark, sf):
 
 
 SQL["pruned_predictions"] = with_results("SELECT framework, count(*) AS n, 0 AS bulky_columns FROM results GROUP BY framework")
+
+
+@q("sample_modes")
+def sample_modes(spark, sf):
+    """Detail view of one sample: what every mode predicted."""
+    return selection.detail_view(carriers.results(spark, sf), docs.document_pairs(spark, sf), DETAIL_ID,
+                                 {"$.status": "string", "$.priority": "string", "$.totalprice": "double"})
+
+
+DETAIL_ID = "ord_12"
+SQL["sample_modes"] = with_results(f"""
+SELECT sample_id, combination, framework, mode, success, o_orderstatus AS gt_status, o_orderpriority AS gt_priority, o_totalprice AS gt_totalprice,
+       CASE WHEN success THEN CASE WHEN o.o_orderkey % 4 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END END AS pred_status,
+       CASE WHEN success THEN CASE WHEN o.o_orderkey % 6 = 0 THEN '3-MEDIUM' ELSE o_orderpriority END END AS pred_priority,
+       CASE WHEN success THEN CAST(floor(CAST(CAST(round(o_totalprice * 100.0) AS BIGINT) * (100 + o.o_orderkey % 9) AS DOUBLE) / 100)
+            AS DOUBLE) / 100.0 END AS pred_totalprice
+FROM results JOIN orders o ON o.o_orderkey = results.o_orderkey WHERE sample_id = '{DETAIL_ID}'""")
