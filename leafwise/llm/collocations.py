@@ -15,7 +15,7 @@ States stand in sorted arrays, one level per word; a state's arcs are one run of
 4. Ranges score their phrases with unbounded integers; the best of a language are merged in two steps.
 
 The boundaries of the ranges are quantiles of the prefixes in a bounded sample of texts (``sample_docs`` texts of at
-most ``sample_chars`` characters).  They balance the tasks and change no result.
+most ``sample_chars`` characters, picked by a hash).  They balance the tasks and change no result.
 
 Defined results: null texts are empty, a null language is ``und`` (and one with that name); repeated rows count as
 often as they occur; ties go to the smaller phrase in UTF-8 byte order; languages without candidates have no row; an
@@ -225,9 +225,14 @@ def shard(texts: list[bytes]) -> Transducer:
 
 
 def splitters(docs: DataFrame, ranges: int, sample_docs: int, sample_chars: int) -> list[tuple[bytes, bytes]]:
-    """Boundaries of the prefix ranges: quantiles of the distinct n-grams of the sample by their first two words."""
-    rows = (docs.where((F.length("text") <= sample_chars) & (F.length("text") > 0))
-            .orderBy(F.xxhash64("doc_id", "text")).limit(sample_docs).select("text").collect())
+    """Boundaries of the prefix ranges: quantiles of the distinct n-grams of the sample by their first two words.
+
+    A hash picks about ``sample_docs`` of all texts, wherever they are stored, so only these are sent."""
+    every = docs.count()
+    if not every:
+        return []
+    picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) < sample_docs
+    rows = (docs.where(F.length("text").between(1, sample_chars) & picked).select("text").limit(2 * sample_docs).collect())
     found = shard([r.text.encode() for r in rows])
     heads = found.grams(1)
     per = np.bincount(found.parent[2], minlength=len(heads[0])) + 1          # states at and below each two-word prefix
