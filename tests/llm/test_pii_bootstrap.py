@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,47 @@ def test_contexts_discover_unseen_identifiers(spark, corpus):
     assert all([k for k, _ in got[i]] == ["phone"] for i in range(40))
 
 
+def test_groups_handles_and_right_contexts(spark):
+    rng = random.Random(6)
+    fill = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(3))
+    rows = [(i, f"Name: {fill()} Phone: +1 (301) 555-{2000 + i} {fill()}") for i in range(20)]
+    rows += [(40 + i, f"{fill()} write to user{i}@mail.example {fill()}") for i in range(10)]
+    rows += [(60 + i, f"{fill()} 10.0.{i}.7 is its address {fill()}") for i in range(10)]
+    rows += [(100, f"Name: {fill()} Phone: 030 155 512 34 {fill()}"), (101, f"Phone: (301) 555-0199 {fill()}"),
+             (102, f"{fill()} write to bob@localhost {fill()}"), (103, f"{fill()} 10.0.300.7 is its address {fill()}"),
+             (104, f"{fill()} room 1234 {fill()}"), (105, f"Phone: none {fill()}")]
+    got = {r.doc_id: [s.word for s in r.spans if s.kind == "found"] for r in P.find_personal_data(docs_frame(spark, rows)).collect()}
+    assert {k: v for k, v in got.items() if v} == {
+        100: ["030 155 512 34"], 101: ["(301) 555-0199"], 102: ["bob@localhost"], 103: ["10.0.300.7"]}
+
+
+def test_found_instances_induce_patterns(spark):
+    """National numbers are found behind a seeds' label; their own label, which no seed stands behind, is learnt from them."""
+    rows = [(i, f"dial +1 (301) 555-{1000 + i}") for i in range(30)]
+    rows += [(50 + i, f"dial 0301 777 {1000 + i}") for i in range(4)]
+    rows += [(60 + i, f"rufnummer 0301 777 {1000 + i}") for i in range(4)] + [(70, "rufnummer 0301 777 9999")]
+    got = {r.doc_id: [s.word for s in r.spans if s.kind == "found"] for r in P.find_personal_data(docs_frame(spark, rows)).collect()}
+    assert got[50] == ["0301 777 1000"] and got[70] == ["0301 777 9999"]
+
+
+def test_frequent_patterns_meet_by_shares(spark, corpus, monkeypatch):
+    few = {r.doc_id: r.spans for r in P.find_personal_data(docs_frame(spark, corpus)).collect()}
+    monkeypatch.setattr(P, "small", lambda df: df)
+    assert few == {r.doc_id: r.spans for r in P.find_personal_data(docs_frame(spark, corpus)).collect()}
+
+
+def test_long_texts_of_numbers(spark):
+    text = " ".join(f"{1000 + i} +1 (301) 555-{1000 + i % 9000}" for i in range(20_000))
+    began = time.monotonic()
+    rows = P.find_personal_data(docs_frame(spark, [(1, text), (2, "é 😀 1.2.3.4 x")])).collect()
+    assert time.monotonic() - began < 90
+    assert len(text) > 400_000 and {r.doc_id: base_joined(r) for r in rows} == {1: plain(text), 2: plain("é 😀 1.2.3.4 x")}
+
+
+def base_joined(row):
+    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in row.base)
+
+
 def test_few_seeds_or_doubtful_contexts_discover_nothing(spark):
     rows = [(i, "seen at +1 (301) 555-0001 often") for i in range(30)] + [(50, "seen at 1234567 often")]
     assert all(s.kind != "found" for r in P.find_personal_data(docs_frame(spark, rows)).collect() for s in r.spans)
