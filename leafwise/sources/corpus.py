@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 _GROUP = r"/([^/]+)/([^/]+)/"
 
 
+def decoded(name):
+    """A part of ``_metadata.file_path`` as the file is named: the path is an address, with escapes but a literal plus."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def _keyed(df: DataFrame, pattern: str, names: list[str]) -> DataFrame:
     path = F.col("_metadata.file_path")
-    cols = [F.regexp_extract(path, pattern, i + 1).alias(n) for i, n in enumerate(names)]
+    cols = [decoded(F.regexp_extract(path, pattern, i + 1)).alias(n) for i, n in enumerate(names)]
     return df.select(*cols, path.alias("path"), *[c for c in df.columns if c != "_metadata"])
 
 
@@ -42,7 +47,7 @@ def scan_corpus(spark: SparkSession, root: str, text_dir: str | None = None) ->
         F.parse_json("schema_text").alias("schema"), F.parse_json("gold_text").alias("ground_truth"))
     if text_dir:
         texts = spark.read.text(f"{text_dir.rstrip('/')}/*.txt", wholetext=True).select(
-            F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.txt$", 1).alias("id"),
+            decoded(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.txt$", 1)).alias("id"),
             F.col("value").alias("text"))
         out = out.join(texts, "id", "left")
     else:
@@ -53,5 +58,5 @@ def scan_corpus(spark: SparkSession, root: str, text_dir: str | None = None) ->
 def scan_keyed_texts(spark: SparkSession, pattern: str) -> DataFrame:
     """Multi-file text scan keyed by file stem (e.g. ``resumes/resume_*.md``)."""
     return spark.read.text(pattern, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.[^./]+$", 1).alias("stem"),
+        decoded(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.[^./]+$", 1)).alias("stem"),
         F.col("value").alias("text"))

@@ -4,8 +4,11 @@ import json
 import os
 
 import duckdb
+from pyspark.sql import functions as F
 
+from leafwise.session import ship_package
 from leafwise.sources.corpus import scan_corpus, scan_keyed_texts
+from leafwise.sources.corpus_files import read_corpus, write_files
 
 
 def test_scan_corpus(spark, tmp_path):
@@ -45,3 +48,50 @@ def test_numbered_lines_keep_trailing_blank_line(spark, tmp_path):
     (tmp_path / "part-00001.txt").write_text("\nc\n")
     got = [(r["line_idx"], r["line"]) for r in numbered_lines(spark, str(tmp_path)).orderBy("line_idx").collect()]
     assert got == [(0, "a"), (1, "b"), (2, ""), (3, ""), (4, "c")]
+
+
+def _small_corpus(spark, root):
+    ship_package(spark)
+    names = []
+    for domain in ("tax", "law 1"):
+        for schema in ("x", "y"):
+            names += [(f"{domain}/{schema}/{n}-schema.json", f'"{n}"') for n in ("b", "a")]
+            for i in range(3):
+                names += [(f"{domain}/{schema}/pdf+gold/d{i}.pdf", "%PDF"), (f"{domain}/{schema}/pdf+gold/d{i}.gold.json", f'"\u00e9{i}"')]
+    names += [("tax/x/pdf+gold/lone.pdf", "no gold"), ("tax/none/pdf+gold/d.pdf", ""), ("tax/none/pdf+gold/d.gold.json", "1"),
+              ("tax/bare/a-schema.json", "1"), ("readme.txt", "a file beside the domains")]
+    assert write_files(spark.createDataFrame(names, "name string, content string").repartition(4), root) == len(names)
+    return {(d, s, f"d{i}") for d in ("tax", "law 1") for s in ("x", "y") for i in range(3)}
+
+
+def test_corpus_source_pairs_and_prunes(spark, tmp_path, capsys):
+    root = str(tmp_path / "corpus")
+    expected = _small_corpus(spark, root)
+    for per_task in (1, 5, 500):
+        df = read_corpus(spark, root, files_per_task=per_task)
+        rows = df.collect()
+        assert {(r.domain, r.schema_name, r.stem) for r in rows} == expected and len(rows) == len(expected)
+        assert all(r.schema_text == '"a"' and r.text is None and r.gold_text == f'"\u00e9{r.stem[1:]}"' for r in rows)
+        assert df.rdd.getNumPartitions() == -(-len(expected) // per_task)
+    one = read_corpus(spark, root, files_per_task=1).where("domain = 'tax' and schema_name in ('x', 'z') and stem <> 'd0'")
+    assert {(r.domain, r.schema_name, r.stem) for r in one.collect()} == {("tax", "x", "d1"), ("tax", "x", "d2")}
+    assert one.rdd.getNumPartitions() == 3          # only the folder tax/x was listed
+    one.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "domain" in plan.split("PushedFilters")[1].splitlines()[0]
+    same = scan_corpus(spark, root)
+    assert {tuple(r) for r in same.select("domain", "schema_name", F.element_at(F.split("id", "__"), 3)).collect()} == expected
+
+
+def test_keyed_texts_have_the_names_of_their_files(spark, tmp_path):
+    names = ["a b", "a+b", "a%20b", "ä", "c.d"]
+    for n in names:
+        (tmp_path / f"{n}.txt").write_text(n)
+    assert all(r.stem == r.text for r in scan_keyed_texts(spark, str(tmp_path / "*.txt")).collect())
+
+
+def test_corpus_source_without_files(spark, tmp_path):
+    ship_package(spark)
+    assert read_corpus(spark, str(tmp_path / "missing")).count() == 0
+    (tmp_path / "empty").mkdir()
+    assert read_corpus(spark, str(tmp_path / "empty"), str(tmp_path / "missing")).count() == 0
