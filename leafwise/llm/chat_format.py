@@ -10,7 +10,8 @@ Template: ``<|turn|>role<|text|>text<|end|>\\n`` per turn.  Control strings insi
 backslash after their first character (one more where there are some already), which ``unescape`` takes back.
 
 Defined results: null texts and roles are empty; a null tree id is a tree of its own; a parent that does not
-exist makes its child a root; messages that descend from a cycle of parents have no root and yield no branch;
+exist makes its child a root; rows that repeat a message id within a tree are one message, the smallest row (by
+parent, score, role, text) counts; messages that descend from a cycle of parents have no root and yield no branch;
 equal scores go to the smaller leaf id; null scores count as 0; repeated turns of a conversation are separate
 turns (ordered by role, then text); an empty table gives an empty result; only named columns are read.
 """
@@ -39,11 +40,17 @@ def unescape(c):
     return F.regexp_replace(c, r"([<\[])\\(\\*)" + TAILS, r"$1$2$3")
 
 
+def one_each(messages: DataFrame, *columns: str) -> DataFrame:
+    """One row per tree and message id: the smallest by parent, score and ``columns``."""
+    row = F.struct("parent_id", F.coalesce("score", F.lit(0.0)).alias("score"), *[F.coalesce(c, F.lit("")).alias(c) for c in columns])
+    return messages.groupBy("tree_id", "message_id").agg(F.min(row).alias("row")).select("tree_id", "message_id", "row.*")
+
+
 def branches(messages: DataFrame, keep: int | None = None) -> DataFrame:
     """Chosen root-to-leaf paths: tree_id, leaf_id, branch (rank from 1), score, up (steps above the leaf), message_id.
 
     messages: tree_id, message_id, parent_id, score; ``keep`` is the number of branches per tree (None: all)."""
-    nodes = saved(messages.select("tree_id", "message_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
+    nodes = saved(one_each(messages), "nodes")
     same = lambda a, b: F.col(f"{a}.tree_id").eqNullSafe(F.col(f"{b}.tree_id"))
     jump = saved(nodes.alias("c").where("parent_id is not null").join(
         nodes.select("tree_id", "message_id").alias("p"), same("c", "p") & (F.col("c.parent_id") == F.col("p.message_id")))
@@ -78,23 +85,24 @@ def format_branches(messages: DataFrame, keep: int | None = None) -> DataFrame:
     """One conversation per chosen branch: tree_id, leaf_id, branch, formatted, loss_spans (start, end in code
     points of ``formatted``: the assistant's texts).  messages: tree_id, message_id, parent_id, score, role, text."""
     chosen = branches(messages, keep)
-    said = messages.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"),
-                           F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = one_each(messages, "role", "text").select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), "role", "text")
     turns = chosen.join(said, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("m"))).select(
         "tree_id", "leaf_id", "branch", (-F.col("up")).alias("at"),
         F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)).alias("head"), escape(F.col("text")).alias("body"),
         (F.col("role") == "assistant").alias("learnt"))
-    joined = turns.groupBy("tree_id", "leaf_id", "branch").agg(
-        F.sort_array(F.collect_list(F.struct("at", "head", "body", "learnt"))).alias("turns"))
-    size = F.transform("turns", lambda t: F.length(t["head"]) + F.length(t["body"]) + len(END))
-    begin = F.transform("turns", lambda t, i: F.aggregate(F.slice(F.col("size"), F.lit(1), i), F.lit(0), lambda s, x: s + x)
-                        + F.length(t["head"]))
-    return (joined.withColumn("size", size).withColumn("begin", begin).select(
+    key = ["tree_id", "leaf_id", "branch"]
+    # Where each turn's text begins: a running sum over its branch, on the partitioning that the grouping uses as well.
+    before = F.sum(F.length("head") + F.length("body") + len(END)).over(
+        W.partitionBy(*key).orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    begin = (F.coalesce(before, F.lit(0)) + F.length("head")).cast("int")
+    joined = turns.withColumn("begin", begin).groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("at", "head", "body", "learnt", "begin"))).alias("turns"))
+    return joined.select(
         "tree_id", "leaf_id", "branch",
         F.concat_ws("", F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END)))).alias("formatted"),
-        F.transform(F.filter(F.arrays_zip("turns", "begin"), lambda z: z["turns"]["learnt"]),
-                    lambda z: F.struct(z["begin"].alias("start"), (z["begin"] + F.length(z["turns"]["body"])).alias("end")))
-        .alias("loss_spans")))
+        F.transform(F.filter("turns", lambda t: t["learnt"]),
+                    lambda t: F.struct(t["begin"].alias("start"), (t["begin"] + F.length(t["body"])).alias("end")))
+        .alias("loss_spans"))
 
 
 def read_back(conversations: DataFrame) -> DataFrame:

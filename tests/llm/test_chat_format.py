@@ -81,3 +81,22 @@ def test_escapes_are_reversible(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     rows = df.select("t", C.escape(F.col("t")).alias("e")).select("t", "e", C.unescape(F.col("e")).alias("u")).collect()
     assert all(r.u == r.t and not any(c in r.e for c in ("<|end|>", "<|turn|>", "<|text|>", "[INST]", "[/INST]", "</s>")) for r in rows)
+
+
+def test_repeated_message_ids_are_one_message(spark):
+    n = 40
+    once = [(1, i, i - 1 if i else None, 1.0, "assistant" if i % 2 else "user", f"m{i}") for i in range(n)]
+    clash = [(1, 3, 2, 1.0, "assistant", "m3 too"), (None, 0, None, 1.0, "user", "x"), (None, 0, None, None, "user", "x")]
+    rows = spark.createDataFrame(once * 2 + clash, MESSAGES).withColumns({"row": F.lit(1), "t": F.lit(2), "begin": F.lit(3), "up": F.lit(4)})
+    got = {r.tree_id: r for r in C.read_back(C.format_branches(rows)).collect()}
+    assert set(got) == {1, None} and [t.text for t in got[None].turns] == ["x"]
+    assert [t.text for t in got[1].turns] == [f"m{i}" for i in range(n)]
+    assert got[1].loss_text == "".join(f"m{i}" for i in range(1, n, 2))
+    assert C.branches(rows).count() == n + 1
+    assert C.format_branches(rows.limit(0)).count() == 0
+
+
+def test_many_turns(spark):
+    rows = [(5, i, i - 1 if i else None, 0.0, "assistant", "é" * (i % 3)) for i in range(6000)]
+    back = C.read_back(C.format_branches(spark.createDataFrame(rows, MESSAGES))).first()
+    assert len(back.turns) == 6000 and back.loss_text == "".join(r[5] for r in rows)
