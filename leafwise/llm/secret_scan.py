@@ -18,6 +18,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,13 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")          # runs are maximal, so this is `[0-9a-f]+` of 32 or more
 #: The body may be a JSON or source string: escaped line breaks and slashes, quotes and joins between lines.
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([A-Za-z0-9+/=\s:,\\\"'-]*?)-----END [A-Z0-9 ]*PRIVATE KEY-----")
-PEM_BREAK = re.compile(r"""(?:\\+u000[aAdD]|\\+[rn]|[\r\n])+""")
-PEM_JOIN = re.compile(r"""["'][\x20\t]*\+?[\x20\t]*$|^[\x20\t]*\+?[\x20\t]*["']|[\s"'\\]""")
-ENCRYPTED = re.compile(r"^[\s\"'+]*Proc-Type:\s*4,\s*ENCRYPTED\b", re.M)
-DEK = re.compile(r"^[\s\"'+]*DEK-Info:\s*[A-Z0-9-]+,\s*(?:[0-9A-Fa-f]{16}){1,2}\b", re.M)
+PEM_BEGIN = re.compile(r"(?=(-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----))")
+PEM_END = re.compile(r"(?=(-----END [A-Z0-9 ]*PRIVATE KEY-----))")
+PEM_LAST_FOREIGN = re.compile(r"(?s:.*)[^A-Za-z0-9+/=\s:,\\\"'-]")          # up to the last character that no body holds
+PEM_BREAK = re.compile(r"""(?:(?<!\\)\\+(?:u000[aAdD]|[rn])|[\r\n])+""")
+PEM_JOIN = re.compile(r"""["'][\x20\t]*(?:\+[\x20\t]*)?$|^[\x20\t]*(?:\+[\x20\t]*)?["']|[\s"'\\]""")
+ENCRYPTED = re.compile(r"^(?:[^\S\n]|[\"'+])*Proc-Type:\s*4,\s*ENCRYPTED\b", re.M)
+DEK = re.compile(r"^(?:[^\S\n]|[\"'+])*DEK-Info:\s*[A-Z0-9-]+,\s*(?:[0-9A-Fa-f]{16}){1,2}\b", re.M)
 #: Runs are maximal; the letter of an escaped line break and `0x` before them are no part of them.
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?<=\\)[nrt])?([A-Za-z0-9+/_-]{22,}={0,2})")
 BLOB_END = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -188,10 +192,17 @@ def blocks(text: str, runs: list[tuple[int, int]], last: re.Pattern):
         at = to
 
 
+def outside(runs: list[tuple[int, int]], covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs that lie in no covered span, by one search each: the furthest end of all spans that begin before."""
+    spans = sorted(covered)
+    starts = [a for a, _ in spans]
+    ends = list(accumulate((b for _, b in spans), max))
+    return [r for r in runs if not (i := bisect_right(starts, r[0])) or ends[i - 1] < r[1]]
+
+
 def confirmed(text: str, pattern: re.Pattern, last: re.Pattern, decode, depth: int, covered: list):
     """(kind, start, end) of the runs that decode to something known: whole blocks of lines first, then run by run."""
-    runs = [m.span(1) for m in pattern.finditer(text)]
-    runs = [r for r in runs if not any(a <= r[0] and r[1] <= b for a, b in covered)]
+    runs = outside([m.span(1) for m in pattern.finditer(text)], covered)
     for lines, tail in blocks(text, runs, last):
         whole = None
         for some in ([*lines, tail] if tail else [], lines if len(lines) > 1 else []):
@@ -210,22 +221,41 @@ def confirmed(text: str, pattern: re.Pattern, last: re.Pattern, decode, depth: i
                         yield kind, m.start(), m.end()
 
 
-def is_private_pem(armoured: str) -> bool:
+def is_private_pem(body: str) -> bool:
     """What stands between the marks: a private key, or ciphertext under the headers of an encrypted one."""
-    rows = PEM_BREAK.sub("\n", armoured)
-    body = "".join(PEM_JOIN.sub("", x) for x in rows.split("\n") if ":" not in x)
-    data = unbase64(body)
+    rows = PEM_BREAK.sub("\n", body)
+    joined_rows = "".join(PEM_JOIN.sub("", x) for x in rows.split("\n") if ":" not in x)
+    data = unbase64(joined_rows)
     return bool(data) and (kind_of_bytes(data, 0) is not None or bool(ENCRYPTED.search(rows) and DEK.search(rows)))
 
 
+def armoured(text: str):
+    """(start, end, body) of the armours: an end mark closes the first beginning since the armour before it that has
+    nothing but body characters between.  Marks are found once and joined in order, so time is linear in the text."""
+    begins = [m.span(1) for m in PEM_BEGIN.finditer(text)]
+    at, free, seen, clean = 0, 0, 0, 0
+    for m in PEM_END.finditer(text) if begins else ():
+        a, b = m.span(1)
+        if a < free:
+            continue
+        if foreign := PEM_LAST_FOREIGN.match(text, seen, a):
+            clean = foreign.end()
+        seen = a
+        while at < len(begins) and (begins[at][0] < free or begins[at][1] < clean):
+            at += 1
+        if at < len(begins) and begins[at][1] <= a:
+            yield begins[at][0], b, text[begins[at][1]:a]
+            free = b
+
+
 def structures(text: str, depth: int = 2) -> list[tuple[str, int, int]]:
     """Confirmed (kind, start, end), each candidate once, PEM blocks before what lies inside them."""
     found, covered = [], []
     if "PRIVATE KEY" in text:
-        for m in PEM.finditer(text):
-            if is_private_pem(m[1]):
-                found.append(("key", m.start(), m.end()))
-                covered.append(m.span())
+        for a, b, body in armoured(text):
+            if is_private_pem(body):
+                found.append(("key", a, b))
+                covered.append((a, b))
     if "ey" in text and "." in text:
         for m in TOKEN.finditer(text):
             if is_token(*m.groups()):
