@@ -2,8 +2,9 @@
 
 ``document_statistics`` counts words, symbols, repeated lines and repeated 8-word windows of whole texts.
 ``mcd_models`` estimates centre and scatter of the transformed statistics by the minimum covariance
-determinant for every (language, source), every language and all rows: distributed concentration steps
-start from medians and quartile ranges, and each step keeps the share ``support`` of rows that lie closest.
+determinant for every (language, source), every language and all rows.  Distributed concentration steps, each
+keeping the share ``support`` of rows that lie closest, run from several starts: medians with quartile ranges, and
+small parts of the rows picked by a hash.  The start with the smallest determinant goes on until it no longer falls.
 ``quality_rules`` rejects a document by two plain rules or by its Mahalanobis distance.
 
 Defined results: null text counts as empty (no words, so the plain rule rejects it); null language or
@@ -30,6 +31,7 @@ FEATURES = ["symbol_share", "dup_line_share", "repeat_share", "variety", "word_l
 #: Smallest standard deviation that counts as natural spread, per feature: statistics that are constant in
 #: most documents (no symbols, no repeated line) would otherwise make any deviation infinitely far.
 SPREAD_FLOOR = [0.35, 0.08, 0.06, 0.05, 0.12, 0.08]
+PART = 16                        # a start from a part of the rows takes one in so many
 STATS_SCHEMA = ("doc_id long, text_hash long, lang string, source string, n_words long, word_chars long, n_symbols long, "
                 "n_dup_lines long, n_repeat_words long, " + ", ".join(f"{f} double" for f in FEATURES))
 
@@ -104,55 +106,86 @@ def _distance(p: int):
 
 
 def _fit(sums: DataFrame) -> DataFrame:
-    """Centre and inverse scatter per key from n, sums and cross sums (one small row per key)."""
+    """Centre and inverse scatter per key and start from n, sums and the upper triangle of cross sums (one small row
+    for each)."""
     p = len(FEATURES)
     floor = np.diag(np.square(SPREAD_FLOOR))
+    upper = np.triu_indices(p)
 
     def start():
-        def step(keys, ns, s1s, s2s):
+        def step(keys, starts, ns, s1s, s2s):
             mus, precs, dets = [], [], []
             for n, s1, s2 in zip(ns, s1s, s2s):
                 mu = np.array(s1) / n
-                cov = np.array(s2).reshape(p, p) / n - np.outer(mu, mu)
-                cov = (cov + cov.T) / 2 + floor
+                cross = np.zeros((p, p))
+                cross[upper] = s2
+                cov = (cross + np.triu(cross, 1).T) / n - np.outer(mu, mu) + floor
                 mus.append(mu.tolist())
                 precs.append(np.linalg.inv(cov).ravel().tolist())
                 dets.append(float(np.linalg.slogdet(cov)[1]))
-            return {"key": keys, "n_kept": ns, "mu": mus, "prec": precs, "log_det": dets}
+            return {"key": keys, "start": starts, "mu": mus, "prec": precs, "log_det": dets}
         return step
-    return map_columns(sums, ["key", "n", "s1", "s2"],
-                       "key string, n_kept long, mu array<double>, prec array<double>, log_det double", start)
+    return map_columns(sums, ["key", "start", "n", "s1", "s2"],
+                       "key string, start int, mu array<double>, prec array<double>, log_det double", start)
 
 
-def mcd_models(stats: DataFrame, support: float = 0.75, steps: int = 3) -> DataFrame:
+def _concentrated(rows: DataFrame, model: DataFrame, support: float) -> DataFrame:
+    """One concentration step for every (key, start) of ``model``: the model of the rows that lie closest to it."""
+    far = rows.join(small(model.select("key", "start", "mu", "prec")), "key").withColumn("d2", _distance(len(FEATURES)))
+    edge = saved(far.groupBy("key", "start").agg(F.percentile_approx("d2", support, 1000).alias("edge")), "mcd")
+    near = far.drop("mu", "prec").join(small(edge), ["key", "start"]).where("d2 <= edge")
+    return saved(_fit(_sums(near)), "mcd")
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    cross = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
+    return rows.groupBy("key", "start").agg(F.count("*").alias("n"), F.array(*[F.sum(f) for f in FEATURES]).alias("s1"),
+                                            F.array(*cross).alias("s2"))
+
+
+def mcd_models(stats: DataFrame, support: float = 0.75, starts: int = 3, trial_steps: int = 2, steps: int = 8,
+               tolerance: float = 1e-3) -> DataFrame:
     """One row per model key: n, mu, prec (row-major inverse scatter), scale, log_det.
 
+    ``starts`` models per key (the first from medians and quartile ranges, the others from one ``PART``-th of the
+    rows each, by a hash) take ``trial_steps`` steps; the one with the smallest determinant goes on until no key's log
+    determinant falls by more than ``tolerance``, ``steps`` further steps at most.  A key keeps the smallest
+    determinant it met.
+
     Every step is two grouped aggregations with map-side partial sums, so a source that holds a third of all
     rows is summed in all tasks; only one row per key is ever gathered.  Models meet the rows by a broadcast
     while there are few keys (counted), else by a shuffle join."""
     p = len(FEATURES)
-    rows = stats.where("n_words > 0").select(F.explode(F.array(*_levels())).alias("key"), *FEATURES)
+    part = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(PART)) + 1
+    rows = stats.where("n_words > 0").select(F.explode(F.array(*_levels())).alias("key"), part.cast("int").alias("start"), *FEATURES)
     quart = F.array(*[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for f in FEATURES])
     begin = rows.groupBy("key").agg(F.count("*").alias("n"), quart.alias("q"))
     precs = [F.lit(1.0) / (F.pow((F.col("q")[i][2] - F.col("q")[i][0]) / 1.349, 2) + SPREAD_FLOOR[i] ** 2)
              for i in range(p)]
-    model = saved(begin.select(
-        "key", "n", F.array(*[F.col("q")[i][1] for i in range(p)]).alias("mu"),
+    middle = saved(begin.select(
+        "key", "n", F.lit(0).alias("start"), F.array(*[F.col("q")[i][1] for i in range(p)]).alias("mu"),
         F.array(*[precs[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)]).alias("prec")), "mcd")
-    sizes = model.select("key", "n")
+    model = middle.drop("n")
+    if starts > 1:
+        model = saved(model.unionByName(_fit(_sums(rows.where(F.col("start") < starts))).select(*model.columns)), "mcd")
+    rows = rows.drop("start")
+    for _ in range(trial_steps):
+        model = _concentrated(rows, model, support)
+    model = saved(model.groupBy("key").agg(F.min(F.struct("log_det", "start", "mu", "prec")).alias("m"))
+                  .select("key", "m.start", "m.mu", "m.prec", "m.log_det"), "mcd")
     for _ in range(steps):
-        far = rows.join(small(model.select("key", "mu", "prec")), "key").withColumn("d2", _distance(p)).drop("mu", "prec")
-        edge = saved(far.groupBy("key").agg(F.percentile_approx("d2", support, 1000).alias("edge")), "mcd")
-        near = far.join(small(edge), "key").where("d2 <= edge")
-        cross = [F.sum(F.col(a) * F.col(b)) for a in FEATURES for b in FEATURES]
-        sums = near.groupBy("key").agg(F.count("*").alias("n"), F.array(*[F.sum(f) for f in FEATURES]).alias("s1"),
-                                       F.array(*cross).alias("s2"))
-        model = saved(_fit(sums), "mcd")
+        new = _concentrated(rows, model, support).select(
+            "key", F.struct("start", "mu", "prec", "log_det").alias("new"))
+        met = saved(model.join(new, "key", "left").withColumn("fall", F.col("log_det") - F.col("new.log_det")), "mcd")
+        take = F.when(F.col("fall") > 0, F.col("new")).otherwise(F.struct("start", "mu", "prec", "log_det"))
+        model = met.select("key", take.alias("m")).select("key", "m.*")
+        if met.where(F.col("fall") > tolerance).isEmpty():
+            break
     far = rows.join(small(model.select("key", "mu", "prec")), "key").withColumn("d2", _distance(p))
     scale = far.groupBy("key").agg(F.percentile_approx("d2", 0.5, 1000).alias("half"))
     # Median of chi squared with p degrees of freedom (Wilson and Hilferty).
     chi_half = p * (1 - 2 / (9 * p)) ** 3
-    return saved(model.join(sizes, "key").join(scale, "key")
+    return saved(model.join(middle.select("key", "n"), "key").join(scale, "key")
                  .withColumn("scale", F.greatest(F.lit(1.0), F.col("half") / chi_half))
                  .select("key", "n", "mu", "prec", "scale", "log_det"), "mcd")
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from leafwise.llm import quality_rules as Q
@@ -61,3 +62,53 @@ def test_odd_inputs(spark):
     got = Q.quality_rules(df).collect()
     assert len(got) == len(TEXTS) + 2 and all(not r.kept for r in got if r.n_words < 20)
     assert Q.quality_rules(df.limit(0)).count() == 0
+
+
+def concentrated(x, mu, prec, support):
+    d = np.einsum("ij,jk,ik->i", x - mu, prec, x - mu)
+    near = x[d <= np.sort(d)[int(np.ceil(support * len(x))) - 1]]
+    cov = np.cov(near.T, bias=True) + np.diag(np.square(Q.SPREAD_FLOOR))
+    return near.mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+
+def descent(x, mu, prec, support, least=np.inf):
+    for _ in range(100):
+        mu, prec, det = concentrated(x, mu, prec, support)
+        if det >= least - 1e-9:
+            return least
+        least = det
+    return least
+
+
+def test_models_against_numpy(spark):
+    """Two clouds, the smaller one dense and far: medians start between them; the smallest determinant is sought."""
+    rng = np.random.default_rng(5)
+    p, support = len(Q.FEATURES), 0.6
+    clouds = [rng.normal(0, 2.0, (420, p)), rng.normal(5, 0.3, (380, p))]
+    x = np.concatenate(clouds)
+    rows = [(i, i * 7, "en", "a", 30, 1, 0, 0, 0, *map(float, v)) for i, v in enumerate(x)]
+    got = {r.key: r for r in Q.mcd_models(spark.createDataFrame(rows, Q.STATS_SCHEMA), support).collect()}
+    one = got["all"]
+    assert len(got) == 3 and one.n == len(x)
+    mu, prec = np.array(one.mu), np.array(one.prec).reshape(p, p)
+    assert abs(one.log_det + np.linalg.slogdet(prec)[1]) < 1e-6
+    assert one.log_det - concentrated(x, mu, prec, support)[2] < 2e-3                     # no step lowers it any more
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    floor = np.square(Q.SPREAD_FLOOR)
+    assert one.log_det <= descent(x, q[1], np.diag(1 / (((q[2] - q[0]) / 1.349) ** 2 + floor)), support) + 0.02
+    others = []
+    for _ in range(30):
+        part = x[rng.choice(len(x), 50, replace=False)]
+        others.append(descent(x, part.mean(0), np.linalg.inv(np.cov(part.T, bias=True) + np.diag(floor)), support))
+    assert one.log_det <= min(others) + 0.05
+
+
+def test_distances_against_numpy(spark):
+    rng = random.Random(3)
+    texts = docs_frame(spark, [(i, sentence(rng, rng.randint(25, 90))) for i in range(70)])
+    model = next(r for r in Q.mcd_models(Q.document_statistics(texts)).collect() if r.key == "all")
+    mu, prec = np.array(model.mu), np.array(model.prec).reshape(len(model.mu), -1)
+    words = {r.doc_id: np.array(Q.text_statistics(r.text)[5:]) - mu for r in texts.collect()}
+    for r in Q.quality_rules(texts, min_group=100).collect():
+        z = words[r.doc_id]
+        assert abs(r.distance - z @ prec @ z / model.scale) < 1e-6 * max(1, r.distance)
