@@ -68,13 +68,16 @@ def held_out(doc_id, folds: int, fold: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int,
                     max_docs: int, max_chars: int):
     """At most ``max_docs`` labelled training texts of at most ``max_chars`` characters, the first by hash of
-    the id, as [(text, label)] ordered by that hash.  The bound makes the broadcast and the collect safe."""
+    the id, as [(text, label)] ordered by that hash.  Of several texts under one id the one with the smallest hash
+    (then the smallest text) is taken, so the sample is the same in every run.  The bound makes the broadcast and the
+    collect safe."""
     ids = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
            .where(~held_out(F.col("doc_id"), folds, fold))
            .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
     rows = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-            .where(F.length("text") <= max_chars).dropDuplicates(["doc_id"]).collect())
+            .where(F.length("text") <= max_chars)
+            .groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).collect())
     rows.sort(key=lambda r: (hash_id(r.doc_id), r.doc_id))
     return [(r.text, int(r.label)) for r in rows]
 

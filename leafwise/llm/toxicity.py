@@ -201,8 +201,8 @@ def _gradient(emission: np.ndarray, tags: np.ndarray, real: np.ndarray, trans: n
 
 def fit_chain(sample: list[tuple[str, int]], epochs: int = 4, rate: float = 0.3, max_lines: int = 8000,
               line_words: int = 40) -> Chain:
-    """AdaGrad on batches of lines of ``line_words`` tokens: every line with a toxic token, then others, up to
-    ``max_lines``."""
+    """AdaGrad on batches of lines of ``line_words`` tokens, ``max_lines`` at most: lines with a toxic token (evenly
+    spaced ones, where they are more than half of that), then others, evenly spaced as well."""
     lexicon = toxic_words(sample)
     def cut():
         """(line, tags) of every line, text by text: the sample is read twice rather than held as words."""
@@ -217,7 +217,9 @@ def fit_chain(sample: list[tuple[str, int]], epochs: int = 4, rate: float = 0.3,
             toxic.append((line, tags))
         else:
             n_clean += 1
-    toxic = toxic[:max_lines // 2]
+    most = max_lines // 2
+    if len(toxic) > most:
+        toxic = [toxic[i * len(toxic) // most] for i in range(most)]
     pace = max(1, n_clean // max(1, max_lines - len(toxic)))
     clean = (row for row in cut() if not any(row[1]))
     lines = toxic + [row for i, row in enumerate(clean) if i % pace == 0]

@@ -100,3 +100,13 @@ def test_odd_inputs(spark, corpus):
     assert T.score_documents(odd.limit(0), model).count() == 0
     none = T.fit(odd, labels.limit(0))
     assert [r.score for r in T.score_documents(odd, none).collect()] == [0.0] * 7
+
+
+def test_sample_is_the_same_in_every_run(spark):
+    """Several texts under one id: the one with the smallest hash, however the rows are dealt."""
+    from leafwise.llm.common import labelled_sample
+    rows = [(i % 40, f"text {i} of many") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(40)], "doc_id long, toxic boolean")
+    got = [labelled_sample(docs_frame(spark, some).repartition(n), labels, "toxic", 3, 1, 30, 100)
+           for some, n in ((rows, 1), (rows[::-1], 7), (rows[::2] + rows[1::2], 3))]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 10
