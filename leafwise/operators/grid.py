@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwise.session import small_side
+
 GRAIN = ["dataset", "model", "combination", "framework", "mode", "sample_id"]
 
 
@@ -39,10 +41,16 @@ def missing_saved(samples: DataFrame, saved_ids: DataFrame, id_col: str = "id")
 def merge_results(old: DataFrame, new: DataFrame, grain: list[str] = GRAIN) -> DataFrame:
     """Old ∪ new result rows; on a grain collision the new row wins.
 
-    Old rows are removed with an anti join on the grain (a shuffle on the grain
-    keys, no per-group collection)."""
-    kept = old.join(new.select(*grain), grain, "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
+    Rows can only collide in cells (the grain without its last key) that both inputs hold; there are few cells, so they
+    are found first and broadcast.  Old rows of other cells stay where they are; the rest are removed with an anti join
+    on the grain, against the new rows of the same cells."""
+    cells = grain[:-1]
+    if not cells:
+        return old.join(new.select(*grain), grain, "left_anti").unionByName(new, allowMissingColumns=True)
+    both = small_side(old.select(*cells).distinct().join(new.select(*cells).distinct(), cells))
+    apart = old.join(both, cells, "left_anti")
+    met = old.join(both, cells, "left_semi").join(new.join(both, cells, "left_semi").select(*grain), grain, "left_anti")
+    return apart.unionByName(met).unionByName(new, allowMissingColumns=True)
 
 
 def ground_truth_or_empty(rows: DataFrame, truths: DataFrame, key: str) -> DataFrame:
