@@ -29,6 +29,7 @@ PRIOR = 20                  # zero features added to every text, so that one-wor
 REPEAT = 0                  # bucket of a word that follows itself
 CACHED_WORDS = 400_000
 TEXT_CHARS = 1_000_000
+LONG_WORD = 1_000           # longer words, and those that are not ASCII, are hashed one by one
 
 
 def bucket(name: str) -> int:
@@ -41,6 +42,46 @@ def word_features(word: str, low: int = 3, high: int = 4) -> list[int]:
     return [bucket("w" + w)] + [bucket(w[i:i + n]) for n in range(low, high + 1) for i in range(len(w) - n + 1)]
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def ascii_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_features`` of ASCII words, one after another, and the number of each word's features: the CRC of every
+    n-gram of all words at once, a byte at a time."""
+    data = ("<" + "><".join(words) + ">").lower().encode()
+    held = np.frombuffer(data, np.uint8)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    at = np.cumsum(size) - size
+    state, grams = np.full(len(held), 0xFFFFFFFF, np.uint32), []
+    for k in range(4):                          # those that reach over their word's end are not used
+        state = state[:len(held) - k]
+        state = _CRC[(state ^ held[k:]) & 0xFF] ^ state >> 8
+        if k >= 2:
+            grams.append(1 + (~state % np.uint32(BUCKETS - 1)).astype(np.int64))
+    ends = (at + size).tolist()
+    whole = [1 + zlib.crc32(data[a:b], _WORD) % (BUCKETS - 1) for a, b in zip(at.tolist(), ends)]
+    counts = 2 * size - 4                       # the word, size - 2 and size - 3 n-grams
+    first = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.int64)
+    out[first] = whole
+    begin = first + 1
+    for found, n in zip(grams, (size - 2, size - 3)):
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(begin, n) + step] = found[np.repeat(at, n) + step]
+        begin = begin + n
+    return out, counts
+
+
+_WORD = zlib.crc32(b"w")
+
+
 def pair_buckets(marks: np.ndarray) -> np.ndarray:
     """Buckets of neighbouring words, from one 64-bit mark per word."""
     a, b = marks[:-1], marks[1:]
@@ -103,15 +144,27 @@ class Scorer:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.sums, self.sizes, self.marks = [], [], []
+        self.tables = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
     def learn(self, words: set[str]) -> None:
-        for w in words:
+        plain = [w for w in words if len(w) <= LONG_WORD and w.isascii()]
+        others = [w for w in words if len(w) > LONG_WORD or not w.isascii()]
+        sums, sizes = [], []
+        if plain:
+            buckets, counts = ascii_features(plain)
+            # A zero before each word's numbers: so their sum is, to the last bit, the one that ndarray.sum gives.
+            numbers, nth = np.zeros(len(buckets) + len(plain)), np.arange(len(plain))
+            numbers[np.arange(len(buckets)) + np.repeat(nth + 1, counts)] = self.odds[buckets]
+            sums.append(np.add.reduceat(numbers, np.cumsum(counts) - counts + nth))
+            sizes.append(counts)
+        for w in others:
             f = word_features(w)
-            self.known[w] = len(self.sums)
-            self.sums.append(float(self.odds[f].sum()))
-            self.sizes.append(len(f))
-            self.marks.append(mark(w))
+            sums.append([self.odds[f].sum()])
+            sizes.append([len(f)])
+        every = plain + others
+        self.known.update(zip(every, range(len(self.known), len(self.known) + len(every))))
+        new = (np.concatenate(sums), np.concatenate(sizes), np.fromiter(map(mark, every), np.uint64, len(every)))
+        self.tables = tuple(np.concatenate(t) for t in zip(self.tables, new))
 
     def score(self, texts: list[str | None]) -> list[float]:
         if self.odds is None:
@@ -124,7 +177,6 @@ class Scorer:
             new = every
         if new:
             self.learn(new)
-            self.tables = (np.array(self.sums), np.array(self.sizes), np.array(self.marks, np.uint64))
         scores = []
         for words in split:
             if not words:

@@ -66,3 +66,18 @@ def test_forgets_at_the_bound(monkeypatch, corpus):
     monkeypatch.setattr(C, "CACHED_WORDS", 40)
     model.reset()
     assert [model.score([t])[0] for t in texts] == pytest.approx(whole)
+
+
+def test_ascii_words_are_hashed_together_like_one_by_one():
+    words = ["a", "Ab", "<x>", "hello", "Q" * C.LONG_WORD, "q_-1", ">", "\x00\x7f"]
+    buckets, counts = C.ascii_features(words)
+    assert np.split(buckets, np.cumsum(counts)[:-1])[3].tolist() == C.word_features("hello")
+    assert buckets.tolist() == [b for w in words for b in C.word_features(w)]
+    odds = np.random.default_rng(3).normal(size=C.BUCKETS)
+    scorer = C.Scorer(odds, 0.1, 0.5)
+    every = [*words, "Été", "İx", "w" * (C.LONG_WORD + 1)]
+    scorer.learn(set(every[:4]))
+    scorer.learn(set(every[4:]))
+    for w in every:
+        i, f = scorer.known[w], C.word_features(w)
+        assert [t[i] for t in scorer.tables] == [odds[f].sum(), len(f), C.mark(w)]
