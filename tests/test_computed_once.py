@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from leafwise.functions.values import as_array, typed, with_element_info
 from leafwise.operators import rubric
 from leafwise.session import computed
 
@@ -29,3 +30,12 @@ def test_texts_are_not_computed_per_keyword(spark):
                       rubric.contains_any(F.array_join("t", " "), F.array(F.lit("b C"), F.lit("z"))).alias("c"))
     assert _plan(found).count("transform(array(") == 2
     assert {r.k: (r.p, r.c) for r in found.collect()} == {1: (6, True), 2: (0, False), 3: (0, False)}
+
+
+def test_both_sides_of_a_match_share_a_python_process(spark):
+    pairs = spark.createDataFrame([(1, '["a",[1,{"z":2}]]', '[1e300]'), (2, '["b"]', 'null')], "k int, g string, p string").select(
+        "k", *[typed(as_array(F.parse_json(c))).alias(c) for c in "gp"], F.lit(False).alias("o"))
+    both = with_element_info(pairs, {"a": "g", "b": "p"}, "o").select("k", "a", "b")
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    texts = {r.k: tuple(x and [e.s for e in x] for x in (r.a, r.b)) for r in both.collect()}
+    assert texts == {1: (["a", '[1,{"z":2}]'], ["1e+300"]), 2: (["b"], None)}
