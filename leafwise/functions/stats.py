@@ -14,8 +14,12 @@ Z = 1.96  # two-sided 95 % normal quantile used for the confidence interval
 
 
 def tenths(pct: Column) -> Column:
-    """Percent with one decimal -> exact integer tenths."""
-    return F.round(pct * 10.0).cast("long")
+    """Percent with one decimal -> exact integer tenths.
+
+    Halves away from zero like ``round``, which builds a decimal number per row; ``rint`` takes them to the even side."""
+    x = pct * 10.0
+    r = F.rint(x)
+    return (r + F.when((x > 0) & (x - r == 0.5), F.lit(1.0)).when((x < 0) & (x - r == -0.5), F.lit(-1.0)).otherwise(F.lit(0.0))).cast("long")
 
 
 def ratio(num: Column, den: Column) -> Column:
