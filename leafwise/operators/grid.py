@@ -43,13 +43,14 @@ def merge_results(old: DataFrame, new: DataFrame, grain: list[str] = GRAIN) -> D
 
     Rows can only collide in cells (the grain without its last key) that both inputs hold; there are few cells, so they
     are found first and broadcast.  Old rows of other cells stay where they are; the rest are removed with an anti join
-    on the grain, against the new rows of the same cells."""
+    on the grain, against the new rows of the same cells.  The new rows are many and compress well, so their shuffled
+    size says little about what a hash table of them would take: they are sorted, never sent through the driver."""
     cells = grain[:-1]
     if not cells:
-        return old.join(new.select(*grain), grain, "left_anti").unionByName(new, allowMissingColumns=True)
+        return old.join(new.select(*grain).hint("merge"), grain, "left_anti").unionByName(new, allowMissingColumns=True)
     both = small_side(old.select(*cells).distinct().join(new.select(*cells).distinct(), cells))
     apart = old.join(both, cells, "left_anti")
-    met = old.join(both, cells, "left_semi").join(new.join(both, cells, "left_semi").select(*grain), grain, "left_anti")
+    met = old.join(both, cells, "left_semi").join(new.join(both, cells, "left_semi").select(*grain).hint("merge"), grain, "left_anti")
     return apart.unionByName(met).unionByName(new, allowMissingColumns=True)
 
 
